@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .docpairs import doc_pairs
 from .links import valid_links
+from .neardup import similar_classes, similar_pairs
 from .topn import top_n
 
 
@@ -13,6 +15,14 @@ def load(spark, d, table):
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def p2_found(spark, d):
+    return doc_pairs(load(spark, d, "units"), load(spark, d, "source_files")).select("unit_id")
+
+
+def p2_pairs(spark, d):
+    return doc_pairs(load(spark, d, "units"), load(spark, d, "source_files"))
+
+
 def p4_found(spark, d):
     links = valid_links(load(spark, d, "soft_relationships"), "SIMILAR_TO")
     return top_n(links, "source_unit_id", "target_unit_id", "score", 5).select("source_unit_id", "target_unit_id")
@@ -23,4 +33,20 @@ def p5_found(spark, d):
     return connected_components(links, "source_unit_id", "target_unit_id").select(F.col("node").alias("unit_id"), F.col("component").alias("group_id"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found}
+def p6_found(spark, d):
+    return similar_pairs(load(spark, d, "shingles_v2"), 0.5)
+
+
+def p6_classes(spark, d):
+    """One row per readable set with its class of equal sets."""
+    return similar_classes(load(spark, d, "shingles_v2"), 0.5)[1]
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_pairs": p2_pairs,
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_classes": p6_classes,
+}
