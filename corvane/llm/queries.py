@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .docpairs import doc_pairs
+from .leakage import leaked_items
 from .links import valid_links
 from .neardup import similar_classes, similar_pairs
 from .topn import top_n
@@ -42,6 +43,10 @@ def p6_classes(spark, d):
     return similar_classes(load(spark, d, "shingles_v2"), 0.5)[1]
 
 
+def p8_found(spark, d):
+    return leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
@@ -49,4 +54,5 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_classes": p6_classes,
+    "p8_found": p8_found,
 }
