@@ -9,6 +9,8 @@ from .docpairs import doc_pairs
 from .leakage import leaked_items
 from .links import valid_links
 from .neardup import similar_classes, similar_pairs
+from .packing import pack_documents, packing_summary
+from .reading import reading_levels
 from .topn import top_n
 
 
@@ -43,10 +45,26 @@ def p6_classes(spark, d):
     return similar_classes(load(spark, d, "shingles_v2"), 0.5)[1]
 
 
+def p7_containers(spark, d):
+    return pack_documents(load(spark, d, "documents"))
+
+
+def p7_summary(spark, d):
+    return packing_summary(pack_documents(load(spark, d, "documents")))
+
+
 def p8_found(spark, d):
     return leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
 
+def p9_levels(spark, d):
+    return reading_levels(load(spark, d, "documents"), load(spark, d, "reading_labels"))
+
+
+def p9_found(spark, d):
+    return p9_levels(spark, d).where("too_demanding").select("doc_id")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
@@ -54,5 +72,9 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_classes": p6_classes,
+    "p7_containers": p7_containers,
+    "p7_summary": p7_summary,
     "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_levels": p9_levels,
 }
