@@ -27,15 +27,15 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scale import cut_table, salted_join
 
 SEGMENTS = 64
 #: At most so many windows count as common and are broadcast, 16 bytes each.
-MAX_COMMON = 50_000
-LEAST_COMMON = 64
+MAX_COMMON = 500_000
+LEAST_COMMON = 8
 
 
 def read_set(payload: bytes | None) -> np.ndarray | None:
@@ -163,13 +163,20 @@ def similar_classes(sets: DataFrame, threshold: float = 0.5) -> tuple[DataFrame,
     classes = cut_table(one.groupBy("sig").agg(F.min("body_hash").alias("rep"), F.first("n").alias("n"), F.count("*").alias("class_size")).withColumn("id", F.monotonically_increasing_id()), "nd-classes").df
     members = salted_join(one.select("body_hash", "sig"), classes.select("sig", "rep", "class_size"), "sig", spread=F.xxhash64("body_hash")).select("body_hash", "rep", "class_size")
 
-    total = one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counts = rows.select("payload").mapInArrow(_windows, "w bigint").groupBy("w").count()
-    found = counts.where(F.col("count") > max(LEAST_COMMON, total // MAX_COMMON)).collect()  # at most MAX_COMMON
-    found.sort(key=lambda r: (r["count"], r["w"]))
-    value = np.array([r["w"] for r in found], np.int64)
+    # Places of the common windows, rare ones first: all windows of more than LEAST_COMMON
+    # sets, or if these are over MAX_COMMON, those above the least count that fits.
+    counts = rows.select("payload").mapInArrow(_windows, "w bigint").groupBy("w").count().where(F.col("count") > LEAST_COMMON)
+    counts = cut_table(counts, "nd-common")
+    by_count = Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, 0)  # one row per distinct count
+    sizes = counts.df.groupBy("count").agg(F.count("*").alias("n")).withColumn("so_far", F.sum("n").over(by_count))
+    least = sizes.where(F.col("so_far") <= MAX_COMMON).agg(F.min("count")).first()[0]
+    found = counts.df.where(F.col("count") >= (least or 0)).limit(MAX_COMMON).toArrow()
+    value, count = (found[c].to_numpy().astype(np.int64) for c in ("w", "count"))
+    place = np.empty(len(value), np.int64)
+    place[np.lexsort((value, count))] = np.arange(len(value)) + 1
     order = np.argsort(value)
-    common = (value[order], (np.arange(len(value)) + 1)[order])
+    common = (value[order], place[order])
+    counts.drop()
     del counts
     _tidy(spark)
 
