@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import edges, problems, similarity
 
-MODULES = [problems]
+MODULES = [problems, similarity, edges]
 
 
 def queries():
