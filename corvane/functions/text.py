@@ -14,6 +14,11 @@ TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 TERM = r"[A-Za-z][A-Za-z0-9_]{2,}"
 
 
+def stripped(text: Column) -> Column:
+    """Without surrounding white space of any script."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def tokens(text: Column) -> Column:
     """Runs of letters, digits and underscores, or single other characters; empty for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
@@ -79,9 +84,9 @@ def short_hash(text: Column, digits: int = 12) -> Column:
 
 def purpose_of(doc: Column, name: Column) -> Column:
     """First line of the documentation, at most 240 characters, else the spaced name."""
-    first = F.substring(F.trim(F.substring_index(F.trim(doc), "\n", 1)), 1, 240)
+    first = F.substring(stripped(F.substring_index(stripped(doc), "\n", 1)), 1, 240)
     return F.when(F.coalesce(first, F.lit("")) != "", first).otherwise(F.replace(name, F.lit("_"), F.lit(" ")))
 
 
 def collapsed(text: Column, most: int = 4000) -> Column:
-    return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, most)
+    return F.substring(stripped(F.regexp_replace(text, r"\s+", " ")), 1, most)

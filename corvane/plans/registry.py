@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import edges, problems, similarity
+from . import edges, index, problems, similarity
 
-MODULES = [problems, similarity, edges]
+MODULES = [problems, similarity, edges, index]
 
 
 def queries():
