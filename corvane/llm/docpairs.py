@@ -169,7 +169,7 @@ def doc_pairs(units: DataFrame, sources: DataFrame) -> DataFrame:
     """
     base = F.regexp_replace("qualname", r"#\d+$", "")
     symbols = live_functions(units).withColumn("module", module_key(F.col("path"))).withColumn("symbol", base).withColumn("shape", normal_signature(F.col("signature")))
-    described = symbols.withColumn("description", F.when(F.trim(F.regexp_replace("doc_text", r"\s+", " ")) != "", F.col("doc_text")).otherwise(F.col("purpose")))
+    described = symbols.withColumn("description", F.when(F.regexp_replace("doc_text", r"(?U)\s+", "") != "", F.col("doc_text")).otherwise(F.col("purpose")))
     coded = described.join(unit_code(symbols, sources), "unit_id", "left")
     body = F.regexp_replace(F.regexp_replace("code", r'(?s)("""|\'\'\').*?\1', ""), r"(?m)^\s*(@.*|#.*)$", "")
     stub = F.col("path").endswith(".pyi") | body.rlike(r"(?s)^\s*(async\s+)?def\s.*:\s*(\.\.\.|pass|raise NotImplementedError(\(\))?)\s*$")
