@@ -23,7 +23,6 @@ from __future__ import annotations
 import gc
 import hashlib
 import zlib
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scale import cut_table, salted_join
 
-SEGMENTS = 64
+SEGMENTS = 256
 #: At most so many windows count as common and are broadcast, 16 bytes each.
 MAX_COMMON = 500_000
 LEAST_COMMON = 8
@@ -63,24 +62,38 @@ def signature(windows: np.ndarray) -> str:
 
 
 def popcounts(windows: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
-    """Counts per segment of the 64-bit hash space."""
+    """Counts per segment of the 64-bit hash space; ``segments`` is a power of two."""
     return np.bincount((windows.astype(np.uint64) >> np.uint64(64 - int(segments).bit_length() + 1)).astype(np.int64), minlength=segments)
 
 
-def bound(na: int, nb: int, t: float) -> int:
-    """The greatest symmetric difference of sets of these sizes at similarity t."""
-    return na + nb - 2 * ceil(t / (1 + t) * (na + nb) - 1e-9)
+def embed(windows: np.ndarray) -> bytes:
+    """The counts as half bytes. Counts above 15 are cut, which can only bring two
+    vectors nearer to one another: the distance stays a lower bound."""
+    c = np.minimum(popcounts(windows), 15).astype(np.uint8)
+    return (c[::2] << 4 | c[1::2]).tobytes()
+
+
+def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of embedded vectors, row by row."""
+    halves = [np.abs((x(a)).astype(np.int16) - x(b)).sum(axis=1) for x in (lambda v: v >> 4, lambda v: v & 15)]
+    return halves[0] + halves[1]
+
+
+def bound(total, t: float):
+    """The greatest symmetric difference at similarity t of two sets whose sizes sum to ``total``."""
+    return total - 2 * np.ceil(t / (1 + t) * total - 1e-9)
 
 
 def _catalogue(batches):
     for b in batches:
-        out = [[], [], []]
+        out = [[], [], [], []]
         for h, p in zip(b["body_hash"].to_pylist(), b["payload"].to_pylist()):
             s = read_set(p)
             if s is not None and len(s):
-                for o, v in zip(out, (h, len(s), signature(s))):
+                for o, v in zip(out, (h, len(s), signature(s), embed(s))):
                     o.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], ["body_hash", "n", "sig"])
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds)], ["body_hash", "n", "sig", "vec"])
 
 
 def _windows(batches):
@@ -119,6 +132,20 @@ def _prefixes(common: np.ndarray, t: float):
     return run
 
 
+def _near(t: float):
+    """Pairs whose vectors are within the bound."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            u, v = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("vec_a", "vec_b"))
+            most = bound(b["n_a"].to_numpy().astype(np.int64) + b["n_b"].to_numpy(), t)
+            yield b.filter(pa.array(manhattan(u, v) <= most)).select(["rep_a", "rep_b"])
+
+    return run
+
+
 def _verify(t: float):
     def run(batches):
         for b in batches:
@@ -127,9 +154,6 @@ def _verify(t: float):
                 s, r = read_set(p), read_set(q)
                 if s is None or r is None:
                     continue
-                most = bound(len(s), len(r), t)
-                if np.abs(popcounts(s) - popcounts(r)).sum() > most:
-                    continue
                 shared = len(np.intersect1d(s, r, assume_unique=True))
                 if shared >= t * (len(s) + len(r) - shared):
                     for o, v in zip(out, (x, y, shared / (len(s) + len(r) - shared))):
@@ -158,9 +182,9 @@ def similar_classes(sets: DataFrame, threshold: float = 0.5) -> tuple[DataFrame,
     if not 0 < t <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     rows = sets.where("body_hash is not null and payload is not null").select("body_hash", "payload")
-    seen = rows.mapInArrow(_catalogue, "body_hash string, n int, sig string")
-    one = cut_table(seen.groupBy("body_hash").agg(F.min(F.struct("n", "sig")).alias("s")).select("body_hash", "s.n", "s.sig"), "nd-sets").df
-    classes = cut_table(one.groupBy("sig").agg(F.min("body_hash").alias("rep"), F.first("n").alias("n"), F.count("*").alias("class_size")).withColumn("id", F.monotonically_increasing_id()), "nd-classes").df
+    seen = rows.mapInArrow(_catalogue, "body_hash string, n int, sig string, vec binary")
+    one = cut_table(seen.groupBy("body_hash").agg(F.min(F.struct("n", "sig", "vec")).alias("s")).select("body_hash", "s.n", "s.sig", "s.vec"), "nd-sets").df
+    classes = cut_table(one.groupBy("sig").agg(F.min("body_hash").alias("rep"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.count("*").alias("class_size")).withColumn("id", F.monotonically_increasing_id()), "nd-classes").df
     members = salted_join(one.select("body_hash", "sig"), classes.select("sig", "rep", "class_size"), "sig", spread=F.xxhash64("body_hash")).select("body_hash", "rep", "class_size")
 
     # Places of the common windows, rare ones first: all windows of more than LEAST_COMMON
@@ -193,8 +217,12 @@ def similar_classes(sets: DataFrame, threshold: float = 0.5) -> tuple[DataFrame,
     pairs = cut_table(a.join(b, near).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct(), "nd-pairs").df
     _tidy(spark)
 
-    names = classes.select("id", "rep")
-    pairs = pairs.join(names.toDF("x", "rx"), "x").join(names.toDF("y", "ry"), "y").select(F.least("rx", "ry").alias("rep_a"), F.greatest("rx", "ry").alias("rep_b"))
+    points = classes.select("id", "rep", "n", "vec")
+    embedded = pairs.join(points.toDF("x", "rep_a", "n_a", "vec_a"), "x").join(points.toDF("y", "rep_b", "n_b", "vec_b"), "y")
+    close = embedded.drop("x", "y").mapInArrow(_near(t), "rep_a string, rep_b string")
+    pairs = cut_table(close.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")), "nd-close").df
+    _tidy(spark)
+
     payloads = rows.join(classes.select(F.col("rep").alias("body_hash"), "sig"), "body_hash").mapInArrow(_readable, "body_hash string, payload binary")
     full = pairs.join(payloads.toDF("rep_a", "payload_a"), "rep_a").join(payloads.toDF("rep_b", "payload_b"), "rep_b")
     verified = full.mapInArrow(_verify(t), "rep_a string, rep_b string, similarity double").distinct()
