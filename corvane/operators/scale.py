@@ -105,3 +105,20 @@ def ordered_codes(df: DataFrame, key: str, code: str = "code", partitions: int |
     since range bounds are sampled anew in each run."""
     n = partitions or range_parts(df.sparkSession)
     return df.repartitionByRange(n, F.col(key)).sortWithinPartitions(key).withColumn(code, F.monotonically_increasing_id())
+
+
+def global_places(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``place``, its row's position (from 0) in ``order``, without a sort in
+    one task: rows are sorted within range partitions and the partitions' sizes, one
+    number each, shift their positions."""
+    n = range_parts(df.sparkSession)
+    coded = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("place_code", F.monotonically_increasing_id()), "places")
+    part = F.shiftright("place_code", PARTITION_BITS)
+    sizes = coded.groupBy(part.alias("place_part")).count().orderBy("place_part").collect()  # one row per partition
+    starts, before = [], 0
+    for r in sizes:
+        starts.append((r["place_part"], before))
+        before += r["count"]
+    shift = df.sparkSession.createDataFrame(starts, "place_part bigint, place_start bigint")
+    at = F.col("place_code").bitwiseAND((1 << PARTITION_BITS) - 1) + F.col("place_start")
+    return coded.withColumn("place_part", part).join(F.broadcast(shift), "place_part").withColumn("place", at).drop("place_part", "place_start", "place_code")

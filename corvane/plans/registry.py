@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import edges, index, problems, similarity
+from . import edges, evaluation, index, problems, similarity
 
-MODULES = [problems, similarity, edges, index]
+MODULES = [problems, similarity, edges, index, evaluation]
 
 
 def queries():
