@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import edges, evaluation, index, problems, similarity
+from . import edges, evaluation, index, parsing, problems, similarity, streams
 
-MODULES = [problems, similarity, edges, index, evaluation]
+MODULES = [problems, similarity, edges, index, evaluation, parsing, streams]
 
 
 def queries():
