@@ -122,3 +122,10 @@ def global_places(df: DataFrame, order: list[str]) -> DataFrame:
     shift = df.sparkSession.createDataFrame(starts, "place_part bigint, place_start bigint")
     at = F.col("place_code").bitwiseAND((1 << PARTITION_BITS) - 1) + F.col("place_start")
     return coded.withColumn("place_part", part).join(F.broadcast(shift), "place_part").withColumn("place", at).drop("place_part", "place_start", "place_code")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it has fewer: for steps that
+    work long on each row of a few small files. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

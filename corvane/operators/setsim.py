@@ -11,18 +11,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, windows
+from .scale import cut, spread
 
 MIN_DF, MAX_DF, MIN_SHARED, FLOOR, WIDTH, LEAST_TOKENS = 2, 60, 3, 0.27, 5, 20
 
 
-def postings(records: DataFrame, key: str, text: str, width: int = WIDTH, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """(id, w): distinct windows of each record; records of too few tokens have none.
+def window_sets(records: DataFrame, key: str, text: str, width: int = WIDTH, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+    """(id, ws): the distinct windows of each record of enough tokens, written once:
+    everything below reads them several times."""
+    tok = spread(records.select(F.col(key).alias("id"), F.col(text).alias("text"))).select("id", tokens(F.col("text")).alias("tok"))
+    sets = tok.select("id", F.when(F.size("tok") >= least_tokens, F.array_distinct(windows(F.col("tok"), width))).alias("ws"))
+    # Filtered only once it is written: a filter here would be pushed below the tokens and
+    # run the tokeniser again for every window.
+    return cut(sets, "windows").where("size(ws) > 0")
+
+
+def exploded(sets: DataFrame) -> DataFrame:
+    """(id, w) of window sets."""
+    return sets.select("id", F.explode("ws").alias("w"))
 
-    explode_outer keeps the optimizer from inferring a filter that would run the
-    tokeniser once per window."""
-    tok = records.select(F.col(key).alias("id"), tokens(F.col(text)).alias("tok"))
-    sets = tok.select("id", F.explode_outer(F.array_distinct(F.when(F.size("tok") >= least_tokens, windows(F.col("tok"), width)))).alias("w"))
-    return sets.where("w is not null")
+
+def postings(records: DataFrame, key: str, text: str, width: int = WIDTH, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+    """(id, w): distinct windows of each record; records of too few tokens have none."""
+    return exploded(window_sets(records, key, text, width, least_tokens))
 
 
 def set_sizes(posts: DataFrame) -> DataFrame:
@@ -38,19 +49,17 @@ def candidate_pairs(posts: DataFrame, min_df: int = MIN_DF, max_df: int = MAX_DF
     return a.join(b, "w").where("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
 
 
-def scored_pairs(posts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(left_id, right_id, shared, score): Jaccard of the full sets. The full
-    intersection is counted for the candidates only."""
-    sizes = set_sizes(posts)
-    left = pairs.select("left_id", "right_id").join(posts.select(F.col("id").alias("left_id"), "w"), "left_id")
-    full = left.join(posts.select(F.col("id").alias("right_id"), "w"), ["right_id", "w"]).groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
-    sized = full.join(sizes.toDF("left_id", "n_left"), "left_id").join(sizes.toDF("right_id", "n_right"), "right_id")
-    return sized.select("left_id", "right_id", "shared", (F.col("shared") / (F.col("n_left") + F.col("n_right") - F.col("shared"))).alias("score"))
+def scored_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(left_id, right_id, shared, score): Jaccard of the full sets of candidate pairs,
+    one row per pair: sets travel, not windows."""
+    two = pairs.select("left_id", "right_id").join(sets.toDF("left_id", "a"), "left_id").join(sets.toDF("right_id", "b"), "right_id")
+    both = two.select("left_id", "right_id", F.size(F.array_intersect("a", "b")).cast("bigint").alias("shared"), (F.size("a") + F.size("b")).alias("total"))
+    return both.select("left_id", "right_id", "shared", (F.col("shared") / (F.col("total") - F.col("shared"))).alias("score"))
 
 
 def all_pairs(records: DataFrame, key: str, text: str) -> DataFrame:
-    posts = postings(records, key, text)
-    return scored_pairs(posts, candidate_pairs(posts))
+    sets = window_sets(records, key, text)
+    return scored_pairs(sets, candidate_pairs(exploded(sets)))
 
 
 def needle_scores(needles: DataFrame, posts: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
