@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scale import spread
+
 MASKS = ("1111", "11011", "110101", "101011")
 LEAST_WORDS = 20
 #: One word in so many may be edited.
@@ -234,7 +236,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, block_words: int = BLOC
     rows = items.where("item_id is not null").select("item_id", "question", "answer").distinct()
     size = rows.agg(F.sum(F.coalesce(F.length("question"), F.lit(0)) + F.coalesce(F.length("answer"), F.lit(0)))).first()[0] or 0
     blocks = int(size // (5 * block_words)) + 1
-    texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    texts = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
     stock: set[str] = set()
     for q in ("question", "answer"):
         # The closing sentence, normalised, as a column, so that its counts are Spark's.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.scale import cut_table
+from ..operators.scale import cut_table, spread
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -254,7 +254,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
     """
     spark = documents.sparkSession
     rows = documents.where("doc_id is not null").select("doc_id", "text")
-    items = cut_table(rows.mapInArrow(_pieces(tokenizer, capacity), "doc_id bigint, piece int, token_start bigint, n_tokens int"), "packing").df
+    items = cut_table(spread(rows).mapInArrow(_pieces(tokenizer, capacity), "doc_id bigint, piece int, token_start bigint, n_tokens int"), "packing").df
     histogram = {r["n_tokens"]: r["count"] for r in items.groupBy("n_tokens").count().collect()}  # at most capacity + 1 rows
     histogram.pop(0, None)
     table = spark.sparkContext.broadcast(lookup(container_classes(histogram, capacity, groups, small), capacity))

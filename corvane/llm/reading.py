@@ -16,13 +16,15 @@ lines are put together again. A document without prose has no level.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scale import cut_table
+from ..operators.scale import cut_table, spread
 
 #: At most so many labelled documents, those of the smallest hashes of doc_id, are used to fit.
 MAX_LABELLED = 20_000
@@ -97,30 +99,64 @@ def is_english(lang: str | None, words: list[str]) -> bool:
 
 def _prose(batches):
     for b in batches:
-        ids, words, counts = [], [], []
+        ids, words, times, counts = [], [], [], []
         for d, text, lang in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["lang"].to_pylist()):
             found = sentences(text)
             flat = [w for s in found for w in s]
             if flat and is_english(lang, flat):
+                n = Counter(flat)
                 ids.append(d)
-                words.append(flat)
+                words.append(list(n))
+                times.append(list(n.values()))
                 counts.append(len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.int32())], ["doc_id", "words", "n_sentences"])
+        kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((ids, words, times, counts), kinds)], ["doc_id", "words", "times", "n_sentences"])
+
+
+PROSE = "doc_id bigint, words array<string>, times array<int>, n_sentences int"
+
+
+def _mean_scores(b, table, default: float):
+    """Per document of a batch the mean score over its words, and its number of words. A
+    dictionary gives a word's score, a set scores its words 0 and all others ``default``."""
+    flat, times = b["words"].flatten(), b["times"].flatten().to_numpy()
+    coded = flat.dictionary_encode()
+    vocabulary = coded.dictionary.to_pylist()
+    of = table.get if isinstance(table, dict) else lambda w, other: 0.0 if w in table else other
+    score = np.array([of(w, default) for w in vocabulary], float)[coded.indices.to_numpy()]
+    sizes = pc.list_value_length(b["words"]).to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    n = np.add.reduceat(times, starts).astype(float)
+    return np.add.reduceat(score * times, starts) / n, n, coded, sizes
 
 
 def _scored(scores, default):
-    """Per document the mean of the words' scores; a set of words scores 0 inside, 1 outside."""
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                mean, n, _, _ = _mean_scores(b, scores.value, default)
+                length = n / b["n_sentences"].to_numpy()
+                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(mean), pa.array(length)], ["doc_id", "score", "sentence_length"])
+
+    return run
+
+
+def _frequencies(scores, default, cut):
+    """Per word the documents below (g) and from ``cut`` on (o), in part; the row of the
+    empty word counts the documents themselves."""
 
     def run(batches):
-        table = scores.value
         for b in batches:
-            if isinstance(table, dict):
-                mean = [float(np.mean([table.get(w, default) for w in ws])) for ws in b["words"].to_pylist()]
-            else:
-                mean = [sum(w not in table for w in ws) / len(ws) for ws in b["words"].to_pylist()]
-            n = [len(w) for w in b["words"]]
-            length = [k / s for k, s in zip(n, b["n_sentences"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["words"], pa.array(mean, pa.float64()), pa.array(length, pa.float64())], ["doc_id", "words", "score", "sentence_length"])
+            if b.num_rows:
+                mean, _, coded, sizes = _mean_scores(b, scores.value, default)
+                general = mean < cut
+                at, in_general = coded.indices.to_numpy(), np.repeat(general, sizes)
+                k = len(coded.dictionary)
+                g, every = np.bincount(at[in_general], minlength=k), np.bincount(at, minlength=k)
+                words = coded.dictionary.to_pylist() + [""]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words, pa.string()), pa.array(np.append(g, general.sum()).astype(np.int64)), pa.array(np.append(every - g, (~general).sum()).astype(np.int64))], ["w", "g", "o"]
+                )
 
     return run
 
@@ -163,29 +199,31 @@ def reading_levels(documents: DataFrame, labels: DataFrame, max_labelled: int =
     """
     spark = documents.sparkSession
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text", "lang")
-    prose = cut_table(rows.mapInArrow(_prose, "doc_id bigint, words array<string>, n_sentences int"), "reading").df
+    prose = cut_table(spread(rows).mapInArrow(_prose, PROSE), "reading").df
     graded = labels.where("doc_id is not null and grade between 1 and 5").select("doc_id", "rater_id", "grade").distinct().groupBy("doc_id").agg(F.avg("grade").alias("grade"))
-    sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    known = cut_table(prose.join(F.broadcast(sample), "doc_id"), "reading-sample").df
-    word_grades = known.select("grade", F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.sum("grade").alias("s"), F.count("*").alias("n")).collect()  # words of the sample
+    sample = cut_table(graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "reading-sample").df
+    known = cut_table(prose.join(F.broadcast(sample), "doc_id"), "reading-known").df
+    word_grades = known.select("grade", F.explode("words").alias("w")).groupBy("w").agg(F.sum("grade").alias("s"), F.count("*").alias("n")).collect()  # words of the sample
     mean = known.agg(F.avg("grade")).first()[0]
     if mean is None:
-        return prose.select("doc_id", F.lit(None).cast("double").alias("unfamiliar_share"), (F.size("words") / F.col("n_sentences")).alias("sentence_length"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("boolean").alias("too_demanding"))
-    grades = {r["w"]: (r["s"] + mean) / (r["n"] + 1) for r in word_grades}
-    table, default = spark.sparkContext.broadcast(grades), mean
-    out = "doc_id bigint, words array<string>, score double, sentence_length double"
+        length = F.aggregate("times", F.lit(0), lambda a, x: a + x) / F.col("n_sentences")
+        return prose.select("doc_id", F.lit(None).cast("double").alias("unfamiliar_share"), length.alias("sentence_length"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("boolean").alias("too_demanding"))
+    table, default = spark.sparkContext.broadcast({r["w"]: (r["s"] + mean) / (r["n"] + 1) for r in word_grades}), mean
+    out = "doc_id bigint, score double, sentence_length double"
+
+    def graded_scores():
+        return known.drop("grade").mapInArrow(_scored(table, default), out).join(F.broadcast(sample), "doc_id").select("score", "sentence_length", "grade").collect()
+
     for _ in range(3):
-        scored = prose.mapInArrow(_scored(table, default), out)
-        mine = known.drop("grade").mapInArrow(_scored(table, default), out).join(F.broadcast(sample), "doc_id").select("score", "grade").collect()
+        mine = graded_scores()
         cut = best_cut(np.array([r["score"] for r in mine]), np.array([r["grade"] for r in mine]) >= DEMANDING - 0.5)
         # Document frequencies among the documents on either side of the cut.
-        parts = scored.select((F.col("score") < cut).alias("general"), F.array_distinct("words").alias("words"))
-        sizes = {r["general"]: r["count"] for r in parts.groupBy("general").count().collect()}
-        n_general, n_other = sizes.get(True, 0), sizes.get(False, 0)
-        words = parts.select("general", F.explode("words").alias("w")).groupBy("w").agg(F.count_if("general").alias("g"), F.count_if(~F.col("general")).alias("o"))
-        listed = words.where((F.col("g") >= familiar_share * n_general) & (F.col("g") * n_other >= F.col("o") * F.lit(0.5) * n_general))
+        words = cut_table(prose.mapInArrow(_frequencies(table, default, cut), "w string, g bigint, o bigint").groupBy("w").agg(F.sum("g").alias("g"), F.sum("o").alias("o")), "reading-words").df
+        total = words.where("w = ''").first()
+        n_general, n_other = (total["g"], total["o"]) if total else (0, 0)
+        listed = words.where((F.col("w") != "") & (F.col("g") >= familiar_share * n_general) & (F.col("g") * n_other >= F.col("o") * F.lit(0.5) * n_general))
         table, default = spark.sparkContext.broadcast(frozenset(r["w"] for r in listed.select("w").collect())), 1.0
-    mine = known.drop("grade").mapInArrow(_scored(table, default), out).join(F.broadcast(sample), "doc_id").select("score", "sentence_length", "grade").collect()
+    mine = graded_scores()
     formula = Formula(*(np.array([r[c] for r in mine], float) for c in ("score", "sentence_length", "grade")))
     final = prose.mapInArrow(_scored(table, default), out)
     w = [float(x) for x in formula.weights]
