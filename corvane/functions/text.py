@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that queries don't search for. Fixed values.
-STOPWORDS = (
-    "the and for with that this from into are was were has have had not but you your our its their his her they them then than when where which what who how why can could should would will may might must does did done all any each every some such only other more most about after before between over under out off per via use used using"
-).split()
+#: Words that queries don't search for. Fixed values. (Forms that a term can't take, such
+#: as those with an apostrophe, are left out.)
+STOPWORDS = """
+a an and are as at be been being but by can code could did do does
+doing done for from get gets given handle handles has have having
+how in into is it its like make makes of on or over per put return
+returns should so some such take takes than that the their them then
+there these they this those to use used uses using was were what
+when where which while who why will with would
+find locate search identify show wheres helper helpers
+function functions method methods class classes reusable existing
+logic implementation implementations piece part area thing
+""".split()
 
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 TERM = r"[A-Za-z][A-Za-z0-9_]{2,}"

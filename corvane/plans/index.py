@@ -27,7 +27,7 @@ def src2(spark, d):
     """Script files that client calls name, without vendored and generated ones."""
     path = F.split_part("target_ref", F.lit(":"), F.lit(1))
     files = refs(spark, d).where("target_kind = 'client_call'").select(path.alias("path")).distinct()
-    return files.where(F.col("path").endswith(".js") & ~F.col("path").rlike(r"(^|/)(node_modules|vendor|dist)/|\.min\.js$"))
+    return files.where(F.col("path").endswith(".js") & ~F.col("path").rlike(r"(^|/)(node_modules|vendor|dist|build)/|\.(min|bundle)\.js$"))
 
 
 def src3(spark, d):
@@ -279,8 +279,8 @@ def snk16(spark, d):
     return s.select("source_unit_id", "target_unit_id", key.alias("digest")).distinct().withColumn("sheet_id", F.left("digest", F.lit(10))).drop("digest")
 
 
-#: Directories that a scan skips. Fixed values.
-SKIPPED = [".git", ".hg", ".tox", ".venv", "venv", "__pycache__", "node_modules", "build", "dist", "site-packages", ".mypy_cache", ".pytest_cache"]
+#: Directories that a scan of Python files skips; scripts leave out those of SRC2. Fixed values.
+SKIPPED = [".git", ".venv", "venv", "__pycache__"]
 
 QUERIES = {
     "SRC1": src1, "SRC2": src2, "SRC3": src3, "SRC14": src14, "SRC15": src15, "SRC16": src16, "SRC22": src22, "FLT1": flt1, "FLT3": flt3, "FLT4": flt4, "FLT4_lines": flt4_lines, "FLT5": flt5, "FLT6": flt6,
@@ -314,7 +314,7 @@ NAMESJ = "CAST(json({0}) AS VARCHAR[])"
 
 SQL = {
     "SRC1": "SELECT path, version FROM source_files WHERE path LIKE '%.py' AND NOT list_has_any(string_split(path, '/'), [" + ", ".join(f"'{s}'" for s in SKIPPED) + "])",
-    "SRC2": W + r" SELECT DISTINCT split_part(target_ref, ':', 1) AS path FROM refs WHERE target_kind = 'client_call' AND split_part(target_ref, ':', 1) LIKE '%.js' AND NOT regexp_matches(split_part(target_ref, ':', 1), '(^|/)(node_modules|vendor|dist)/|\.min\.js$')",
+    "SRC2": W + r" SELECT DISTINCT split_part(target_ref, ':', 1) AS path FROM refs WHERE target_kind = 'client_call' AND split_part(target_ref, ':', 1) LIKE '%.js' AND NOT regexp_matches(split_part(target_ref, ':', 1), '(^|/)(node_modules|vendor|dist|build)/|\.(min|bundle)\.js$')",
     "SRC3": "SELECT DISTINCT path, (contains(path, 'tests/') OR contains(path, 'core')) AS excluded FROM units",
     "SRC14": """WITH b AS (SELECT path, text FROM source_files WHERE version = 'base') SELECT h.path, b.text IS NULL AS added FROM source_files h LEFT JOIN b USING (path)
 WHERE h.version = 'head' AND b.text IS DISTINCT FROM h.text""",

@@ -108,9 +108,9 @@ def test_scripts(spark):
 
 def test_tree_and_config(spark, tmp_path):
     (tmp_path / "pkg").mkdir()
-    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "venv").mkdir()
     (tmp_path / "pkg" / "a.py").write_text("x = 1\n")
-    (tmp_path / "node_modules" / "b.py").write_text("x = 1\n")
+    (tmp_path / "venv" / "b.py").write_text("x = 1\n")
     (tmp_path / "pkg" / "skip_c.py").write_text("x = 1\n")
     assert [r["path"] for r in read_tree(spark, str(tmp_path), excludes=["skip_"]).collect()] == ["pkg/a.py"]
     (tmp_path / "corvane.toml").write_text('excludes = ["b", "a"]\n')
