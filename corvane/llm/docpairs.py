@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-BLOCK = 64
+from ..operators.intervals import unit_code
+
 FUNCTION_KINDS = ("function", "async_function")
 
 #: Words that any description of a function may use without saying anything. Fixed values.
@@ -137,27 +138,6 @@ def live_functions(units: DataFrame) -> DataFrame:
     return wide.join(live.hint("shuffle_merge"), same).drop(live["unit_id"]).drop(live["run_id"]).drop("seen_at", "ingested_at").dropDuplicates(["unit_id"])
 
 
-def unit_code(spans: DataFrame, sources: DataFrame) -> DataFrame:
-    """(unit_id, code): lines start_line to end_line (from 1) of each span's file.
-
-    Files are split into blocks of BLOCK lines and spans into the blocks they touch,
-    which makes the interval join an equi-join on (path, block). Spans beyond the
-    text are cut to it; spans that touch no line have no row. Line ends come out as \\n.
-    """
-    lines = F.split("text", "\r\n|\r|\n")
-    heads = sources.where("version = 'head' and path is not null and text is not null").groupBy("path").agg(F.max_by("text", F.struct("mtime", "text")).alias("text"))
-    files = heads.select("path", lines.alias("lines"))
-    blocks = files.select("path", "lines", F.explode(F.sequence(F.lit(0), ((F.size("lines") - 1) / BLOCK).cast("int"))).alias("block"))
-    blocks = blocks.select("path", "block", F.slice("lines", F.col("block") * BLOCK + 1, F.lit(BLOCK)).alias("part"))
-    touched = spans.where("start_line >= 1 and end_line >= start_line").select("unit_id", "path", "start_line", "end_line")
-    touched = touched.withColumn("block", F.explode(F.sequence(((F.col("start_line") - 1) / BLOCK).cast("int"), ((F.col("end_line") - 1) / BLOCK).cast("int"))))
-    first = F.greatest(F.col("start_line") - F.col("block") * BLOCK, F.lit(1))
-    last = F.least(F.col("end_line") - F.col("block") * BLOCK, F.size("part"))
-    pieces = touched.join(blocks, ["path", "block"]).where(last >= first).select("unit_id", "block", F.array_join(F.slice("part", first, last - first + 1), "\n").alias("piece"))
-    ordered = F.sort_array(F.collect_list(F.struct("block", "piece")))
-    return pieces.groupBy("unit_id").agg(F.array_join(F.transform(ordered, lambda p: p["piece"]), "\n").alias("code"))
-
-
 def doc_pairs(units: DataFrame, sources: DataFrame) -> DataFrame:
     """unit_id, qualname, signature, description, code, code_unit_id: one row per live
     function or method whose documentation tells more than its name and signature do.

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
-from ..operators import graph, setsim
+from ..operators import fuzzyjoin, graph, intervals, setsim
 from ..session import load
 from .edges import EDGES, LIVE, REFS, live, refs
 from .index import NAMES
+from .parsing import normalised_units
 from .similarity import jon3, posts
 
 
@@ -71,6 +72,23 @@ def jon18(spark, d):
     return u.join(sizes, ["words", "parameters"]).select("unit_id", "class_id", "n")
 
 
+def jon18_pairs(spark, d):
+    """All pairs of functions whose metadata is alike at 0.7 or above: 0.85 of the token-set
+    similarity of name, qualified name, purpose and concepts, 0.15 of the signatures'.
+    Short functions are in it too. Functions of equal fields are members of one class."""
+    text = F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in ("name", "qualname", "purpose")], F.array_join(F.from_json("concepts_json", NAMES), " "))
+    u = live(spark, d).where("kind <> 'class'").select(F.col("unit_id").alias("id"), text.alias("text"), "signature")
+    return fuzzyjoin.fuzzy_pairs(u, {"text": 0.85, "signature": 0.15}, 0.7)
+
+
+def jon18_bodies(spark, d):
+    """All pairs of functions whose normalised bodies are alike at 0.85 or above. Code that
+    can't be parsed or isn't in the head files has no body."""
+    u = live(spark, d).where("kind <> 'class'")
+    code = intervals.unit_code(u, load(spark, d, "source_files"))
+    return fuzzyjoin.fuzzy_pairs(normalised_units(code).select(F.col("unit_id").alias("id"), "text"), {"text": 1.0}, 0.85)
+
+
 def jon19(spark, d):
     """Attribute-style call targets whose last name only one callable has."""
     one = live(spark, d).where("kind <> 'class'").groupBy("name").agg(F.min("unit_id").alias("unit_id"), F.count("*").alias("n")).where("n = 1").drop("n")
@@ -139,7 +157,7 @@ def aux19(spark, d):
 
 
 QUERIES = {
-    "TOP8": top8, "TOP9": top9, "JON13": jon13, "JON15": jon15, "JON16": jon16, "JON17": jon17, "JON18": jon18, "JON19": jon19, "SRC7": src7, "AUX1": aux1, "AUX2": aux2, "AUX3": aux3, "AUX10": aux10, "AUX14": aux14, "AUX16": aux16, "AUX17": aux17, "AUX19": aux19,
+    "TOP8": top8, "TOP9": top9, "JON13": jon13, "JON15": jon15, "JON16": jon16, "JON17": jon17, "JON18": jon18, "JON18_pairs": jon18_pairs, "JON18_bodies": jon18_bodies, "JON19": jon19, "SRC7": src7, "AUX1": aux1, "AUX2": aux2, "AUX3": aux3, "AUX10": aux10, "AUX14": aux14, "AUX16": aux16, "AUX17": aux17, "AUX19": aux19,
 }
 
 W = f"WITH {LIVE}, {REFS}"

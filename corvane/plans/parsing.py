@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import textwrap
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -72,6 +75,20 @@ def fn2(spark, d):
     return _heads(spark, d).mapInPandas(run, "path string, text string")
 
 
+def normalised_units(code):
+    """(unit_id, text) of units' code (unit_id, code), normalised; code that isn't valid
+    has no row. A method's lines are indented and stand in a block of their own here."""
+    def body(text):
+        tree = normalised("if 1:\n" + text if text[:1].isspace() else text)
+        return textwrap.dedent(tree.removeprefix("if 1:")).strip("\n") if tree and text[:1].isspace() else tree
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"unit_id": pdf["unit_id"], "text": [body(t) for t in pdf["code"]]}).dropna()
+
+    return code.select("unit_id", "code").mapInPandas(run, "unit_id string, text string")
+
+
 def fn5(spark, d):
     return setsim.set_sizes(setsim.postings(fn2(spark, d), "path", "text")).select(F.col("id").alias("path"), F.col("n").alias("n_windows"))
 
