@@ -129,8 +129,13 @@ class Index:
 
 
 def rendered(slices: DataFrame, units: DataFrame, code: DataFrame) -> DataFrame:
-    """(root, markdown): each root's slice as one Markdown text, members by role, depth and id."""
-    m = slices.join(units.select("unit_id", "path", "start_line", "end_line"), "unit_id").join(code, "unit_id", "left")
+    """(root, markdown): each root's slice as one Markdown text: the root's own unit first,
+    as target, then members by role, depth and id. Every unit of ``units`` is a root; one
+    without members has its target only."""
+    targets = units.select(F.col("unit_id").alias("root"), "unit_id", F.lit("target").alias("role"), F.lit(0).alias("depth"))
+    parts = slices.select("root", "unit_id", "role", "depth").unionByName(targets)
+    m = parts.join(units.select("unit_id", "path", "start_line", "end_line"), "unit_id").join(code, "unit_id", "left")
     part = F.format_string("## %s: %s\n%s:%d-%d\n```python\n%s\n```", "role", "unit_id", "path", "start_line", "end_line", F.coalesce("code", F.lit("")))
-    g = m.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("role", "depth", "unit_id", part.alias("part")))).alias("parts"))
+    order = F.struct((F.col("role") != "target").alias("rest"), "role", "depth", "unit_id", part.alias("part"))
+    g = m.groupBy("root").agg(F.array_sort(F.collect_list(order)).alias("parts"))
     return g.select("root", F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n").alias("markdown"))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import build, graph
+from ..operators import build, graph, intervals
 from ..operators.incremental import KEY, VERSION, Target
 from ..operators.scale import shared_dir
 from ..session import load
@@ -71,12 +71,10 @@ def snk4(spark, d):
 
 
 def snk12(spark, d):
-    """Each slice as Markdown: its length and hash."""
-    lines = F.split("text", "\r\n|\r|\n")
-    heads = load(spark, d, "source_files").where("version = 'head'").select("path", lines.alias("ls"))
-    u = live(spark, d).where("end_line - start_line < 400")
-    code = u.join(heads, "path").select("unit_id", F.array_join(F.slice("ls", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("code"))
-    return build.rendered(_slices(spark, d).select("root", "unit_id", "role", "depth"), u, code).select("root", F.length("markdown").alias("n_chars"), F.sha2("markdown", 256).alias("digest"))
+    """Each live unit with its slice as Markdown: its length and hash."""
+    u = live(spark, d)
+    code = intervals.unit_code(u, load(spark, d, "source_files"))
+    return build.rendered(_slices(spark, d), u, code).select("root", F.length("markdown").alias("n_chars"), F.sha2("markdown", 256).alias("digest"))
 
 
 def snk13(spark, d):
