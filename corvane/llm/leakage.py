@@ -21,10 +21,10 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scale import spread
+from ..operators.scale import cut, spread
 
 MASKS = ("1111", "11011", "110101", "101011")
 LEAST_WORDS = 20
@@ -222,31 +222,51 @@ def item_parts(rows, stock: set[str]) -> list[tuple[int, list[str]]]:
     return parts
 
 
+def _normal(text) -> Column:
+    return F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")))
+
+
+def _sentences(text: str) -> Column:
+    """The sentences of a column, normalised."""
+    return F.transform(F.split(F.trim(F.coalesce(text, F.lit(""))), r"(?<=[.!?:])\s+|\n+"), _normal)
+
+
+def stock_sentences(rows: DataFrame) -> DataFrame:
+    """(s): closing sentences of under LEAST_WORDS words, normalised, that STOCK_ITEMS
+    different questions or answers share; copies of a text count once. Longer ones could
+    be leaked passages themselves."""
+    closing = None
+    for q in ("question", "answer"):
+        last = rows.select(F.element_at(_sentences(q), -1).alias("s"), _normal(F.col(q)).alias("whole"))
+        some = last.where("s <> ''").groupBy("s").agg(F.count_distinct("whole").alias("n")).where(F.col("n") >= STOCK_ITEMS).select("s")
+        closing = some if closing is None else closing.unionByName(some)
+    return closing.distinct().where(F.size(F.split("s", " ")) < LEAST_WORDS)
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id), once each, of documents whose text holds a passage of an
     item's question or answer: at least 20 successive words of it, in order, with at
     most one in five replaced, dropped or inserted.
 
     Null and blank texts hold nothing; rows with a null id are left out; a doc_id or
-    item_id with several texts counts with each of them. Closing sentences that
-    STOCK_ITEMS items or more share are stock instructions and no passage. A table of
-    items without words gives no rows.
+    item_id with several texts counts with each of them. Closing sentences of
+    ``stock_sentences`` are stock instructions and no passage. A table of items without
+    words gives no rows.
     """
     spark = documents.sparkSession
     rows = items.where("item_id is not null").select("item_id", "question", "answer").distinct()
     size = rows.agg(F.sum(F.coalesce(F.length("question"), F.lit(0)) + F.coalesce(F.length("answer"), F.lit(0)))).first()[0] or 0
     blocks = int(size // (5 * block_words)) + 1
     texts = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
-    stock: set[str] = set()
-    for q in ("question", "answer"):
-        # The closing sentence, normalised, as a column, so that its counts are Spark's.
-        last = F.element_at(F.split(F.trim(q), r"(?<=[.!?:])\s+|\n+"), -1)
-        shared = rows.select(F.trim(F.lower(F.regexp_replace(last, r"[^\p{L}\p{N}]+", " "))).alias("s")).groupBy("s").count()
-        stock |= {r["s"] for r in shared.where((F.col("count") >= STOCK_ITEMS) & (F.col("s") != "")).orderBy(F.desc("count")).limit(10_000).collect()}
+    stock = cut(stock_sentences(rows), "stock")
     out = None
     for k in range(blocks):
-        some = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        index = spark.sparkContext.broadcast(Index(item_parts([tuple(r) for r in some], stock)))
+        block = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        some = block.collect()
+        # Only stock sentences that the block's own texts hold come to the driver.
+        said = block.select(F.explode(F.flatten(F.array(_sentences("question"), _sentences("answer")))).alias("s"))
+        known = {r["s"] for r in said.join(stock, "s", "left_semi").distinct().collect()}
+        index = spark.sparkContext.broadcast(Index(item_parts([tuple(r) for r in some], known)))
         found = texts.mapInArrow(_scan(index), "doc_id bigint, item_id bigint")
         out = found if out is None else out.unionByName(found)
     return out.distinct()
