@@ -6,12 +6,12 @@ with those of the last published target: nothing else is remembered, so a run
 that died half way leaves nothing to repair and nothing is done twice.
 
 A target version is written to a folder of its own and becomes the target by one
-rename of a small manifest, which fails if the same version was published before.
+claim of the next manifest, on the version that the run read its state from: a run
+that another one overtook fails instead of repeating records.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
@@ -19,34 +19,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .history import current_units, latest
+from .manifest import Manifest, PublishConflict
 from .scale import salted_join
 
 KEY, VERSION = "source_key", "source_version"
+_PAIR = "source_pair"
+
+
+def _paired(df: DataFrame) -> DataFrame:
+    return df.withColumn(_PAIR, F.concat_ws("\u0000", KEY, VERSION))
 
 
 def pending(source: DataFrame, done: DataFrame) -> DataFrame:
-    """Rows of ``source`` (source_key, source_version, ...) that ``done``
-    (source_key, source_version), the stored state, doesn't have in that version.
+    """Rows of ``source`` (source_key, source_version, ...) whose version isn't the one that
+    ``done`` (source_key, source_version; the stored state, one row per key) holds.
 
-    A null version counts as ''. A key that ``done`` lacks has the version '': a
-    source row of version '' (nothing there) needs no work then. Rows with a null
-    key are no records and are left out; repeated source rows come out once each.
-    Both sides are clustered by the key, once.
+    Two disjoint parts: records are anti-joined on key and version; removals, whose version
+    is '' (or null), count where the state holds a version other than ''. Rows with a null
+    key are no records. Source rows may be many per key: hot keys are spread over tasks.
     """
     left = source.where(F.col(KEY).isNotNull()).withColumn(VERSION, F.coalesce(VERSION, F.lit("")))
-    right = done.where(F.col(KEY).isNotNull()).select(KEY, F.coalesce(VERSION, F.lit("")).alias("done_version")).distinct()
-    gone = left.join(right, (left[KEY] == right[KEY]) & (left[VERSION] == right["done_version"]), "left_anti")
-    nothing = gone.where(F.col(VERSION) == "")
-    known = right.select(KEY).distinct()
-    return gone.where(F.col(VERSION) != "").unionByName(nothing.join(known, KEY, "left_semi").select(*gone.columns))
-
-
-def pending_states(source: DataFrame, done: DataFrame) -> DataFrame:
-    """``pending`` for a state of one version per key: both sides unique in
-    source_key, so that one join on the key alone decides, and a missing state is ''."""
-    right = done.select(KEY, F.coalesce(VERSION, F.lit("")).alias("done_version"))
-    both = source.where(F.col(KEY).isNotNull()).withColumn(VERSION, F.coalesce(VERSION, F.lit(""))).join(right, KEY, "left")
-    return both.where(F.col(VERSION) != F.coalesce("done_version", F.lit(""))).drop("done_version")
+    right = done.where(F.col(KEY).isNotNull()).select(KEY, F.coalesce(VERSION, F.lit("")).alias(VERSION)).where(F.col(VERSION) != "")
+    changed = salted_join(_paired(left.where(F.col(VERSION) != "")), _paired(right).select(_PAIR), _PAIR, "left_anti").select(*left.columns)
+    removed = salted_join(left.where(F.col(VERSION) == ""), right.select(KEY), KEY, "left_semi").select(*left.columns)
+    return changed.unionByName(removed)
 
 
 def processed_states(checkpoints: DataFrame, runs: DataFrame) -> DataFrame:
@@ -65,17 +61,19 @@ def pending_units(units: DataFrame, checkpoints: DataFrame, runs: DataFrame, cur
     leaves the body alone is no change. Empty tables give no rows."""
     current = current_units(units) if current is None else current
     state = current.select(F.col("unit_id").alias(KEY), F.when(F.col("removed"), F.lit("")).otherwise(F.col("body_hash")).alias(VERSION))
-    return pending_states(state, processed_states(checkpoints, runs)).select(F.col(KEY).alias("unit_id"))
+    return pending(state, processed_states(checkpoints, runs)).select(F.col(KEY).alias("unit_id"))
 
 
 def stale_references(references: DataFrame, current: DataFrame) -> DataFrame:
     """rel_id, once each, of the references whose source unit is live and whose
-    source_hash (null as '') isn't the unit's hash. ``references`` may be delivered
-    again and one source may hold many of them; the join spreads such a source."""
-    rows = references.where("rel_id is not null and source_unit_id is not null").select("rel_id", "source_unit_id", F.coalesce("source_hash", F.lit("")).alias("read_hash"))
-    live = current.where(~F.col("removed")).select(F.col("unit_id").alias("source_unit_id"), "body_hash")
-    joined = salted_join(rows, live, "source_unit_id", spread=F.xxhash64("rel_id"))
-    return joined.where(F.col("read_hash") != F.col("body_hash")).select("rel_id").distinct()
+    source_hash (null as '') isn't the unit's hash: the references' stored versions are
+    anti-joined with those of the live units, what is left of live units is stale.
+    ``references`` may be delivered again and one source may hold many of them; the joins
+    spread such a source."""
+    rows = references.where("rel_id is not null and source_unit_id is not null").select("rel_id", F.col("source_unit_id").alias(KEY), F.coalesce("source_hash", F.lit("")).alias(VERSION)).distinct()
+    live = current.where(~F.col("removed")).select(F.col("unit_id").alias(KEY), F.col("body_hash").alias(VERSION))
+    other = salted_join(_paired(rows), _paired(live).select(_PAIR), _PAIR, "left_anti", spread=F.xxhash64("rel_id"))
+    return salted_join(other, live.select(KEY), KEY, "left_semi", spread=F.xxhash64("rel_id")).select("rel_id").distinct()
 
 
 def pending_work(units: DataFrame, checkpoints: DataFrame, runs: DataFrame, references: DataFrame) -> DataFrame:
@@ -89,37 +87,25 @@ def pending_work(units: DataFrame, checkpoints: DataFrame, runs: DataFrame, refe
 class Target:
     """A versioned target table under ``path``.
 
-    ``v<n>/`` holds the rows that version n added, ``manifest/<n>.json`` names the
-    folders that make up version n. A version exists once its manifest does; the
-    manifest is renamed into place, so readers see the old or the new version and
-    two writers can't both publish n. Folders without a manifest are leftovers of
-    runs that died and are never read.
+    Manifest n names the folders of rows that make up version n, each row with the
+    ``target_version`` that added it, and the folders of its state, (source_key,
+    source_version, target_version): a compacted one and at most COMPACT later ones, so
+    that a run doesn't read all rows ever published. Folders without a manifest are
+    leftovers of runs that died and are never read.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    COMPACT = 8
 
-    def _fs(self, path: str):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.manifest = spark, path.rstrip("/"), Manifest(spark, path)
 
     def version(self) -> int:
         """The last published version, 0 if there is none."""
-        fs, place = self._fs(f"{self.path}/manifest")
-        if not fs.exists(place):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(place)]
-        return max([int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()], default=0)
-
-    def folders(self, version: int) -> list[str]:
-        if version == 0:
-            return []
-        text = self.spark.read.text(f"{self.path}/manifest/{version}.json", wholetext=True).first()[0]
-        return json.loads(text)["folders"]
+        return self.manifest.version()
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """All rows of a version, or None before the first."""
-        folders = self.folders(self.version() if version is None else version)
+        folders = self.manifest.read(self.version() if version is None else version).get("folders")
         return self.spark.read.option("mergeSchema", "true").parquet(*folders) if folders else None
 
     def current(self) -> DataFrame | None:
@@ -130,36 +116,47 @@ class Target:
         newest = rows.groupBy(KEY).agg(F.max("target_version").alias("target_version"))
         return rows.join(newest, [KEY, "target_version"], "left_semi")
 
-    def state(self) -> DataFrame:
-        """(source_key, source_version) last stored for each key."""
-        rows = self.read()
-        if rows is None:
-            return self.spark.createDataFrame([], f"{KEY} string, {VERSION} string")
-        return latest(rows, [KEY], ["target_version"], [VERSION])
-
-    def publish(self, rows: DataFrame) -> int:
-        """Write ``rows`` (with source_key and source_version) as the next version."""
-        base = self.version()
-        version, folder = base + 1, f"{self.path}/v{base + 1}-{uuid.uuid4().hex[:12]}"
+    def state(self, version: int | None = None) -> DataFrame:
+        """(source_key, source_version, target_version) last stored for each key."""
+        folders = self.manifest.read(self.version() if version is None else version).get("state")
+        if not folders:
+            return self.spark.createDataFrame([], f"{KEY} string, {VERSION} string, target_version bigint")
+        return latest(self.spark.read.parquet(*folders), [KEY], ["target_version"], [VERSION, "target_version"])
+
+    def publish(self, rows: DataFrame, base: int | None = None) -> int:
+        """Write ``rows`` (with source_key and source_version) as the version after
+        ``base``, the version whose state they were made from (the last one if none is
+        given). PublishConflict if another run published on that base."""
+        base = self.version() if base is None else base
+        version, name, old = base + 1, uuid.uuid4().hex[:12], self.manifest.read(base)
+        folder, state = f"{self.path}/v{version}-{name}", f"{self.path}/state{version}-{name}"
         rows.withColumn("target_version", F.lit(version).cast("bigint")).write.parquet(folder)
-        fs, place = self._fs(f"{self.path}/manifest/{version}.json")
-        _, staged = self._fs(f"{self.path}/staged/{uuid.uuid4().hex}.json")
-        fs.mkdirs(place.getParent())
-        out = fs.create(staged)
-        out.write(bytearray(json.dumps({"folders": [*self.folders(base), folder]}).encode()))
-        out.close()
-        if fs.exists(place) or not fs.rename(staged, place):
-            raise RuntimeError(f"version {version} of {self.path} was published by another run")
-        return version
-
-    def run(self, source: DataFrame, process: Callable[[DataFrame], DataFrame]) -> int | None:
+        delta = self.spark.read.parquet(folder).select(KEY, VERSION, "target_version")
+        kept = old.get("state", [])
+        if len(kept) > self.COMPACT:
+            delta, kept = latest(self.spark.read.parquet(*kept).unionByName(delta), [KEY], ["target_version"], [VERSION, "target_version"]), []
+        else:
+            delta = delta.distinct()
+        delta.write.parquet(state)
+        return self.manifest.publish({"folders": [*old.get("folders", []), folder], "state": [*kept, state]}, base)
+
+    def run(self, source: DataFrame, process: Callable[[DataFrame], DataFrame], tries: int = 1) -> int | None:
         """Process what is pending and publish it; None if there was nothing to do.
 
         ``process`` maps pending source rows to output rows and has to keep
         source_key and source_version, one row or more per record (a removal, version
         '', needs a row too: it is the tombstone that records the removal as done).
+        If another run publishes in between, nothing of this one counts; up to ``tries``
+        times what is pending then is processed instead.
         """
-        todo = pending_states(source, self.state())
-        if todo.isEmpty():
-            return None
-        return self.publish(process(todo))
+        for left in range(tries - 1, -1, -1):
+            base = self.version()
+            todo = pending(source, self.state(base))
+            if todo.isEmpty():
+                return None
+            try:
+                return self.publish(process(todo), base)
+            except PublishConflict:
+                if not left:
+                    raise
+        return None

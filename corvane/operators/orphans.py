@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scale import PARTITION_BITS, cut, ordered_codes, salted_join
+from .scale import PARTITION_BITS, cut, cut_table, ordered_codes, range_parts, salted_join
+
+#: Keys that a block, sorted and matched in one task, holds about.
+BLOCK_KEYS = 2_000_000
 
 
 def key_runs(coded: DataFrame) -> DataFrame:
@@ -48,40 +51,65 @@ def match_runs(coded: DataFrame, runs: DataFrame) -> DataFrame:
     return got.select("code", "key", "first_seen", F.when(F.col("code") <= F.col("run.run_end"), F.col("run.removed")).alias("run_removed"))
 
 
-def orphan_references(references: DataFrame, units: DataFrame) -> DataFrame:
-    """rel_id, target_ref, orphan_kind, period, once per rel_id.
-
-    ``references``: rel_id, target_kind, target_ref, recorded_at; ``units``: the
-    history with unit_id, run_id, indexed_at, ingested_at, removed. target_kind is
-    compared without surrounding white space and letter case, target_ref without
-    surrounding white space (tabs and line ends too). Kinds: ``missing``, else
-    ``removed``, else ``late`` (first indexed after it was recorded). A null or blank
-    target_ref is no reference and a null rel_id no record. A null recorded_at has a
-    null period and can't be late; a parent without any indexed_at isn't late either.
-    Of one rel_id delivered with different contents the smallest row counts.
+def find_orphans(references: DataFrame, units: DataFrame) -> DataFrame:
+    """``references`` (key, recorded_at, other columns) whose key no live unit has, or none
+    had yet when they were recorded, with orphan_kind and period.
+
+    ``units`` is the history with unit_id, run_id, indexed_at, ingested_at, removed. Kinds:
+    ``missing``, else ``removed``, else ``late`` (first indexed after it was recorded). A
+    null recorded_at has a null period and can't be late; a parent without any indexed_at
+    isn't late either. References have to have a key.
     """
-    space = r"(?U)^\s+|\s+$"
-    refs = references.where("rel_id is not null").select(
-        "rel_id", F.lower(F.regexp_replace("target_kind", space, "")).alias("kind"), F.regexp_replace("target_ref", space, "").alias("key"), F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at")
-    ).where("kind = 'unit' and key is not null and key <> ''").drop("kind")
     parents = units.where("unit_id is not null").groupBy(F.col("unit_id").alias("key")).agg(
         F.max(F.struct("run_id", "ingested_at", F.coalesce("removed", F.lit(False)).alias("removed")))["removed"].alias("removed"), F.min(F.col("indexed_at").cast("timestamp_ntz")).alias("first_seen")
     )
-    used = refs.select("key").distinct()
+    used = references.select("key").distinct()
     domain = parents.select("key", "removed", "first_seen", F.lit(True).alias("is_parent"), F.lit(False).alias("is_referenced")).unionByName(
         used.select("key", F.lit(None).cast("boolean").alias("removed"), F.lit(None).cast("timestamp_ntz").alias("first_seen"), F.lit(False).alias("is_parent"), F.lit(True).alias("is_referenced"))
     )
     keyed = domain.groupBy("key").agg(F.max("removed").alias("removed"), F.max("first_seen").alias("first_seen"), F.max("is_parent").alias("is_parent"), F.max("is_referenced").alias("is_referenced"))
-    coded = cut(ordered_codes(keyed, "key"), "orphans")
-    state = match_runs(coded, key_runs(coded))
-    joined = salted_join(refs, state.select("key", "run_removed", "first_seen"), "key", spread=F.xxhash64("rel_id"))
+    keys = cut_table(keyed, "orphan-keys")
+    blocks = max(range_parts(units.sparkSession), -(-keys.df.count() // BLOCK_KEYS))
+    coded = cut(ordered_codes(keys.df, "key", partitions=blocks), "orphans")
+    keys.drop()
+    state = match_runs(coded, key_runs(coded)).select("key", "run_removed", "first_seen")
+    joined = salted_join(references, state, "key")
     kind = F.when(F.col("run_removed").isNull(), "missing").when(F.col("run_removed"), "removed").when(F.col("first_seen") > F.col("recorded_at"), "late")
     found = joined.withColumn("orphan_kind", kind).where("orphan_kind is not null")
-    period = F.date_format("recorded_at", "yyyy-MM")
-    one = found.select("rel_id", F.struct("key", "orphan_kind", period.alias("period")).alias("hit")).groupBy("rel_id").agg(F.min("hit").alias("hit"))
+    return found.withColumn("period", F.date_format("recorded_at", "yyyy-MM")).drop("run_removed", "first_seen")
+
+
+def _key(column: str):
+    """A key without surrounding white space of any kind."""
+    return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
+
+
+def unit_references(references: DataFrame) -> DataFrame:
+    """(rel_id, key, recorded_at) of the references to units in ``references`` (rel_id,
+    target_kind, target_ref, recorded_at). target_kind is compared without surrounding white
+    space and letter case. A null or blank target_ref is no reference and a null rel_id no
+    record."""
+    rows = references.where("rel_id is not null").select("rel_id", F.lower(_key("target_kind")).alias("kind"), _key("target_ref").alias("key"), F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at"))
+    return rows.where("kind = 'unit' and key is not null and key <> ''").drop("kind")
+
+
+def orphan_references(references: DataFrame, units: DataFrame) -> DataFrame:
+    """rel_id, target_ref, orphan_kind, period, once per rel_id, of ``unit_references``; see
+    ``find_orphans``. Of one rel_id delivered with different contents the smallest row counts."""
+    found = find_orphans(unit_references(references), units)
+    one = found.select("rel_id", F.struct("key", "orphan_kind", "period").alias("hit")).groupBy("rel_id").agg(F.min("hit").alias("hit"))
     return one.select("rel_id", F.col("hit.key").alias("target_ref"), "hit.orphan_kind", "hit.period")
 
 
-def orphan_report(references: DataFrame, units: DataFrame) -> DataFrame:
-    """orphan_kind, period, n_references, n_targets."""
-    return orphan_references(references, units).groupBy("orphan_kind", "period").agg(F.count("*").alias("n_references"), F.countDistinct("target_ref").alias("n_targets"))
+def orphan_report(references: DataFrame, links: DataFrame, units: DataFrame) -> DataFrame:
+    """record_table, orphan_kind, period, n_references, n_targets: orphans of the references
+    to units in hard_relationships (``references``, once per rel_id and content) and of both
+    ends of soft_relationships (``links``: source_unit_id, relation, target_unit_id,
+    provenance, recorded_at; repeated rows count once)."""
+    hard = unit_references(references).select(F.lit("hard_relationships").alias("record_table"), F.col("rel_id").cast("string").alias("record"), "key", "recorded_at")
+    once = links.select("source_unit_id", "relation", "target_unit_id", "provenance", F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at")).distinct()
+    record = F.concat_ws("\u0000", "source_unit_id", "relation", "target_unit_id", "provenance")
+    ends = once.select(record.alias("record"), "recorded_at", F.explode(F.array(_key("source_unit_id"), _key("target_unit_id"))).alias("key")).where("key <> ''")
+    soft = ends.select(F.lit("soft_relationships").alias("record_table"), "record", "key", "recorded_at")
+    found = find_orphans(hard.distinct().unionByName(soft), units)
+    return found.groupBy("record_table", "orphan_kind", "period").agg(F.count("*").alias("n_references"), F.countDistinct("key").alias("n_targets"))

@@ -1,8 +1,8 @@
 """Building blocks that keep the other operators whole under skew, loss and size.
 
 * ``cut``: ends a lineage in the shared checkpoint folder, as a written table.
-* ``hot_keys`` / ``salted_join``: a join of many rows per key with at most one
-  row per key, in which a key that holds a large part of the rows is spread over
+* ``hot_parts`` / ``salted_join``: a join of many rows per key with at most one
+  row per key, in which keys that hold a large part of the rows are spread over
   several tasks.
 * ``ordered_codes``: order-preserving 64-bit codes for the distinct values of a
   column, without a single-task sort.
@@ -16,81 +16,110 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys with more rows than this are spread; at most MAX_HOT of them are looked at.
+#: A hash bucket of keys with more rows than this is spread.
 HOT_ROWS = 50_000
-MAX_HOT = 2_000
+#: Keys are counted in so many hash buckets. A bucket is hot if it has more than twice the
+#: mean of all, so that under half of the buckets are and the list of them is bounded.
+HOT_BUCKETS = 1 << 18
 PARTITION_BITS = 33
+#: Removes the shuffle files of a query once it ended.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or where
-    that is unset (tests, a single machine) the context's own or a new one."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the context's
+    checkpoint folder. Where neither is set a single machine gets a folder of its own; a
+    cluster fails, since executors would write to machines that the others don't see."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
     return context.getCheckpointDir().rstrip("/")
 
 
 class Written:
-    """A table written by ``cut``; ``drop()`` removes its files."""
+    """A table written by ``cut``; ``drop()`` removes its files, the application's end at
+    the latest."""
 
     def __init__(self, spark: SparkSession, path: str, df: DataFrame):
         self.spark, self.path, self.df = spark, path, df
 
+    def _place(self):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        place = jvm.org.apache.hadoop.fs.Path(self.path)
-        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        fs, place = self._place()
+        fs.delete(place, True)
 
 
 def cut_table(df: DataFrame, label: str = "t") -> Written:
-    """Run ``df`` once and go on from its written rows, which survive executors."""
+    """Run ``df`` once and go on from its written rows, which survive executors. The
+    shuffle files of that run aren't needed any more and go with its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)
-    return Written(spark, path, spark.read.schema(df.schema).parquet(path))
+    before = spark.conf.get(_TIDY, None)
+    try:
+        if before is not None:
+            spark.conf.set(_TIDY, "true")
+        df.write.option("compression", "snappy").parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_TIDY, before)
+    table = Written(spark, path, spark.read.schema(df.schema).parquet(path))
+    fs, place = table._place()
+    fs.deleteOnExit(place)
+    return table
 
 
 def cut(df: DataFrame, label: str = "t") -> DataFrame:
     return cut_table(df, label).df
 
 
-def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> list[tuple[object, int]]:
-    """The keys of ``df`` with more than ``rows`` rows, with their counts.
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(HOT_BUCKETS)).cast("int")
+
 
-    The counts are combined before the shuffle and only the MAX_HOT largest come
-    to the driver, so the answer is bounded whatever the table holds; a key beyond
-    them has under 1/MAX_HOT of all rows and needs no spreading.
+def hot_parts(df: DataFrame, key: str, rows: int | None = None, counted: str | None = None) -> list[tuple[int, int]]:
+    """The hot buckets of ``key``, (bucket, parts): those with more than ``rows`` rows and
+    more than twice the mean of all buckets, with the number of parts of that size.
+
+    Counts are combined before the shuffle. Whatever the table holds, under half of the
+    HOT_BUCKETS come to the driver, and a key beyond them has under 2 / HOT_BUCKETS of all
+    rows. ``counted`` names a column of counts where ``df`` is already grouped.
     """
     rows = HOT_ROWS if rows is None else rows
-    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).count()
-    found = counts.where(F.col("count") > rows).orderBy(F.desc("count"), "k").limit(MAX_HOT).collect()
-    return [(r["k"], r["count"]) for r in found]
+    n = F.count("*") if counted is None else F.sum(counted)
+    counts = df.where(F.col(f"`{key}`").isNotNull()).groupBy(_bucket(key).alias("hot_bucket")).agg(n.alias("n"))
+    mean = counts.agg((F.sum("n") * 2.0 / HOT_BUCKETS).alias("m")).scalar()
+    least = F.greatest(F.lit(float(rows)), mean)
+    found = counts.where(F.col("n") > least).select("hot_bucket", F.ceil(F.col("n") / least).cast("int").alias("hot_parts"))
+    return [(r["hot_bucket"], r["hot_parts"]) for r in found.collect()]
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", rows: int | None = None, spread: Column | None = None, hot: list[tuple[object, int]] | None = None) -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", rows: int | None = None, spread: Column | None = None, hot: list[tuple[int, int]] | None = None) -> DataFrame:
     """``many`` joined with ``one`` (at most one row per key) on ``key``.
 
-    Rows of a hot key go to count/rows tasks by a hash of ``spread`` (all columns
-    of ``many`` if none is given), and its row of ``one`` is repeated for each of
-    them; all other keys join plainly. The result equals the plain join's. ``hot``
-    has the hot keys and their counts where the caller knows them.
+    Rows of a hot bucket of keys go to several tasks by a hash of ``spread`` (all columns
+    of ``many`` if none is given), and its rows of ``one`` are repeated for each of them;
+    all other keys join plainly. The result equals the plain join's, for any ``how`` that
+    keeps or drops rows of ``many`` only. ``hot`` has the hot buckets where the caller
+    knows them.
     """
-    rows = HOT_ROWS if rows is None else rows
-    hot = hot_keys(many, key, rows) if hot is None else hot
+    hot = hot_parts(many, key, rows) if hot is None else hot
     if not hot:
         return many.join(one, key, how)
     spark = many.sparkSession
-    kind = many.schema[key].dataType.simpleString()
-    parts = F.broadcast(spark.createDataFrame([(k, int(-(-n // rows))) for k, n in hot], f"`{key}` {kind}, hot_parts int"))
+    parts = F.broadcast(spark.createDataFrame(hot, "hot_bucket int, hot_parts int"))  # under HOT_BUCKETS / 2 rows of 8 bytes
     spread = F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]) if spread is None else spread
-    left = many.withColumn("hot_hash", spread).join(parts, key, "left")
-    left = left.withColumn("hot_salt", F.coalesce(F.pmod("hot_hash", F.col("hot_parts")).cast("int"), F.lit(0))).drop("hot_parts", "hot_hash")
-    right = one.join(parts, key, "left")
-    right = right.withColumn("hot_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("hot_parts"), F.lit(1)) - 1))).drop("hot_parts")
+    left = many.withColumn("hot_hash", spread).withColumn("hot_bucket", _bucket(key)).join(parts, "hot_bucket", "left")
+    left = left.withColumn("hot_salt", F.coalesce(F.pmod("hot_hash", F.col("hot_parts")).cast("int"), F.lit(0))).drop("hot_parts", "hot_hash", "hot_bucket")
+    right = one.withColumn("hot_bucket", _bucket(key)).join(parts, "hot_bucket", "left")
+    right = right.withColumn("hot_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("hot_parts"), F.lit(1)) - 1))).drop("hot_parts", "hot_bucket")
     return left.join(right, [key, "hot_salt"], how).drop("hot_salt")
 
 

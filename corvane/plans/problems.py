@@ -16,7 +16,7 @@ def p3_found(spark, d):
 
 
 def p3_report(spark, d):
-    return orphan_report(load(spark, d, "hard_relationships"), load(spark, d, "units"))
+    return orphan_report(load(spark, d, "hard_relationships"), load(spark, d, "soft_relationships"), load(spark, d, "units"))
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_report": p3_report}
@@ -51,5 +51,16 @@ SELECT 'hard_relationships', CAST(rel_id AS VARCHAR) FROM (
   SELECT DISTINCT rel_id FROM hard_relationships h JOIN cur ON cur.unit_id = h.source_unit_id
   WHERE NOT removed AND coalesce(source_hash, '') <> body_hash)""",
     "p3_found": ORPHANS + "SELECT rel_id, orphan_kind, period FROM found WHERE orphan_kind IS NOT NULL",
-    "p3_report": ORPHANS + "SELECT orphan_kind, period, count(*) AS n_references, count(DISTINCT target_ref) AS n_targets FROM found WHERE orphan_kind IS NOT NULL GROUP BY ALL",
+    "p3_report": r"""WITH refs AS (
+    SELECT DISTINCT 'hard_relationships' AS record_table, CAST(rel_id AS VARCHAR) AS record, regexp_replace(target_ref, '^\s+|\s+$', '', 'g') AS key, recorded_at FROM hard_relationships
+    WHERE lower(regexp_replace(target_kind, '^\s+|\s+$', '', 'g')) = 'unit'
+    UNION ALL
+    SELECT 'soft_relationships', concat_ws(chr(0), source_unit_id, relation, target_unit_id, provenance), regexp_replace(unnest([source_unit_id, target_unit_id]), '^\s+|\s+$', '', 'g'), recorded_at
+    FROM (SELECT DISTINCT source_unit_id, relation, target_unit_id, provenance, recorded_at FROM soft_relationships)),
+  cur AS (""" + CURRENT + r"""),
+  seen AS (SELECT unit_id, min(indexed_at) AS first_seen FROM units GROUP BY unit_id),
+  found AS (SELECT record_table, key, strftime(recorded_at, '%Y-%m') AS period,
+      CASE WHEN cur.unit_id IS NULL THEN 'missing' WHEN removed THEN 'removed' WHEN first_seen > recorded_at THEN 'late' END AS orphan_kind
+    FROM refs LEFT JOIN cur ON cur.unit_id = key LEFT JOIN seen ON seen.unit_id = key WHERE key <> '')
+SELECT record_table, orphan_kind, period, count(*) AS n_references, count(DISTINCT key) AS n_targets FROM found WHERE orphan_kind IS NOT NULL GROUP BY ALL""",
 }

@@ -1,3 +1,5 @@
+import json
+
 import pandas as pd
 
 from corvane.functions import fuzzy
@@ -79,9 +81,10 @@ def test_parse_units_calls_imports():
     assert list(units) == ["src.pkg.mod::Box", "src.pkg.mod::Box.size", "src.pkg.mod::Box.size@setter", "src.pkg.mod::fill"]
     fill = units["src.pkg.mod::fill"]
     assert (fill["kind"], fill["start_line"], fill["purpose"], fill["doc_text"]) == ("async_function", 14, "Fill it.", "Fill it. More.")
-    assert fill["signature"] == "async fill(box: Box, *rest, deep=True) -> None"
+    assert fill["signature"] == "async fill(box: Box, *rest, deep = True) -> None"
     assert {r["text"] for r in rows if r["tag"] == "call"} == {"util.measure", "box.put"}
-    assert ("util", "src.pkg.util") in {(r["name"], r["text"]) for r in rows if r["tag"] == "import"}
+    assert [p["name"] for p in json.loads(fill["parameters_json"])] == ["box", "*rest", "deep"]
+    assert ("util", "pkg", "util") in {(r["name"], r["qualname"], r["text"]) for r in rows if r["tag"] == "import"}
     assert parse_text("x.py", "def (")[0]["tag"] == "error"
 
 

@@ -37,7 +37,8 @@ def test_empty_tables(spark):
 
 def test_pending_pairs(spark):
     source = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", None), ("c", ""), ("d", "2"), (None, "1")], "source_key string, source_version string")
-    done = spark.createDataFrame([("a", "1"), ("c", "9"), ("d", "1"), ("d", "1")], "source_key string, source_version string")
+    source = source.union(spark.createDataFrame([("e", ""), ("f", None)], source.schema))
+    done = spark.createDataFrame([("a", "1"), ("c", "9"), ("d", "1"), ("e", ""), (None, "1")], "source_key string, source_version string")
     assert sorted(map(tuple, pending(source, done).collect())) == [("c", ""), ("d", "2")]
 
 

@@ -34,4 +34,15 @@ def test_runs_agree_with_brute_force(spark):
 def test_empty(spark):
     assert found(spark, [], []) == []
     assert found(spark, [(1, "unit", "x", LATE, "")], []) == [(1, "missing", "2025-03")]
-    assert orphan_report(spark.createDataFrame([], REFS), spark.createDataFrame([], UNITS)).count() == 0
+    assert orphan_report(spark.createDataFrame([], REFS), spark.createDataFrame([], LINKS), spark.createDataFrame([], UNITS)).count() == 0
+
+
+LINKS = "source_unit_id string, relation string, target_unit_id string, provenance string, recorded_at timestamp, key string"
+
+
+def test_report_per_table(spark):
+    units = spark.createDataFrame([("a", 1, EARLY, EARLY, False, ""), ("b", 1, LATE, LATE, False, "")], UNITS)
+    refs = spark.createDataFrame([(1, "unit", "zz", EARLY, ""), (1, "unit", " zz", EARLY, ""), (2, "unit", "zz", EARLY, "")], REFS)
+    links = spark.createDataFrame([("a", "MATCHES", "zz", "p", LATE, ""), ("a", "MATCHES", "zz", "p", LATE, "x"), ("b", "MATCHES", None, "p", EARLY, ""), (None, None, " ", None, None, "")], LINKS)
+    got = sorted(map(tuple, orphan_report(refs, links, units).collect()))
+    assert got == [("hard_relationships", "missing", "2025-01", 2, 1), ("soft_relationships", "late", "2025-01", 1, 1), ("soft_relationships", "missing", "2025-03", 1, 1)]

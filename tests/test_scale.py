@@ -15,7 +15,20 @@ def test_salted_join_equals_plain_join(spark):
         want = many.join(one, "k", how).select(*many.columns)
         got = scale.salted_join(many, one, "k", how, rows=20)
         assert rows(got.select(*many.columns)) == rows(want)
-    assert scale.hot_keys(many, "k", 20) == [("hot", 134)]
+    hot = spark.createDataFrame([("hot",)], "k string").select(scale._bucket("k").alias("b")).first()["b"]
+    assert scale.hot_parts(many, "k", 20) == [(hot, 7)]
+    grouped = many.groupBy("k").count()
+    assert scale.hot_parts(grouped, "k", 20, "count") == [(hot, 7)]
+
+
+def test_every_hot_key_is_spread(spark):
+    """No list of a fixed length: 3,000 hot keys are all found."""
+    many = spark.range(3000 * 12).select((F.col("id") % 3000).alias("k"), "id")
+    hot = scale.hot_parts(many, "k", 10)
+    assert sum(n for _, n in hot) >= 2 * len(hot) and len(hot) > 2900
+    one = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = scale.salted_join(many, one, "k", rows=10)
+    assert got.count() == 36000 and got.where("v <> 2 * k").count() == 0
 
 
 def test_ordered_codes_follow_byte_order(spark):
