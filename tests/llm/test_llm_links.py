@@ -39,6 +39,18 @@ def test_top_n_against_brute_force(spark, hot_rows):
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
 
 
+def test_top_n_of_extreme_scores(spark):
+    rng = random.Random(9)
+    extreme = [float("inf"), float("-inf"), 1e308, -1e308, 1.7e308, -1.7e308, 5e-324, -5e-324, 1e-310, 0.0, 1.0, 1.0000000000000002, -1.0]
+    rows = [("all", f"i{k}", s) for k, s in enumerate(extreme)] + [("inf", f"j{k}", float("inf")) for k in range(9)]
+    rows += [("low", f"k{k}", 1.0 + k * 2.0**-52) for k in range(40)] + [("down", f"k{k}", -float("inf") if k % 2 else 5e-324) for k in range(12)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, i string, s double")
+    for n in (1, 3, 6):
+        want = {r for g in ("all", "inf", "low", "down") for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))[:n]}
+        assert {tuple(r) for r in top_n(df, "g", "i", "s", n).collect()} == want
+
+
 def test_top_n_edges(spark):
     schema = "g string, i string, s double"
     df = spark.createDataFrame([("a", "x", None), (None, "x", 0.5), ("a", None, 0.5), ("a", "y", float("nan")), ("b", "", 0.0), ("b", "", -0.0)], schema)
