@@ -15,11 +15,12 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StringType
 
 from ..operators.intervals import unit_code
+from ..operators.scale import cut_table, salted_join
 
 FUNCTION_KINDS = ("function", "async_function")
 
@@ -119,12 +120,51 @@ def module_key(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"(^|/)__init__$", ""), "/", ".")
 
 
-def normal_signature(signature: Column) -> Column:
-    """A signature without async, return type, types, defaults and white space."""
-    inner = F.regexp_extract(signature, r"(?s)\((.*)\)", 1)
-    for _ in range(3):  # innermost brackets first
-        inner = F.regexp_replace(inner, r"[\[({][^\[\](){}]*[\])}]", "")
-    return F.regexp_replace(F.regexp_replace(inner, r"[:=][^,]*", ""), r"\s", "")
+#: A string literal, the word lambda, a bracket, or a mark that ends a name or a parameter.
+_SIGNATURE = re.compile(
+    r"""(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<function>\blambda\b)|(?P<open>[\[({])|(?P<close>[\])}])|(?P<mark>->|[:=,])""", re.S
+)
+
+
+def parameter_names(signature: str | None) -> str:
+    """The parameters of a signature by name, with their stars, joined by commas: types,
+    defaults, return type and white space don't count, nor do the bare separators / and *.
+    Brackets may nest to any depth and defaults may hold any text. A signature without
+    parameters and null give ''."""
+    text = signature or ""
+    at = text.find("(")
+    if at < 0:
+        return ""
+    names, name, depth, lambdas, named, begin = [], "", 0, 0, True, at + 1
+    for m in _SIGNATURE.finditer(text, at + 1):
+        if m.lastgroup == "open":
+            if not depth and named:
+                name += text[begin : m.start()]
+            depth, named = depth + 1, named and depth > 0
+        elif m.lastgroup == "close" and depth:
+            depth -= 1
+        elif depth or m.lastgroup == "text":
+            continue
+        elif m.lastgroup == "function":
+            lambdas += 1
+        elif lambdas and m.lastgroup == "mark":
+            lambdas -= m.group() == ":"  # its own parameters end here
+        else:
+            if named:
+                name += text[begin : m.start()]
+            if m.lastgroup == "close" or m.group() == ",":
+                names.append("".join(name.split()))
+                name, named, begin = "", True, m.end()
+                if m.lastgroup == "close":
+                    break
+            else:
+                named = False
+    return ",".join(n for n in names if n.strip("*/"))
+
+
+@F.pandas_udf(StringType())
+def normal_signature(signature: pd.Series) -> pd.Series:
+    return signature.map({v: parameter_names(v) for v in signature.unique()})
 
 
 def live_functions(units: DataFrame) -> DataFrame:
@@ -138,28 +178,58 @@ def live_functions(units: DataFrame) -> DataFrame:
     return wide.join(live.hint("shuffle_merge"), same).drop(live["unit_id"]).drop(live["run_id"]).drop("seen_at", "ingested_at").dropDuplicates(["unit_id"])
 
 
+def is_stub(path: Column, code: Column) -> Column:
+    """Whether code only declares: in a stub file, or without any body but documentation."""
+    body = F.regexp_replace(F.regexp_replace(code, r'(?s)("""|\'\'\').*?\1', ""), r"(?m)^\s*(@.*|#.*)$", "")
+    return F.coalesce(path.endswith(".pyi") | body.rlike(r"(?s)^\s*(async\s+)?def\s.*:\s*(\.\.\.|pass|raise\s+NotImplementedError(\(.*\))?)\s*$"), F.lit(False))
+
+
+def definition_symbols(symbols: DataFrame, stubs: DataFrame) -> DataFrame:
+    """(symbol_key, definition): per symbol of ``stubs`` the unit that defines it, the first
+    in its file. ``symbols`` are the units with a body."""
+    wanted = stubs.select("module", "symbol").distinct()
+    near = symbols.join(wanted, ["module", "symbol"], "left_semi").withColumn("shape", normal_signature("signature"))
+    first = F.min(F.struct("start_line", "unit_id"))["unit_id"]
+    return near.groupBy(symbol_key()).agg(first.alias("definition"))
+
+
+def symbol_key() -> Column:
+    return F.concat_ws("\u0000", "module", "symbol", F.coalesce("shape", F.lit(""))).alias("symbol_key")
+
+
 def doc_pairs(units: DataFrame, sources: DataFrame) -> DataFrame:
     """unit_id, qualname, signature, description, code, code_unit_id: one row per live
-    function or method whose documentation tells more than its name and signature do.
-
-    The description is doc_text, or purpose where that is null or blank. code is the
-    text of the unit, or for a bare declaration that of the definition of the same
-    module, qualified name and normalised signature (the first in its file); null
-    where neither is in ``sources``. Empty tables give no rows; extra columns are ignored.
+    function or method whose documentation tells more than its name and signature do and
+    whose code is in ``sources``.
+
+    The description is doc_text, or purpose where that is null or blank. Two symbol tables
+    of all files are joined: the documented declarations and the units with a body. A
+    declaration that has a body meets its own code by unit_id. A bare one (a stub file, an
+    overload, a body of only ``...``) meets the definition of the same module, qualified
+    name and normalised signature, the first in its file; where no file has one, its own
+    lines are its code. A declaration without any code gives no pair. Neither many
+    declarations of one symbol nor a long file are gathered in one task: definitions are
+    reduced to one per symbol before the join, and hot symbols are spread. Empty tables
+    give no rows; extra columns are ignored.
     """
     base = F.regexp_replace("qualname", r"#\d+$", "")
-    symbols = live_functions(units).withColumn("module", module_key(F.col("path"))).withColumn("symbol", base).withColumn("shape", normal_signature(F.col("signature")))
-    described = symbols.withColumn("description", F.when(F.regexp_replace("doc_text", r"(?U)\s+", "") != "", F.col("doc_text")).otherwise(F.col("purpose")))
-    coded = described.join(unit_code(symbols, sources), "unit_id", "left")
-    body = F.regexp_replace(F.regexp_replace("code", r'(?s)("""|\'\'\').*?\1', ""), r"(?m)^\s*(@.*|#.*)$", "")
-    stub = F.col("path").endswith(".pyi") | body.rlike(r"(?s)^\s*(async\s+)?def\s.*:\s*(\.\.\.|pass|raise NotImplementedError(\(\))?)\s*$")
-    coded = coded.withColumn("is_stub", F.coalesce(stub, F.lit(False)))
-    # One cluster per symbol: a declaration takes over the code of the first definition.
-    same = Window.partitionBy("module", "symbol", "shape")
-    definition = F.min(F.when(~F.col("is_stub") & F.col("code").isNotNull(), F.struct("start_line", "unit_id", "code"))).over(same)
-    joined = coded.withColumn("definition", definition)
-    borrowed = F.col("is_stub") & F.col("definition").isNotNull()
-    kept = joined.where(_tells_more("description", "name", "qualname", "signature", "parameters_json", "returns"))
-    return kept.select(
-        "unit_id", "qualname", "signature", "description", F.when(borrowed, F.col("definition.code")).otherwise(F.col("code")).alias("code"), F.when(borrowed, F.col("definition.unit_id")).when(F.col("code").isNotNull(), F.col("unit_id")).alias("code_unit_id")
-    )
+    text = F.when(F.regexp_replace("doc_text", r"(?U)\s+", "") != "", F.col("doc_text")).otherwise(F.col("purpose"))
+    symbols = live_functions(units).withColumn("module", module_key(F.col("path"))).withColumn("symbol", base).withColumn("description", text).drop("doc_text", "purpose")
+    coded = symbols.join(unit_code(symbols, sources), "unit_id").withColumn("is_stub", is_stub(F.col("path"), F.col("code")))
+    table = cut_table(coded, "symbols").df
+    documented = F.regexp_replace("description", r"(?U)\s+", "") != ""
+    filed = table.where(documented)
+    own = filed.where("not is_stub").withColumn("code_unit_id", F.col("unit_id"))
+
+    # Stubs whose lines are in no source file are declarations too.
+    bare = filed.where("is_stub").unionByName(symbols.where(documented).join(table.select("unit_id"), "unit_id", "left_anti").withColumns({"code": F.lit(None).cast("string"), "is_stub": F.lit(True)}))
+    declared = bare.withColumn("shape", normal_signature("signature")).withColumn("symbol_key", symbol_key())
+    bodies = table.where("not is_stub").select("unit_id", "module", "symbol", "signature", "start_line")
+    found = definition_symbols(bodies, bare)
+    linked = cut_table(salted_join(declared, found, "symbol_key", "left", spread=F.xxhash64("unit_id")), "declared").df
+    lent = linked.where("definition is not null").drop("code").join(table.select(F.col("unit_id").alias("definition"), "code"), "definition")
+    alone = linked.where("definition is null and code is not null")
+    columns = ["unit_id", "name", "qualname", "signature", "parameters_json", "returns", "description", "code", "code_unit_id"]
+    pairs = own.select(columns).unionByName(lent.withColumn("code_unit_id", F.col("definition")).select(columns)).unionByName(alone.withColumn("code_unit_id", F.col("unit_id")).select(columns))
+    kept = pairs.where(_tells_more("description", "name", "qualname", "signature", "parameters_json", "returns"))
+    return kept.select("unit_id", "qualname", "signature", "description", "code", "code_unit_id")

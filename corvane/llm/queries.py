@@ -19,9 +19,7 @@ def load(spark, d, table):
 
 
 def p2_found(spark, d):
-    # Whole pairs are made here too: code and the unit it came from are there or not together.
-    pairs = doc_pairs(load(spark, d, "units"), load(spark, d, "source_files"))
-    return pairs.where("(code is null) = (code_unit_id is null)").select("unit_id")
+    return p2_pairs(spark, d).select("unit_id")
 
 
 def p2_pairs(spark, d):

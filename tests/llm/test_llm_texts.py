@@ -43,13 +43,50 @@ def test_doc_pairs(spark):
     files = [("src/m.py", "head", "import x\r\ndef f(x):\r\n    return 1\r\n\r\ndef g(x):\r\n    return 2\r\ndef g(x, y):\r\n    return 3", T), ("stubs/m.pyi", "head", "def g(x: int) -> int: ...", T), ("src/m.py", "base", "old", T), ("src/long.py", "head", long, None), (None, "head", "x", T), ("n", "head", None, T)]
     df = docpairs.doc_pairs(spark.createDataFrame(units, UNITS), spark.createDataFrame(files, "path string, version string, text string, mtime timestamp"))
     got = {r["unit_id"]: (r["code"], r["code_unit_id"]) for r in df.collect()}
-    assert set(got) == {"a", "stub", "nofile", "wide", "beyond"} and df.count() == 5
-    assert got["a"] == ("def f(x):\n    return 1", "a") and got["stub"] == ("def g(x):\n    return 2", "def") and got["nofile"] == (None, None) and got["beyond"][0] is None
+    assert set(got) == {"a", "stub", "wide"} and df.count() == 3  # no lines, no pair: nofile, beyond
+    assert got["a"] == ("def f(x):\n    return 1", "a") and got["stub"] == ("def g(x):\n    return 2", "def")
     assert got["wide"][0].split("\n") == [f"line{i}" for i in range(60, 201)]
     none = docpairs.doc_pairs(spark.createDataFrame([], UNITS), spark.createDataFrame([], "path string, version string, text string, mtime timestamp"))
     assert none.count() == 0
 
 
+@pytest.mark.parametrize(
+    "signature,want",
+    [
+        ("f(x: A[B[C[D[int, str], int], int], int] = (1, 2), y=3)", "x,y"), ("f(a, sep=',', z='(')", "a,sep,z"), ("f()", ""), ("async f(self, *args: int, **kw) -> dict[str, int]", "self,*args,**kw"),
+        ("f(a, /, b, *, c: 'x, y' = \"q)\")", "a,b,c"), (None, ""), ("f", ""), ("f(cb: Callable[[int], str] = lambda a, b: a, z = {1: (2, 3)})", "cb,z"), ("f(a='\\'', b=1)", "a,b"), ("f(" + "x: " + "L[" * 500 + "]" * 500 + ", y)", "x,y"),
+    ],
+)
+def test_signatures(signature, want):
+    assert docpairs.parameter_names(signature) == want
+
+
+FILES = "path string, version string, text string, mtime timestamp"
+
+
+def test_declarations_meet_separate_definitions(spark):
+    """Overloads go by signature; rows follow the sources and the definitions."""
+    deep = "g(x: A[B[C[D[int]]]] = (1, 2), sep: str = ',')"
+    units = [
+        unit("decl1", "stubs/m.pyi", "g", 1, 1, "Newest wins.", sig="g(x: int) -> int"), unit("decl2", "stubs/m.pyi", "g", 2, 2, "Oldest wins.", sig=deep), unit("decl3", "stubs/m.pyi", "h", 3, 3, "Fails when closed.", sig="h(x)"),
+        unit("def1", "src/m.py", "g", 1, 2, None, sig="g(x)"), unit("def2", "src/m.py", "g", 3, 4, " ", sig="g(x, sep)"), unit("def2b", "src/m.py", "g#2", 5, 6, None, sig="g(x, sep)"), unit("lost", "stubs/n.pyi", "k", 1, 1, "Blocks until done.", sig="k(x)"), unit("defk", "src/n.py", "k", 1, 2, None, sig="k(x)"),
+    ]
+    files = [("src/m.py", "head", "def g(x):\n    return 1\ndef g(x, sep):\n    return 2\ndef g(x, sep):\n    return 3", T), ("stubs/m.pyi", "head", "def g(x): ...\ndef g(x, sep): ...\ndef h(x): ...", T), ("src/n.py", "head", "def k(x):\n    return 4", T)]
+
+    def pairs(units, files):
+        df = docpairs.doc_pairs(spark.createDataFrame(units, UNITS), spark.createDataFrame(files, FILES))
+        rows = df.collect()
+        assert all(r["code"] for r in rows)
+        return {r["unit_id"]: (r["code_unit_id"], r["code"].split("\n")[-1].strip()) for r in rows}
+
+    assert pairs(units, files) == {"decl1": ("def1", "return 1"), "decl2": ("def2", "return 2"), "decl3": ("decl3", "def h(x): ..."), "lost": ("defk", "return 4")}
+    assert pairs([u for u in units if u[0] != "def2"], files)["decl2"][0] == "def2b"
+    assert pairs([u for u in units if not u[0].startswith("def2")], files)["decl2"] == ("decl2", "def g(x, sep): ...")
+    assert set(pairs([u for u in units if u[0] != "defk"], files)) == {"decl1", "decl2", "decl3"}
+    assert set(pairs(units, files[1:])) == {"decl1", "decl2", "decl3", "lost"} and pairs(units, files[1:])["decl1"][0] == "decl1"
+    assert pairs(units, []) == {}
+
+
 WORDS = [f"word{i}" for i in range(60)]
 ITEM = " ".join(WORDS) + ". List the callers now, one per line please."
 
