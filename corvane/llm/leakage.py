@@ -9,12 +9,15 @@ The contiguous mask makes the search lossless: a stretch of L >= 20 words with a
 most L/5 edits has L - e unedited words in e + 1 runs, so a run of four at least.
 The other masks of the same weight see past a replaced word.
 
-The test side is small beside the corpus and is broadcast, in blocks of BLOCK_WORDS
-words at most; documents are read once per block and never shuffled.
+Both sides may be of any size. What is broadcast is one bitmap of FILTER_BITS bits, in
+which every hash of the test side sets two: it keeps nearly all other hashes of the
+documents out of the join and loses none. Only documents with a hit are written, and
+only the words around hits meet the items.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
@@ -24,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scale import cut, spread
+from ..operators.scale import cut_table, hot_parts, salted_join, spread
 
 MASKS = ("1111", "11011", "110101", "101011")
 LEAST_WORDS = 20
 #: One word in so many may be edited.
 EDIT_SHARE = 5
-BLOCK_WORDS = 2_000_000
-#: A closing sentence that so many items share is a stock instruction.
+#: Bits of the broadcast filter, 8 MB whatever the tables hold.
+FILTER_BITS = 1 << 26
+#: A closing sentence that so many questions share is a stock instruction.
 STOCK_ITEMS = 3
 
 #: Cyrillic and Greek letters that look like Latin ones. Fixed values.
@@ -68,10 +72,6 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def sentences_of(text: str | None) -> list[str]:
-    return [s for s in re.split(r"(?<=[.!?:])\s+|\n+", (text or "").strip()) if s.strip()]
-
-
 def holds_stretch(item: np.ndarray, doc: np.ndarray, least: int = LEAST_WORDS, share: int = EDIT_SHARE) -> bool:
     """Whether ``doc`` holds a stretch of at least ``least`` successive words of
     ``item`` with at most one edit in ``share`` item words; its ends are unedited.
@@ -104,122 +104,109 @@ def holds_stretch(item: np.ndarray, doc: np.ndarray, least: int = LEAST_WORDS, s
     return False
 
 
-def dense_enough(item: np.ndarray, doc: np.ndarray, least: int = LEAST_WORDS, share: int = EDIT_SHARE) -> bool:
-    """A bound that any stretch meets: L item words with at most L/share edits take at
-    most L + L/share document words, of which L - L/share or more are the item's, so some
+def dense_enough(items: list[np.ndarray], docs: list[np.ndarray], least: int = LEAST_WORDS, share: int = EDIT_SHARE) -> np.ndarray:
+    """Per pair a bound that any stretch meets: L item words with at most L/share edits take
+    at most L + L/share document words, of which L - L/share or more are the item's, so some
     window of least + least/share document words holds least - least/share of them."""
+    if not docs:
+        return np.zeros(0, bool)
     width, need = least + least // share, least - least // share
-    of_item = np.concatenate([[0], np.cumsum(np.isin(doc, item))])
-    return bool((of_item[min(width, len(doc)) :] - of_item[: max(1, len(of_item) - width)]).max() >= need)
-
-
-class Index:
-    """Seeds of the parts (question, answer) of test items.
+    key = lambda parts: (np.concatenate(parts).astype(np.uint64) + np.repeat(np.arange(len(parts), dtype=np.uint64), [len(p) for p in parts]) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    size = np.array([len(d) for d in docs])
+    so_far = np.concatenate([[0], np.cumsum(np.isin(key(docs), key(items)))])
+    start = np.cumsum(size) - size
+    last = np.minimum(np.arange(size.sum()) + width, np.repeat(start + size, size))
+    inside = so_far[last] - so_far[np.arange(size.sum())]
+    most = np.zeros(len(docs), np.int64)
+    some = size > 0
+    most[some] = np.maximum.reduceat(inside, start[some])
+    return most >= need
+
+
+def word_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit codes of all words of the texts, one after another, and their numbers."""
+    words = [words_of(t) for t in texts]
+    flat = pa.array([w for some in words for w in some], pa.string()).dictionary_encode()
+    known = [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little", signed=True) for w in flat.dictionary.to_pylist()]
+    return np.array(known, np.int64)[flat.indices.to_numpy()] if known else np.zeros(0, np.int64), np.array([len(w) for w in words], np.int64)
+
+
+def seeds(codes: np.ndarray, sizes: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the places of concatenated texts at which the mask fits in a text."""
+    spots = [k for k, c in enumerate(mask) if c == "1"]
+    n = len(codes) - spots[-1]
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    key = np.full(n, int(mask, 2), np.uint64)
+    for k in spots:
+        key = (key ^ codes[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    place = np.flatnonzero(of[:n] == of[spots[-1] :])
+    return key.astype(np.int64)[place], place
+
+
+#: A hash sets the bits of the filter that its low digits name after these shifts.
+SHIFTS = (0, 30)
+
+
+def _part_codes(batches):
+    for b in batches:
+        codes, sizes = word_codes(b["text"].to_pylist())
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(codes))
+        yield pa.RecordBatch.from_arrays([b["item_id"], lists], ["item_id", "words"]).filter(pa.array(sizes >= LEAST_WORDS))
+
+
+def _part_seeds(batches):
+    for b in batches:
+        sizes = np.array([len(w) for w in b["words"]], np.int64)
+        codes = b["words"].flatten().to_numpy()
+        parts, lengths = b["part"].to_numpy(), sizes
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        for mask in MASKS:
+            h, place = seeds(codes, sizes, mask)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(parts[of[place]]), pa.array(lengths[of[place]].astype(np.int32))], ["h", "part", "n"])
+
+
+def _document_hits(bitmap):
+    """Documents with a hash that the filter knows: their words and those hashes."""
 
-    parts: (item id, words). Parts of fewer than LEAST_WORDS words can't leak by
-    definition and have no seeds.
-    """
-
-    def __init__(self, parts: list[tuple[int, list[str]]], masks=MASKS):
-        parts = [(i, w) for i, w in parts if len(w) >= LEAST_WORDS]
-        self.items = [i for i, _ in parts]
-        self.vocabulary: dict[str, int] = {}
-        self.words = [np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], np.int64) for _, w in parts]
-        self.masks = [np.array([k for k, c in enumerate(m) if c == "1"]) for m in masks]
-        self.tables = []
-        for mask in self.masks:
-            keys, of, at = [], [], []
-            for k, w in enumerate(self.words):
-                key = self._keys(w, mask)
-                keys.append(key)
-                of.append(np.full(len(key), k))
-                at.append(np.arange(len(key)))
-            keys, of, at = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, of, at))
-            order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], of[order], at[order]))
-
-    def _keys(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        n = len(ids) - mask[-1]
-        if n <= 0:
-            return np.empty(0, np.int64)
-        key = np.zeros(n, np.uint64)
-        for k in mask:
-            key = (key ^ ids[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        return key.astype(np.int64)
-
-    def found(self, text: str | None) -> set[int]:
-        """Ids of the items of which the text holds a passage."""
-        words = words_of(text)
-        if len(words) < LEAST_WORDS * (EDIT_SHARE - 1) // EDIT_SHARE or not self.items:
-            return set()
-        ids = np.array([self.vocabulary.get(w, -1) for w in words], np.int64)
-        known = ids >= 0
-        hits_doc, hits_of, hits_at = [], [], []
-        for mask, (keys, of, at) in zip(self.masks, self.tables):
-            n = len(ids) - mask[-1]
-            if n <= 0 or not len(keys):
-                continue
-            all_known = np.logical_and.reduce([known[k : k + n] for k in mask])
-            places = np.flatnonzero(all_known)
-            if not len(places):
-                continue
-            key = self._keys(ids, mask)[places]
-            first, last = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            count = last - first
-            if not count.any():
-                continue
-            rows = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            hits_doc.append(np.repeat(places, count))
-            hits_of.append(of[rows])
-            hits_at.append(at[rows])
-        if not hits_doc:
-            return set()
-        doc_at, part, item_at = map(np.concatenate, (hits_doc, hits_of, hits_at))
-        out: set[int] = set()
-        order = np.lexsort((doc_at, part))
-        doc_at, part, item_at = doc_at[order], part[order], item_at[order]
-        edges = np.flatnonzero(np.diff(part)) + 1
-        for group in np.split(np.arange(len(part)), edges):
-            k = part[group[0]]
-            if self.items[k] in out:
-                continue
-            item = self.words[k]
-            reach = len(item) + len(item) // EDIT_SHARE + 1  # longest text that the item can cover
-            spots = doc_at[group]
-            cuts = np.flatnonzero(np.diff(spots) > 2 * reach) + 1
-            for some in np.split(spots, cuts):
-                window = ids[max(0, some[0] - reach) : some[-1] + reach]
-                if dense_enough(item, window) and holds_stretch(item, window):
-                    out.add(self.items[k])
-                    break
-        return out
-
-
-def _scan(index):
     def run(batches):
-        table = index.value
+        bits = bitmap.value
         for b in batches:
-            docs, items = [], []
-            for d, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                for i in sorted(table.found(text)):
-                    docs.append(d)
-                    items.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], ["doc_id", "item_id"])
+            codes, sizes = word_codes(b["text"].to_pylist())
+            start = np.cumsum(sizes) - sizes
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            found = []
+            for mask in MASKS:
+                h, place = seeds(codes, sizes, mask)
+                for shift in SHIFTS:
+                    bit = (h >> shift) & (FILTER_BITS - 1)
+                    known = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                    h, place = h[known], place[known]
+                found.append((h, place))
+            h, place = (np.concatenate(x) for x in zip(*found))
+            doc = of[place]
+            order = np.argsort(doc, kind="stable")
+            h, place, doc = h[order], place[order], doc[order]
+            hit = np.unique(doc)
+            if not len(hit):
+                continue
+            ends = np.concatenate([[0], np.searchsorted(doc, hit, "right")])
+            hashes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h))
+            places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((place - start[doc]).astype(np.int32)))
+            words = pa.array([codes[start[k] : start[k] + sizes[k]] for k in hit], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(hit)), words, hashes, places], ["doc_id", "words", "hashes", "places"])
 
     return run
 
 
-def item_parts(rows, stock: set[str]) -> list[tuple[int, list[str]]]:
-    """Words of questions and answers, without closing stock instructions."""
-    parts = []
-    for item_id, *texts in rows:
-        for text in texts:
-            kept = sentences_of(text)
-            while kept and " ".join(words_of(kept[-1])) in stock:
-                kept.pop()
-            parts.append((item_id, words_of("\n".join(kept))))
-    return parts
+def _verified(batches):
+    for b in batches:
+        items, docs = ([np.asarray(w) for w in b[c].to_numpy(zero_copy_only=False)] for c in ("item_words", "near"))
+        kept = dense_enough(items, docs)
+        kept[kept] = [holds_stretch(items[k], docs[k]) for k in np.flatnonzero(kept)]
+        yield b.select(["doc_id", "item_id"]).filter(pa.array(kept))
 
 
 def _normal(text) -> Column:
@@ -227,23 +214,42 @@ def _normal(text) -> Column:
 
 
 def _sentences(text: str) -> Column:
-    """The sentences of a column, normalised."""
-    return F.transform(F.split(F.trim(F.coalesce(text, F.lit(""))), r"(?<=[.!?:])\s+|\n+"), _normal)
+    """The sentences of a column, blank ones left out."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?:])\s+|\n+"), lambda s: _normal(s) != "")
 
 
 def stock_sentences(rows: DataFrame) -> DataFrame:
     """(s): closing sentences of under LEAST_WORDS words, normalised, that STOCK_ITEMS
-    different questions or answers share; copies of a text count once. Longer ones could
-    be leaked passages themselves."""
-    closing = None
-    for q in ("question", "answer"):
-        last = rows.select(F.element_at(_sentences(q), -1).alias("s"), _normal(F.col(q)).alias("whole"))
-        some = last.where("s <> ''").groupBy("s").agg(F.count_distinct("whole").alias("n")).where(F.col("n") >= STOCK_ITEMS).select("s")
-        closing = some if closing is None else closing.unionByName(some)
-    return closing.distinct().where(F.size(F.split("s", " ")) < LEAST_WORDS)
+    different questions share; copies of a question count once. Longer ones could be leaked
+    passages themselves, and an answer has no instructions."""
+    last = rows.select(_normal(F.try_element_at(_sentences("question"), F.lit(-1))).alias("s"), _normal(F.col("question")).alias("whole"))
+    some = last.where("s <> ''").groupBy("s").agg(F.count_distinct("whole").alias("n")).where(F.col("n") >= STOCK_ITEMS)
+    return some.where(F.size(F.split("s", " ")) < LEAST_WORDS).select("s")
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def item_texts(items: DataFrame) -> DataFrame:
+    """(item_id, text) of questions without their closing stock instructions, and answers."""
+    rows = items.where("item_id is not null").select("item_id", "question", "answer").distinct()
+    asked = rows.where("question is not null").select("item_id", "question").distinct().withColumn("said", _sentences("question")).withColumn("row", F.monotonically_increasing_id())
+    asked = cut_table(asked.select("row", "item_id", "said"), "questions").df
+    each = asked.select("row", F.posexplode("said").alias("at", "sentence")).withColumn("s", _normal(F.col("sentence")))
+    own = each.join(stock_sentences(rows), "s", "left_anti").groupBy("row").agg(F.max("at").alias("last"))
+    kept = asked.join(own, "row").select("item_id", F.array_join(F.slice("said", 1, F.col("last") + 1), "\n").alias("text"))
+    return kept.unionByName(rows.where("answer is not null").select("item_id", F.col("answer").alias("text"))).distinct()
+
+
+def seed_filter(hashes: DataFrame) -> np.ndarray:
+    """The bitmap of the column h of ``hashes``: at most FILTER_BITS / 8 bytes come here."""
+    bit = F.explode(F.array(*[F.shiftright("h", k).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1 for k in SHIFTS]))
+    rows = hashes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows.collect():
+        some = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["k"] - 1) * len(some) : r["k"] * len(some)] = some
+    return out
+
+
+def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id), once each, of documents whose text holds a passage of an
     item's question or answer: at least 20 successive words of it, in order, with at
     most one in five replaced, dropped or inserted.
@@ -254,19 +260,24 @@ def leaked_items(documents: DataFrame, items: DataFrame, block_words: int = BLOC
     words gives no rows.
     """
     spark = documents.sparkSession
-    rows = items.where("item_id is not null").select("item_id", "question", "answer").distinct()
-    size = rows.agg(F.sum(F.coalesce(F.length("question"), F.lit(0)) + F.coalesce(F.length("answer"), F.lit(0)))).first()[0] or 0
-    blocks = int(size // (5 * block_words)) + 1
+    parts = item_texts(items).mapInArrow(_part_codes, "item_id bigint, words array<bigint>").withColumn("part", F.monotonically_increasing_id())
+    parts = cut_table(parts, "leak-parts").df
+    known = cut_table(parts.mapInArrow(_part_seeds, "h bigint, part bigint, n int").distinct(), "leak-seeds").df
+    bitmap = spark.sparkContext.broadcast(seed_filter(known.select("h").distinct()))
     texts = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
-    stock = cut(stock_sentences(rows), "stock")
-    out = None
-    for k in range(blocks):
-        block = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        some = block.collect()
-        # Only stock sentences that the block's own texts hold come to the driver.
-        said = block.select(F.explode(F.flatten(F.array(_sentences("question"), _sentences("answer")))).alias("s"))
-        known = {r["s"] for r in said.join(stock, "s", "left_semi").distinct().collect()}
-        index = spark.sparkContext.broadcast(Index(item_parts([tuple(r) for r in some], known)))
-        found = texts.mapInArrow(_scan(index), "doc_id bigint, item_id bigint")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    near = texts.mapInArrow(_document_hits(bitmap), "doc_id bigint, words array<bigint>, hashes array<bigint>, places array<int>")
+    docs = cut_table(near.withColumn("doc", F.monotonically_increasing_id()), "leak-documents").df
+    bitmap.destroy()
+
+    said = docs.select("doc", F.explode(F.arrays_zip("hashes", "places")).alias("z")).select(F.col("z.hashes").alias("h"), "doc", F.col("z.places").alias("at"))
+    hits = salted_join(said, known, "h", spread=F.xxhash64("doc"))
+    # An item of n words covers at most this many words of a text, so a stretch around a hit
+    # lies within as many before and behind it. Hits of one item near each other are one.
+    reach = (F.col("n") + F.floor(F.col("n") / EDIT_SHARE) + 1).cast("int")
+    spots = hits.withColumn("reach", reach).groupBy("doc", "part", "reach", F.floor(F.col("at") / F.col("reach")).alias("k")).agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    spots = cut_table(spots.drop("k"), "leak-spots").df
+    begin = F.greatest(F.col("low") - F.col("reach"), F.lit(0))
+    around = salted_join(spots, docs.select("doc", "doc_id", "words"), "doc", spread=F.xxhash64("part"))
+    around = around.select("doc", "doc_id", "part", F.slice("words", begin + 1, F.col("high") + F.col("reach") - begin).alias("near"))
+    met = salted_join(around, parts.select("part", "item_id", F.col("words").alias("item_words")), "part", spread=F.xxhash64("doc"), hot=hot_parts(spots, "part"))
+    return met.select("doc_id", "item_id", "item_words", "near").mapInArrow(_verified, "doc_id bigint, item_id bigint").distinct()
