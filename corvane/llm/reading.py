@@ -1,12 +1,12 @@
 """Reading level of each document, by a familiar-word formula.
 
 The formula is that of familiar-word measures: the share of words outside a list of
-familiar words, plus the average sentence length. The list isn't given: familiar are
-the words of high document frequency among the documents that address a general
-reader. Which documents those are is estimated first from a bounded sample of
-labelled documents and then once more from the list itself; document frequencies are
-counted over all English documents. Weights and cut points of the formula are fitted
-on the labelled sample.
+familiar words, plus the average sentence length. Both decide, on one scale. The list
+comes from the corpus's document frequencies: first the words that very many of all
+documents hold, then those that many of the documents hold which the formula itself puts
+within a general reader's reach, and so on until the list stays the same. Frequencies
+are counted over all English documents. Weights and cut points of the formula are fitted
+on a bounded sample of labelled documents; without labels they are published constants.
 
 Only a document's own prose counts: fenced code, quoted blocks, tables, logs and
 sentences that carry identifiers, paths or code are left out, bullets and hard-wrapped
@@ -21,17 +21,23 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import cut_table, spread
 
 #: At most so many labelled documents, those of the smallest hashes of doc_id, are used to fit.
 MAX_LABELLED = 20_000
-#: A word is familiar from this share of the general documents on; with at most n
-#: distinct words a document the list then has at most n / FAMILIAR_SHARE words.
-FAMILIAR_SHARE = 0.003
+#: The first list has the words that so large a share of all documents hold, later lists
+#: those that so large a share of the general documents hold ...
+FIRST_SHARE, FAMILIAR_SHARE = 0.2, 0.003
+#: ... and relative to the others at least so often.
+RELATIVE = 0.5
+#: A list has at most so many words, the most frequent ones.
+FAMILIAR_WORDS = 50_000
 DEMANDING = 4
+#: Dale and Chall's weights and extra term, and the scores from which on levels 2 to 5 begin. Fixed values.
+PUBLISHED = {"share": 15.79, "length": 0.0496, "extra": 3.6365, "extra_from": 0.05, "cuts": (5.0, 7.0, 9.0, 10.0)}
 
 _FENCE = re.compile(r"^[ \t>#*|/]*(```|~~~).*?(^[ \t>#*|/]*\1|\Z)", re.S | re.M)
 _BULLET = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
@@ -39,6 +45,8 @@ _HEADING = re.compile(r"^\s{0,3}#{1,6}\s+\S")
 _MARKED = re.compile(r"^\s*(>|#|\||//|--|%)")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\n[ \t]*(?=[^\W\d_])")
 _CODE = re.compile(r"\w_\w|\w/\w|\b[A-Z]?[a-z]+[A-Z]\w*|`|\w\.\w|[=(){}\[\]<>|\\]|::|->|https?:|\d{4}-\d\d-\d\d")
+#: Without one of these after its first letter a sentence holds no code.
+_SUSPECT = re.compile(r"[_/`=(){}\[\]<>|\\:.\dA-Z]")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’)]*\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 #: Frequent words that tell three languages apart. Fixed values.
@@ -77,9 +85,9 @@ def sentences(text: str | None) -> list[list[str]]:
         found = []
         for block in _blocks(text, keep_marked):
             for s in _SENTENCE.split(block):
-                if _CODE.search(s):
+                if _SUSPECT.search(s.rstrip(".!?\"”’) "), 1) and _CODE.search(s):
                     continue
-                words = [w.lower() for w in _WORD.findall(s)]
+                words = _WORD.findall(s.lower())
                 if len(words) >= 3:
                     found.append(words)
         if found:
@@ -87,13 +95,12 @@ def sentences(text: str | None) -> list[list[str]]:
     return []
 
 
-def is_english(lang: str | None, words: list[str]) -> bool:
+def is_english(lang: str | None, times: Counter) -> bool:
     """By the text's own frequent words; the stated language decides where they don't."""
-    score = {k: sum(w in v for w in words) for k, v in _COMMON.items()}
-    best = max(score, key=lambda k: (score[k], k == "en"))
+    score = {k: sum(times[w] for w in v) for k, v in _COMMON.items()}
     others = max(v for k, v in score.items() if k != "en")
     if score["en"] != others:
-        return best == "en"
+        return score["en"] > others
     return (lang or "en").strip().lower()[:2] == "en"
 
 
@@ -102,9 +109,8 @@ def _prose(batches):
         ids, words, times, counts = [], [], [], []
         for d, text, lang in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["lang"].to_pylist()):
             found = sentences(text)
-            flat = [w for s in found for w in s]
-            if flat and is_english(lang, flat):
-                n = Counter(flat)
+            n = Counter(w for s in found for w in s)
+            if n and is_english(lang, n):
                 ids.append(d)
                 words.append(list(n))
                 times.append(list(n.values()))
@@ -116,40 +122,37 @@ def _prose(batches):
 PROSE = "doc_id bigint, words array<string>, times array<int>, n_sentences int"
 
 
-def _mean_scores(b, table, default: float):
-    """Per document of a batch the mean score over its words, and its number of words. A
-    dictionary gives a word's score, a set scores its words 0 and all others ``default``."""
-    flat, times = b["words"].flatten(), b["times"].flatten().to_numpy()
-    coded = flat.dictionary_encode()
-    vocabulary = coded.dictionary.to_pylist()
-    of = table.get if isinstance(table, dict) else lambda w, other: 0.0 if w in table else other
-    score = np.array([of(w, default) for w in vocabulary], float)[coded.indices.to_numpy()]
+def _features(b, familiar):
+    """Of the documents of a batch the share of words outside the list and the average
+    sentence length, with the batch's vocabulary, its places in it and words per document."""
+    times = b["times"].flatten().to_numpy()
+    coded = b["words"].flatten().dictionary_encode()
+    strange = np.array([w not in familiar for w in coded.dictionary.to_pylist()], float)[coded.indices.to_numpy()]
     sizes = pc.list_value_length(b["words"]).to_numpy()
     starts = np.cumsum(sizes) - sizes
     n = np.add.reduceat(times, starts).astype(float)
-    return np.add.reduceat(score * times, starts) / n, n, coded, sizes
+    return np.add.reduceat(strange * times, starts) / n, n / b["n_sentences"].to_numpy(), coded, sizes
 
 
-def _scored(scores, default):
+def _scored(familiar):
     def run(batches):
         for b in batches:
             if b.num_rows:
-                mean, n, _, _ = _mean_scores(b, scores.value, default)
-                length = n / b["n_sentences"].to_numpy()
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(mean), pa.array(length)], ["doc_id", "score", "sentence_length"])
+                share, length, _, _ = _features(b, familiar.value)
+                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(share), pa.array(length)], ["doc_id", "share", "length"])
 
     return run
 
 
-def _frequencies(scores, default, cut):
-    """Per word the documents below (g) and from ``cut`` on (o), in part; the row of the
-    empty word counts the documents themselves."""
+def _frequencies(familiar, formula):
+    """Per word the general documents (g) and the others (o) that hold it, in part; the row
+    of the empty word counts the documents themselves. Without a formula all are general."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                mean, _, coded, sizes = _mean_scores(b, scores.value, default)
-                general = mean < cut
+                share, length, coded, sizes = _features(b, familiar.value)
+                general = np.ones(len(share), bool) if formula is None else formula.value(share, length) < formula.demanding
                 at, in_general = coded.indices.to_numpy(), np.repeat(general, sizes)
                 k = len(coded.dictionary)
                 g, every = np.bincount(at[in_general], minlength=k), np.bincount(at, minlength=k)
@@ -174,17 +177,49 @@ def best_cut(score: np.ndarray, above: np.ndarray) -> float:
 
 
 class Formula:
-    """level = intercept + a * unfamiliar share + b * log(average sentence length), cut
-    into grades at points fitted per grade."""
+    """score = intercept + a * share of unfamiliar words + b * log(average sentence length),
+    with the scores from which on levels 2 to 5 begin."""
 
     def __init__(self, share, length, grade):
-        x = np.column_stack([np.ones(len(share)), share, np.log(np.maximum(length, 1.0))])
-        ridge = 1e-6 * np.eye(3)
-        self.weights = np.linalg.solve(x.T @ x + ridge, x.T @ grade)
+        x = self._inputs(np.asarray(share), np.asarray(length))
+        self.weights = np.linalg.solve(x.T @ x + 1e-6 * np.eye(3), x.T @ np.asarray(grade))
         score = x @ self.weights
-        self.cuts = [best_cut(score, grade >= g - 0.5) for g in range(2, 6)]
-        self.cuts = list(np.maximum.accumulate(self.cuts))
-        self.demanding = best_cut(np.asarray(share), np.asarray(grade) >= DEMANDING - 0.5)
+        cuts = [best_cut(score, np.asarray(grade) >= g - 0.5) for g in range(2, 6)]
+        self.demanding = cuts[DEMANDING - 2]
+        self.cuts = [min(cuts[0], cuts[1], self.demanding), min(cuts[1], self.demanding), self.demanding, max(cuts[3], self.demanding)]
+
+    @staticmethod
+    def _inputs(share, length):
+        return np.column_stack([np.ones(len(share)), share, np.log(np.maximum(length, 1.0))])
+
+    def value(self, share, length):
+        return self._inputs(share, length) @ self.weights
+
+    def column(self) -> Column:
+        one, share, length = (F.lit(float(w)) for w in self.weights)
+        return one + share * F.col("share") + length * F.log(F.greatest("length", F.lit(1.0)))
+
+
+class Published:
+    """The formula with published constants, for a corpus without labels."""
+
+    cuts, demanding = PUBLISHED["cuts"], PUBLISHED["cuts"][DEMANDING - 2]
+
+    def column(self) -> Column:
+        extra = F.when(F.col("share") > PUBLISHED["extra_from"], PUBLISHED["extra"]).otherwise(0.0)
+        return PUBLISHED["share"] * F.col("share") + PUBLISHED["length"] * F.col("length") + extra
+
+
+def familiar_words(prose: DataFrame, familiar, formula, share: float, relative: float = RELATIVE) -> frozenset[str]:
+    """The words that at least ``share`` of the general documents hold, and at least
+    ``relative`` as often as the others, the FAMILIAR_WORDS most frequent ones."""
+    words = cut_table(prose.mapInArrow(_frequencies(familiar, formula), "w string, g bigint, o bigint").groupBy("w").agg(F.sum("g").alias("g"), F.sum("o").alias("o")), "reading-words")
+    total = words.df.where("w = ''").first()
+    n_general, n_other = (total["g"], total["o"]) if total else (0, 0)
+    listed = words.df.where((F.col("w") != "") & (F.col("g") >= share * n_general) & (F.col("g") * n_other >= F.col("o") * F.lit(relative) * n_general) & (F.col("g") > 0))
+    found = frozenset(r["w"] for r in listed.orderBy(F.desc("g"), "w").limit(FAMILIAR_WORDS).select("w").collect())
+    words.drop()
+    return found
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, familiar_share: float = FAMILIAR_SHARE) -> DataFrame:
@@ -194,44 +229,36 @@ def reading_levels(documents: DataFrame, labels: DataFrame, max_labelled: int =
     ``documents``: doc_id, text, lang; ``labels``: doc_id, rater_id, grade. Null grades
     and grades outside 1 to 5 are ignored and repeated rows count once; a document's
     grade is the mean over its raters. Null and blank texts, texts in other languages,
-    tables, logs and bare code have no row. Without any usable label nothing can be
-    fitted: level and too_demanding are null then. Repeated documents have a row each.
+    tables, logs and bare code have no row. Without any usable label the list is that of
+    all documents and weights and cut points are the published ones. Repeated documents
+    have a row each.
     """
     spark = documents.sparkSession
+    send = spark.sparkContext.broadcast  # lists of at most FAMILIAR_WORDS words
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text", "lang")
     prose = cut_table(spread(rows).mapInArrow(_prose, PROSE), "reading").df
     graded = labels.where("doc_id is not null and grade between 1 and 5").select("doc_id", "rater_id", "grade").distinct().groupBy("doc_id").agg(F.avg("grade").alias("grade"))
     sample = cut_table(graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "reading-sample").df
     known = cut_table(prose.join(F.broadcast(sample), "doc_id"), "reading-known").df
-    word_grades = known.select("grade", F.explode("words").alias("w")).groupBy("w").agg(F.sum("grade").alias("s"), F.count("*").alias("n")).collect()  # words of the sample
-    mean = known.agg(F.avg("grade")).first()[0]
-    if mean is None:
-        length = F.aggregate("times", F.lit(0), lambda a, x: a + x) / F.col("n_sentences")
-        return prose.select("doc_id", F.lit(None).cast("double").alias("unfamiliar_share"), length.alias("sentence_length"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("boolean").alias("too_demanding"))
-    table, default = spark.sparkContext.broadcast({r["w"]: (r["s"] + mean) / (r["n"] + 1) for r in word_grades}), mean
-    out = "doc_id bigint, score double, sentence_length double"
-
-    def graded_scores():
-        return known.drop("grade").mapInArrow(_scored(table, default), out).join(F.broadcast(sample), "doc_id").select("score", "sentence_length", "grade").collect()
-
-    for _ in range(3):
-        mine = graded_scores()
-        cut = best_cut(np.array([r["score"] for r in mine]), np.array([r["grade"] for r in mine]) >= DEMANDING - 0.5)
-        # Document frequencies among the documents on either side of the cut.
-        words = cut_table(prose.mapInArrow(_frequencies(table, default, cut), "w string, g bigint, o bigint").groupBy("w").agg(F.sum("g").alias("g"), F.sum("o").alias("o")), "reading-words").df
-        total = words.where("w = ''").first()
-        n_general, n_other = (total["g"], total["o"]) if total else (0, 0)
-        listed = words.where((F.col("w") != "") & (F.col("g") >= familiar_share * n_general) & (F.col("g") * n_other >= F.col("o") * F.lit(0.5) * n_general))
-        table, default = spark.sparkContext.broadcast(frozenset(r["w"] for r in listed.select("w").collect())), 1.0
-    mine = graded_scores()
-    formula = Formula(*(np.array([r[c] for r in mine], float) for c in ("score", "sentence_length", "grade")))
-    final = prose.mapInArrow(_scored(table, default), out)
-    w = [float(x) for x in formula.weights]
-    value = F.lit(w[0]) + F.lit(w[1]) * F.col("score") + F.lit(w[2]) * F.log(F.greatest("sentence_length", F.lit(1.0)))
-    demanding = F.col("score") >= formula.demanding
+    schema = "doc_id bigint, share double, length double"
+
+    def fitted(familiar):
+        mine = known.drop("grade").mapInArrow(_scored(familiar), schema).join(F.broadcast(sample), "doc_id").select("share", "length", "grade").collect()
+        return Formula(*(np.array([r[c] for r in mine], float) for c in ("share", "length", "grade"))) if mine else None
+
+    empty = send(frozenset())
+    labelled = not known.isEmpty()
+    listed = familiar_words(prose, empty, None, FIRST_SHARE if labelled else familiar_share)
+    familiar = send(listed)
+    formula = fitted(familiar) if labelled else Published()
+    seen: set[frozenset[str]] = set()
+    while labelled and listed not in seen:
+        seen.add(listed)
+        listed = familiar_words(prose, familiar, formula, familiar_share)
+        familiar = send(listed)
+        formula = fitted(familiar)
     level = F.lit(1)
-    for c in formula.cuts:
-        level = level + (value >= float(c)).cast("int")
-    # The share alone tells demanding texts from the others; sentence length ranks within.
-    level = F.when(demanding, F.greatest(level, F.lit(DEMANDING))).otherwise(F.least(level, F.lit(DEMANDING - 1)))
-    return final.select("doc_id", F.col("score").alias("unfamiliar_share"), "sentence_length", level.alias("level"), demanding.alias("too_demanding"))
+    for cut in formula.cuts:
+        level = level + (F.col("value") >= float(cut)).cast("int")
+    final = prose.mapInArrow(_scored(familiar), schema).withColumn("value", formula.column())
+    return final.select("doc_id", F.col("share").alias("unfamiliar_share"), F.col("length").alias("sentence_length"), level.alias("level"), (F.col("value") >= float(formula.demanding)).alias("too_demanding"))

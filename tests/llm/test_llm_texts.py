@@ -207,7 +207,9 @@ def test_reading_levels(spark):
     assert {i for i, (_, hard) in got.items() if hard} == {i for i in range(0, 80, 4)} | {101, 107}
     assert set(got) == set(range(80)) | {100, 101, 107, 108} and got[100][0] < 4
     assert levels(spark, [], labels) == {}
-    assert levels(spark, docs[:3], []) == {0: (None, None), 1: (None, None), 2: (None, None)}
+    assert levels(spark, docs[:3], []) == {0: (1, False), 1: (1, False), 2: (1, False)}  # all words familiar, published cuts
+    rare = [(i, ". ".join(EASY), "en", 0) for i in range(400)] + [(400, ". ".join(HARD) + ".", "en", 0)]
+    assert levels(spark, rare, [])[400] == (5, True) and levels(spark, rare, [])[0] == (1, False)
 
 
 def test_cut_points():
