@@ -4,37 +4,36 @@ Sets are points of a segment-popcount embedding: the hash space is cut into
 segments and a set becomes the vector of its counts per segment. The Manhattan
 distance of two such vectors never exceeds the size of the sets' symmetric
 difference, and sets of Jaccard similarity t or more differ by at most
-(1 - t) / (1 + t) of their sizes' sum: a range join under that bound loses nothing.
-
-The bound is used at two resolutions. With the coarse segments alone (SEGMENTS of
-them) nearly all pairs of unrelated sets of like size stay inside the bound at
-t = 0.5, so a grid over them doesn't narrow the search (figures in the README). At
-the finest resolution every window is a segment of its own: points within the
-bound then share a segment among the first of each set in any common order of
-segments. That join, on segments ordered rare first, gives the candidates; size
-and position bounds cut them in the join, the coarse vectors' Manhattan distance
-cuts them again, and the sets themselves decide.
-
-Equal sets are joined once, as a class; classes are expanded at the end.
+(1 - t) / (1 + t) of their sizes' sum: a search under that bound loses nothing.
+
+A grid over the vectors can't find the candidates at a similarity of 0.5 (figures in
+the README), so another method does: a prefix join on single windows, rare ones first,
+with size and position bounds. The vectors' Manhattan distance then cuts the candidates
+before any set is fetched, and the sets themselves decide.
+
+Equal sets are joined once, as a class. Pairs of classes, the classes' members and the
+groups that pairs form are the result; ``similar_pairs`` expands them.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.scale import cut_table, salted_join
+from ..operators.scale import HOT_BUCKETS, cut_table, hot_parts, salted_join
+from .components import connected_components
 
 SEGMENTS = 256
-#: At most so many windows count as common and are broadcast, 16 bytes each.
-MAX_COMMON = 500_000
-LEAST_COMMON = 8
+#: Windows of more sets than this are told apart by count: so many of the most common ones
+#: exactly, 16 bytes each, all others by the sum of their counts in hash buckets, 4 bytes each.
+LEAST_COMMON, MAX_COMMON, COUNT_BUCKETS = 8, 500_000, 1 << 22
+#: Rows of one window, or copies of one set, that meet one another in a task.
+PAIR_ROWS = 4_000
 
 
 def read_set(payload: bytes | None) -> np.ndarray | None:
@@ -86,47 +85,41 @@ def bound(total, t: float):
 
 def _catalogue(batches):
     for b in batches:
-        out = [[], [], [], []]
-        for h, p in zip(b["body_hash"].to_pylist(), b["payload"].to_pylist()):
-            s = read_set(p)
-            if s is not None and len(s):
-                for o, v in zip(out, (h, len(s), signature(s), embed(s))):
-                    o.append(v)
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds)], ["body_hash", "n", "sig", "vec"])
+        sets = [read_set(p) for p in b["payload"].to_pylist()]
+        kept = [k for k, s in enumerate(sets) if s is not None and len(s)]
+        out = b.select(["body_hash", "mark"]).take(pa.array(kept, pa.int64()))
+        sizes, sigs = pa.array([len(sets[k]) for k in kept], pa.int32()), pa.array([signature(sets[k]) for k in kept], pa.string())
+        yield pa.RecordBatch.from_arrays([out["body_hash"], sizes, sigs, out["mark"]], ["body_hash", "n", "sig", "mark"])
 
 
-def _windows(batches):
+def _decoded(batches):
     for b in batches:
-        sets = [s for s in map(read_set, b["payload"].to_pylist()) if s is not None]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64), pa.int64())], ["w"])
+        sets = [read_set(p) for p in b["payload"].to_pylist()]
+        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        windows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]), pa.int64()))
+        yield pa.RecordBatch.from_arrays([b["id"], pa.array(np.diff(ends).astype(np.int32)), pa.array([embed(s) for s in sets], pa.binary()), windows], ["id", "n", "vec", "ws"])
 
 
-def _prefixes(common: np.ndarray, t: float):
-    """common: the common windows, ascending by value, with their places by count."""
-    values, places = common
+def _prefixes(order, t: float):
+    """order: the common windows, ascending by value, with their counts, and the bucket
+    counts of the others."""
 
     def run(batches):
+        values, counts, buckets = order.value
         for b in batches:
-            ids, sets = [], []
-            for i, p, sig in zip(b["id"].to_pylist(), b["payload"].to_pylist(), b["sig"].to_pylist()):
-                s = read_set(p)
-                if s is not None and len(s) and signature(s) == sig:
-                    ids.append(i)
-                    sets.append(s)
-            if not sets:
+            if not b.num_rows:
                 continue
-            size = np.array([len(s) for s in sets])
-            w, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-            place = np.zeros(len(w), np.int64)
+            size = b["n"].to_numpy().astype(np.int64)
+            w, of = b["ws"].flatten().to_numpy(), np.repeat(np.arange(b.num_rows), size)
+            place = buckets[w & (COUNT_BUCKETS - 1)].astype(np.int64)
             if len(values):
                 at = np.minimum(np.searchsorted(values, w), len(values) - 1)
-                place = np.where(values[at] == w, places[at], 0)
-            order = np.lexsort((w, place, of))
+                place = np.where(values[at] == w, counts[at], place)
+            by = np.lexsort((w, place, of))
             position = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
             n = size[of]
             keep = position < n - np.ceil(t * n - 1e-9) + 1
-            arrays = [w[order][keep], np.array(ids, np.int64)[of][keep], n[keep].astype(np.int32), position[keep].astype(np.int32)]
+            arrays = [w[by][keep], b["id"].to_numpy()[of][keep], n[keep].astype(np.int32), position[keep].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["w", "id", "n", "pos"])
 
     return run
@@ -141,108 +134,132 @@ def _near(t: float):
                 continue
             u, v = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("vec_a", "vec_b"))
             most = bound(b["n_a"].to_numpy().astype(np.int64) + b["n_b"].to_numpy(), t)
-            yield b.filter(pa.array(manhattan(u, v) <= most)).select(["rep_a", "rep_b"])
+            yield b.filter(pa.array(manhattan(u, v) <= most)).select(["x", "y"])
 
     return run
 
 
-def _verify(t: float):
-    def run(batches):
-        for b in batches:
-            out = [[], [], []]
-            for x, y, p, q in zip(*(b[c].to_pylist() for c in ("rep_a", "rep_b", "payload_a", "payload_b"))):
-                s, r = read_set(p), read_set(q)
-                if s is None or r is None:
-                    continue
-                shared = len(np.intersect1d(s, r, assume_unique=True))
-                if shared >= t * (len(s) + len(r) - shared):
-                    for o, v in zip(out, (x, y, shared / (len(s) + len(r) - shared))):
-                        o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["rep_a", "rep_b", "similarity"])
-
-    return run
+def blocks(df: DataFrame, parts: Column, spread: Column) -> DataFrame:
+    """``df`` with blk, lo, hi: rows are in blocks by ``spread`` and stand once for every
+    pair of blocks that theirs is part of. Joined on (lo, hi) under ``meet`` any two rows of
+    a key meet once, and no task holds more than two of its blocks."""
+    mine = df.withColumn("blk", F.pmod(spread, parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return mine.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")).drop("other")
 
 
-def _tidy(spark) -> None:
-    """Shuffle files of finished steps go once their plans are garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+def meet(a: str = "a", b: str = "b") -> Column:
+    same = (F.col(f"{a}.lo") == F.col(f"{b}.lo")) & (F.col(f"{a}.hi") == F.col(f"{b}.hi"))
+    return same & ((F.col(f"{a}.blk") != F.col(f"{b}.blk")) | (F.col(f"{a}.lo") == F.col(f"{a}.hi")))
 
 
-def similar_classes(sets: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): pairs (rep_a, rep_b, similarity), rep_a < rep_b, of classes
-    of equal sets whose similarity is at least ``threshold``; members (body_hash, rep,
-    class_size) of every readable, non-empty set. rep is the least body_hash of its class.
-
-    ``sets``: body_hash, payload. Null hashes, null, unreadable and empty payloads
-    don't count. A hash delivered several times counts once; should its readable
-    sets differ, the smallest one by size and signature counts.
-    """
-    spark, t = sets.sparkSession, float(threshold)
-    if not 0 < t <= 1:
-        raise ValueError("threshold must be above 0 and at most 1")
-    rows = sets.where("body_hash is not null and payload is not null").select("body_hash", "payload")
-    seen = rows.mapInArrow(_catalogue, "body_hash string, n int, sig string, vec binary")
-    one = cut_table(seen.groupBy("body_hash").agg(F.min(F.struct("n", "sig", "vec")).alias("s")).select("body_hash", "s.n", "s.sig", "s.vec"), "nd-sets").df
-    classes = cut_table(one.groupBy("sig").agg(F.min("body_hash").alias("rep"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.count("*").alias("class_size")).withColumn("id", F.monotonically_increasing_id()), "nd-classes").df
-    members = salted_join(one.select("body_hash", "sig"), classes.select("sig", "rep", "class_size"), "sig", spread=F.xxhash64("body_hash")).select("body_hash", "rep", "class_size")
-
-    # Places of the common windows, rare ones first: all windows of more than LEAST_COMMON
-    # sets, or if these are over MAX_COMMON, those above the least count that fits.
-    counts = rows.select("payload").mapInArrow(_windows, "w bigint").groupBy("w").count().where(F.col("count") > LEAST_COMMON)
-    counts = cut_table(counts, "nd-common")
+def window_order(sets: DataFrame):
+    """(values, counts, buckets) for ``_prefixes``: bounded whatever the sets hold."""
+    counts = cut_table(sets.select(F.explode("ws").alias("w")).groupBy("w").count().where(F.col("count") > LEAST_COMMON), "nd-common")
     by_count = Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, 0)  # one row per distinct count
     sizes = counts.df.groupBy("count").agg(F.count("*").alias("n")).withColumn("so_far", F.sum("n").over(by_count))
     least = sizes.where(F.col("so_far") <= MAX_COMMON).agg(F.min("count")).first()[0]
-    found = counts.df.where(F.col("count") >= (least or 0)).limit(MAX_COMMON).toArrow()
+    is_common = F.lit(False) if least is None else F.col("count") >= least
+    found = counts.df.where(is_common).toArrow()
+    rest = counts.df.where(~is_common).groupBy(F.col("w").bitwiseAND(F.lit(COUNT_BUCKETS - 1)).alias("k")).agg(F.sum("count").alias("c")).toArrow()
+    counts.drop()
+    buckets = np.zeros(COUNT_BUCKETS, np.int32)
+    buckets[rest["k"].to_numpy().astype(np.int64)] = np.minimum(rest["c"].to_numpy().astype(np.int64), 2**31 - 1)
     value, count = (found[c].to_numpy().astype(np.int64) for c in ("w", "count"))
-    place = np.empty(len(value), np.int64)
-    place[np.lexsort((value, count))] = np.arange(len(value)) + 1
     order = np.argsort(value)
-    common = (value[order], place[order])
-    counts.drop()
-    del counts
-    _tidy(spark)
+    return value[order], count[order], buckets
 
-    named = rows.join(classes.select(F.col("rep").alias("body_hash"), "id", "sig"), "body_hash").select("id", "payload", "sig")
-    postings = named.mapInArrow(_prefixes(common, t), "w bigint, id bigint, n int, pos int")
-    postings = postings.repartition("w")
-    a, b = postings.alias("a"), postings.alias("b")
+
+def candidates(sets: DataFrame, t: float) -> DataFrame:
+    """(x, y), once each, of the classes (id, n, ws) that share a window among the first of
+    each in the common order and whose sizes and positions allow a similarity of t."""
+    spark = sets.sparkSession
+    order = spark.sparkContext.broadcast(window_order(sets))
+    postings = cut_table(sets.select("id", "n", "ws").mapInArrow(_prefixes(order, t), "w bigint, id bigint, n int, pos int"), "nd-postings")
+    order.destroy()
     na, nb = F.col("a.n"), F.col("b.n")
     least = F.lit(t / (1 + t)) * (na + nb) - 1e-9  # windows that two such sets must share
     near = (
         (F.col("a.w") == F.col("b.w")) & ((na < nb) | ((na == nb) & (F.col("a.id") < F.col("b.id")))) & (na >= F.lit(t) * nb - 1e-9)
         & (na - F.col("a.pos") >= least) & (nb - F.col("b.pos") >= least)
     )
-    pairs = cut_table(a.join(b, near).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct(), "nd-pairs").df
-    _tidy(spark)
+    found = lambda a, b, on: a.alias("a").join(b.alias("b"), on).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+    hot = hot_parts(postings.df, "w", PAIR_ROWS)
+    rows = postings.df
+    if hot:
+        # Windows of very many prefixes: blocks of their rows meet pairwise, in tasks of their own.
+        parts = F.broadcast(spark.createDataFrame(hot, "hot_bucket int, hot_parts int"))
+        marked = rows.withColumn("hot_bucket", F.pmod(F.xxhash64("w"), F.lit(HOT_BUCKETS)).cast("int")).join(parts, "hot_bucket", "left").drop("hot_bucket")
+        split = blocks(marked.where("hot_parts is not null"), F.col("hot_parts"), F.xxhash64("id")).drop("hot_parts")
+        rows = marked.where("hot_parts is null").drop("hot_parts")
+        pairs = found(rows, rows, near).unionByName(found(split, split, near & meet()))
+    else:
+        pairs = found(rows, rows, near)
+    out = cut_table(pairs.distinct(), "nd-pairs").df
+    postings.drop()
+    return out
 
-    points = classes.select("id", "rep", "n", "vec")
-    embedded = pairs.join(points.toDF("x", "rep_a", "n_a", "vec_a"), "x").join(points.toDF("y", "rep_b", "n_b", "vec_b"), "y")
-    close = embedded.drop("x", "y").mapInArrow(_near(t), "rep_a string, rep_b string")
-    pairs = cut_table(close.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")), "nd-close").df
-    _tidy(spark)
 
-    payloads = rows.join(classes.select(F.col("rep").alias("body_hash"), "sig"), "body_hash").mapInArrow(_readable, "body_hash string, payload binary")
-    full = pairs.join(payloads.toDF("rep_a", "payload_a"), "rep_a").join(payloads.toDF("rep_b", "payload_b"), "rep_b")
-    verified = full.mapInArrow(_verify(t), "rep_a string, rep_b string, similarity double").distinct()
-    return verified, members
+def similar_classes(sets: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (rep_a, rep_b, similarity), rep_a < rep_b, of classes
+    of equal sets whose similarity is at least ``threshold``; members (body_hash, rep,
+    class_size) of every readable, non-empty set. rep is the least body_hash of its class.
 
+    ``sets``: body_hash, payload. Null hashes, null, unreadable and empty payloads
+    don't count. A hash delivered several times counts once; should its readable
+    sets differ, the smallest one by size and signature counts.
+    """
+    t = float(threshold)
+    if not 0 < t <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    rows = sets.where("body_hash is not null and payload is not null").select("body_hash", F.md5("payload").alias("mark"), "payload")
+    seen = rows.mapInArrow(_catalogue, "body_hash string, n int, sig string, mark string")
+    one = cut_table(seen.groupBy("body_hash").agg(F.min(F.struct("n", "sig", "mark")).alias("s")).select("body_hash", "s.n", "s.sig", "s.mark"), "nd-sets").df
+    least = F.min(F.struct("body_hash", "mark"))
+    grouped = one.groupBy("sig").agg(least.alias("r"), F.count("*").alias("class_size"))
+    classes = cut_table(grouped.select("sig", F.col("r.body_hash").alias("rep"), F.col("r.mark").alias("mark"), "class_size").withColumn("id", F.monotonically_increasing_id()), "nd-classes").df
+    members = salted_join(one.select("body_hash", "sig"), classes.select("sig", "rep", "class_size"), "sig", spread=F.xxhash64("body_hash")).select("body_hash", "rep", "class_size")
 
-def _readable(batches):
-    for b in batches:
-        keep = [(s := read_set(p)) is not None and signature(s) == g for p, g in zip(b["payload"].to_pylist(), b["sig"].to_pylist())]
-        yield b.filter(pa.array(keep, pa.bool_())).select(["body_hash", "payload"])
+    # The set of each class, decoded once. Repeated deliveries are combined before the shuffle.
+    once = rows.groupBy("body_hash", "mark").agg(F.first("payload").alias("payload"))
+    named = once.join(classes.select(F.col("rep").alias("body_hash"), "mark", "id").hint("shuffle_merge"), ["body_hash", "mark"]).select("id", "payload")
+    full = cut_table(named.mapInArrow(_decoded, "id bigint, n int, vec binary, ws array<bigint>"), "nd-decoded").df
+
+    pairs = candidates(full, t)
+    points = full.select("id", "n", "vec")
+    embedded = pairs.join(points.toDF("x", "n_a", "vec_a"), "x").join(points.toDF("y", "n_b", "vec_b"), "y")
+    close = cut_table(embedded.mapInArrow(_near(t), "x bigint, y bigint"), "nd-close").df
+    windows = full.select("id", "ws")
+    both = close.join(windows.toDF("x", "a"), "x").join(windows.toDF("y", "b"), "y")
+    shared = F.size(F.array_intersect("a", "b"))
+    scored = both.select("x", "y", (shared / (F.size("a") + F.size("b") - shared)).alias("similarity")).where(F.col("similarity") >= t)
+    names = classes.select("id", "rep")
+    named = scored.join(names.toDF("x", "ra"), "x").join(names.toDF("y", "rb"), "y")
+    return named.select(F.least("ra", "rb").alias("rep_a"), F.greatest("ra", "rb").alias("rep_b"), "similarity"), members
+
+
+def similar_groups(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """body_hash, class_id, group_id, n_links of every readable, non-empty set: the class of
+    equal sets, the least body_hash linked to it directly or through others, and how many
+    other classes are similar. A set without links is a group of its own class."""
+    pairs, members = similar_classes(sets, threshold)
+    pairs = cut_table(pairs, "nd-found").df
+    groups = connected_components(pairs, "rep_a", "rep_b").select(F.col("node").alias("rep"), F.col("component").alias("group_id"))
+    links = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    known = cut_table(groups.join(links, "rep"), "nd-groups").df
+    out = salted_join(cut_table(members, "nd-members").df, known, "rep", "left", spread=F.xxhash64("body_hash"))
+    return out.select("body_hash", F.col("rep").alias("class_id"), F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def similar_pairs(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(hash_a, hash_b), hash_a < hash_b: all pairs of distinct hashes whose sets have
-    a similarity of at least ``threshold``, equal sets included."""
+    a similarity of at least ``threshold``, equal sets included. Copies of one set meet in
+    blocks of PAIR_ROWS."""
     pairs, members = similar_classes(sets, threshold)
     pairs = cut_table(pairs, "nd-found").df
     members = cut_table(members, "nd-members").df
     m = members.select("rep", "body_hash")
     across = pairs.join(m.toDF("rep_a", "ha"), "rep_a").join(m.toDF("rep_b", "hb"), "rep_b").select("ha", "hb")
-    copies = members.where("class_size > 1").select("rep", "body_hash")
-    inside = copies.toDF("rep", "ha").join(copies.toDF("rep", "hb"), "rep").where("ha < hb").select("ha", "hb")
+    copies = blocks(members.where("class_size > 1"), F.ceil(F.col("class_size") / PAIR_ROWS).cast("int"), F.xxhash64("body_hash"))
+    same = (F.col("a.rep") == F.col("b.rep")) & (F.col("a.body_hash") < F.col("b.body_hash")) & meet()
+    inside = copies.alias("a").join(copies.alias("b"), same).select(F.col("a.body_hash").alias("ha"), F.col("b.body_hash").alias("hb"))
     return across.unionByName(inside).select(F.least("ha", "hb").alias("hash_a"), F.greatest("ha", "hb").alias("hash_b"))

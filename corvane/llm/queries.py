@@ -8,7 +8,7 @@ from .components import connected_components
 from .docpairs import doc_pairs
 from .leakage import leaked_items
 from .links import valid_links
-from .neardup import similar_classes, similar_pairs
+from .neardup import similar_classes, similar_groups, similar_pairs
 from .packing import pack_documents, packing_summary
 from .reading import reading_levels
 from .topn import top_n
@@ -45,6 +45,15 @@ def p6_classes(spark, d):
     return similar_classes(load(spark, d, "shingles_v2"), 0.5)[1]
 
 
+def p6_pairs(spark, d):
+    """Pairs of classes of equal sets, by their representatives."""
+    return similar_classes(load(spark, d, "shingles_v2"), 0.5)[0]
+
+
+def p6_groups(spark, d):
+    return similar_groups(load(spark, d, "shingles_v2"), 0.5)
+
+
 def p7_containers(spark, d):
     return pack_documents(load(spark, d, "documents"))
 
@@ -72,6 +81,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_classes": p6_classes,
+    "p6_pairs": p6_pairs,
+    "p6_groups": p6_groups,
     "p7_containers": p7_containers,
     "p7_summary": p7_summary,
     "p8_found": p8_found,

@@ -24,8 +24,9 @@ def brute(sets, t):
     return out
 
 
-@pytest.mark.parametrize("t", [0.5, 0.8])
-def test_pairs_against_brute_force(spark, t):
+@pytest.mark.parametrize("t,rows", [(0.5, 4000), (0.8, 4000), (0.5, 5)])
+def test_pairs_against_brute_force(spark, t, rows, monkeypatch):
+    monkeypatch.setattr(nd, "PAIR_ROWS", rows)  # 5: every window of several sets and every class is split
     rng = random.Random(7)
     common = [rng.getrandbits(62) for _ in range(30)]
     sets = {}
@@ -45,6 +46,15 @@ def test_pairs_against_brute_force(spark, t):
     assert len(found) == len(set(found)) and set(found) == brute(sets, t)
 
 
+def test_groups(spark):
+    base = list(range(100))
+    sets = {"a": base, "b": base[:80] + [900 + k for k in range(20)], "c": base[:60] + [900 + k for k in range(40)], "c2": base[:60] + [900 + k for k in range(40)], "d": [5000 + k for k in range(50)], "e": [1]}
+    rows = [(k, payload(v), "", "") for k, v in sets.items()] + [("null", None, "", "")]
+    got = sorted(map(tuple, nd.similar_groups(spark.createDataFrame(rows, SETS), 0.6).collect()))
+    assert got == [("a", "a", "a", 1), ("b", "b", "a", 2), ("c", "c", "a", 1), ("c2", "c", "a", 1), ("d", "d", "d", 0), ("e", "e", "e", 0)]
+    assert nd.similar_groups(spark.createDataFrame([], SETS)).count() == 0
+
+
 def test_embedding_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for _ in range(50):
