@@ -18,9 +18,12 @@ containers by a lookup table whose size doesn't depend on the number of document
 from __future__ import annotations
 
 import base64
+import os
+import warnings
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,9 +52,9 @@ def encoding(path: str):
     return _encodings[path]
 
 
-def _pieces(path: str, capacity: int):
+def _pieces(name: str, capacity: int):
     def run(batches):
-        encode = encoding(path).encode_ordinary
+        encode = encoding(SparkFiles.get(name)).encode_ordinary
         for b in batches:
             out = [[], [], [], []]
             for d, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
@@ -103,7 +106,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
             g = int(gain.argmax())
             value[w], pick[w] = (gain[g], fits[g]) if gain[g] > value[w - 1] + 1e-12 else (value[w - 1], -1)
         if value[capacity] <= 1 + 1e-7:
-            break
+            break  # no configuration is worth more than a container: optimal
         column, w = np.zeros(k), capacity
         while w > 0:
             if pick[w] < 0:
@@ -114,6 +117,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
         x, change = inverse @ need, inverse @ column
         ratio = np.where(change > 1e-9, x / np.where(change > 1e-9, change, 1), np.inf)
         basis[:, int(ratio.argmin())] = column
+    else:
+        warnings.warn("configurations aren't proven optimal: column generation was stopped", stacklevel=2)
     amounts = np.floor(np.linalg.solve(basis, need) + 1e-9)
     out, left = [], np.array(demand, dtype=object)
     for j in range(k):
@@ -254,15 +259,17 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
     """
     spark = documents.sparkSession
     rows = documents.where("doc_id is not null").select("doc_id", "text")
-    items = cut_table(spread(rows).mapInArrow(_pieces(tokenizer, capacity), "doc_id bigint, piece int, token_start bigint, n_tokens int"), "packing").df
+    spark.sparkContext.addFile(tokenizer)  # executors get the vocabulary from here
+    pieces = spread(rows).mapInArrow(_pieces(os.path.basename(tokenizer), capacity), "doc_id bigint, piece int, token_start bigint, n_tokens int")
+    items = cut_table(pieces.withColumn("row", F.monotonically_increasing_id()), "packing").df
     histogram = {r["n_tokens"]: r["count"] for r in items.groupBy("n_tokens").count().collect()}  # at most capacity + 1 rows
     histogram.pop(0, None)
     table = spark.sparkContext.broadcast(lookup(container_classes(histogram, capacity, groups, small), capacity))
     buckets = max([1, *(-(-c // bucket_rows) for c in histogram.values())])
-    held = items.where("n_tokens > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    held = items.where("n_tokens > 0").withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     sizes = held.groupBy("n_tokens", "bucket").agg(F.count("*").alias("c"))
     before = sizes.withColumn("before", F.sum("c").over(Window.partitionBy("n_tokens").orderBy("bucket")) - F.col("c")).drop("c")
-    place = F.row_number().over(Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "piece")) - 1
+    place = F.row_number().over(Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "piece", "row")) - 1
     ranked = held.withColumn("place", place).join(before, ["n_tokens", "bucket"]).withColumn("rank", (F.col("place") + F.col("before")).cast("bigint"))
     out = "container_id bigint, doc_id bigint, piece int, token_start bigint, n_tokens int, space_left int"
     packed = ranked.select("doc_id", "piece", "token_start", "n_tokens", "rank").mapInArrow(_place(table), out)
