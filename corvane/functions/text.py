@@ -61,15 +61,16 @@ def term_coverage(terms: Column, hay: Column) -> Column:
 def route_pattern(url: Column) -> Column:
     """A route's shape: cut at ? or #, ${...} and {...} become {}, an open brace cuts the
     rest, no trailing slash but for the root."""
-    bare = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"\$?\{[^{}]*\}", "{}")
-    cut = F.regexp_replace(bare, r"\$?\{[^}]*$", "")
-    trimmed = F.regexp_replace(cut, r"/+$", "")
-    return F.when(trimmed == "", F.when(cut == "", "").otherwise("/")).otherwise(trimmed)
+    bare = F.regexp_replace(F.regexp_replace(url, r"(?s)[?#].*$", ""), r"\$?\{[^}]*\}", "{}")
+    cut = F.regexp_replace(bare, r"(?s)\$?\{[^}]*$", "")
+    return F.when(F.length(cut) > 1, F.regexp_replace(cut, r"/+$", "")).otherwise(cut)
 
 
 def join_route(prefix: Column, route: Column) -> Column:
-    """Prefix and route with one slash between and none doubled."""
-    return F.regexp_replace(F.concat(F.lit("/"), F.coalesce(prefix, F.lit("")), F.lit("/"), F.coalesce(route, F.lit(""))), r"/+", "/")
+    """Prefix and route with one slash between and none at the end; the root is a slash."""
+    joined = F.concat(F.regexp_replace(F.coalesce(prefix, F.lit("")), r"/+$", ""), F.lit("/"), F.regexp_replace(F.coalesce(route, F.lit("")), r"^/+", ""))
+    bare = F.regexp_replace(joined, r"/+$", "")
+    return F.when(bare == "", "/").otherwise(bare)
 
 
 def unit_module_key(path: Column) -> Column:

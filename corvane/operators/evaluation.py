@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .scale import cut, global_places
 
@@ -95,6 +97,16 @@ def bootstrap_lower(diffs: DataFrame, draws: int = 5_000) -> DataFrame:
     return j.groupBy("arm", "n").agg(F.percentile(F.col("total") / F.col("n"), F.lit(0.05)).alias("lower"))
 
 
+@F.pandas_udf(DoubleType())
+def binomial_p(k: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided exact p of ``k`` discordant pairs one way of ``n``, at even odds (k the lesser)."""
+    def tail(k: int, n: int) -> float:
+        at = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
+        return min(1.0, 2 * math.fsum(map(math.exp, at)))
+
+    return pd.Series([tail(int(a), int(b)) for a, b in zip(k, n)], dtype=float)
+
+
 def power(effect: float, n: int, runs: int = 200, draws: int = 200, seed: int = 11) -> float:
     """Share of simulated experiments of ``n`` pairs whose sign-flip test is below 0.05."""
     rng, hits = random.Random(seed), 0

@@ -17,9 +17,9 @@ RULES = {
 }
 
 
-def enclosing(points: DataFrame, spans: DataFrame, rule: str = "narrowest", block: int = BLOCK) -> DataFrame:
-    """(path, line, unit_id): for every distinct point the span of its file that encloses
-    it, ends included, chosen by ``rule``. Points outside all spans have no row.
+def containing(points: DataFrame, spans: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(path, line, unit_id, start_line, end_line): every distinct point with each span of
+    its file that encloses it, ends included.
 
     Spans are split into the blocks of lines that they touch, so that the join is an
     equi-join on (path, block) and a file with very many spans is no hot key.
@@ -27,7 +27,13 @@ def enclosing(points: DataFrame, spans: DataFrame, rule: str = "narrowest", bloc
     p = points.select("path", "line").distinct().withColumn("block", F.floor(F.col("line") / block))
     s = spans.select("path", "start_line", "end_line", "unit_id").where("start_line <= end_line")
     s = s.withColumn("block", F.explode(F.sequence(F.floor(F.col("start_line") / block), F.floor(F.col("end_line") / block))))
-    hit = p.join(s, ["path", "block"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    return p.join(s, ["path", "block"]).where(F.col("line").between(F.col("start_line"), F.col("end_line"))).drop("block")
+
+
+def enclosing(points: DataFrame, spans: DataFrame, rule: str = "narrowest", block: int = BLOCK) -> DataFrame:
+    """(path, line, unit_id): for every distinct point the span of its file that encloses
+    it, chosen by ``rule``. Points outside all spans have no row."""
+    hit = containing(points, spans, block)
     return hit.groupBy("path", "line").agg(F.min(RULES[rule]())["unit_id"].alias("unit_id"))
 
 

@@ -123,6 +123,34 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", r
     return left.join(right, [key, "hot_salt"], how).drop("hot_salt")
 
 
+def blocks(df: DataFrame, parts: Column, spread: Column) -> DataFrame:
+    """``df`` with blk, lo, hi: rows are in blocks by ``spread`` and stand once for every
+    pair of blocks that theirs is part of. Joined on (lo, hi) under ``meet`` any two rows of
+    a key meet once, and no task holds more than two of its blocks."""
+    mine = df.withColumn("blk", F.pmod(spread, parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return mine.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")).drop("other")
+
+
+def meet(a: str = "a", b: str = "b") -> Column:
+    same = (F.col(f"{a}.lo") == F.col(f"{b}.lo")) & (F.col(f"{a}.hi") == F.col(f"{b}.hi"))
+    return same & ((F.col(f"{a}.blk") != F.col(f"{b}.blk")) | (F.col(f"{a}.lo") == F.col(f"{a}.hi")))
+
+
+def self_pairs(rows: DataFrame, key: str, near: Column, block_rows: int) -> DataFrame:
+    """(x, y), once each: the ids of two rows (key, id, ...; written, since read twice) of one
+    key for which ``near``, a condition on a.* and b.* that orders the two, holds. Keys of
+    more than ``block_rows`` rows meet in blocks, in tasks of their own."""
+    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & near
+    found = lambda df, more: df.alias("a").join(df.alias("b"), on & more).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+    hot = hot_parts(rows, key, block_rows)
+    if not hot:
+        return found(rows, F.lit(True)).distinct()
+    parts = F.broadcast(rows.sparkSession.createDataFrame(hot, "hot_bucket int, hot_parts int"))  # see hot_parts
+    marked = rows.withColumn("hot_bucket", _bucket(key)).join(parts, "hot_bucket", "left").drop("hot_bucket")
+    split = blocks(marked.where("hot_parts is not null"), F.col("hot_parts"), F.xxhash64("id")).drop("hot_parts")
+    return found(marked.where("hot_parts is null").drop("hot_parts"), F.lit(True)).unionByName(found(split, meet())).distinct()
+
+
 def range_parts(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, windows
-from .scale import cut, spread
+from .scale import cut, salted_join, self_pairs, spread
 
 MIN_DF, MAX_DF, MIN_SHARED, FLOOR, WIDTH, LEAST_TOKENS = 2, 60, 3, 0.27, 5, 20
 
@@ -62,6 +62,35 @@ def all_pairs(records: DataFrame, key: str, text: str) -> DataFrame:
     return scored_pairs(sets, candidate_pairs(exploded(sets)))
 
 
+def exact_pairs(records: DataFrame, key: str, text: str, floor: float = FLOOR, min_shared: int = MIN_SHARED, block_rows: int = 4_000) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members) without a bound on how many records share a window.
+
+    Records of equal window sets are one class, named by the least id: members has id, rep,
+    class_size. pairs (rep_a, rep_b, shared, score), rep_a < rep_b, are all pairs of classes
+    with ``min_shared`` windows in common and a Jaccard similarity of ``floor`` or more: such
+    sets share a window among the first of each, windows of few classes first. Windows of
+    very many classes meet in blocks.
+    """
+    sets = window_sets(records, key, text)
+    ordered = F.sort_array("ws")
+    signed = cut(sets.select("id", F.struct(F.size("ws").alias("n"), F.xxhash64(ordered).alias("h"), F.hash(ordered).alias("g")).alias("sig")), "signed")
+    named = cut(signed.groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("class_size")).withColumn("sig_key", F.to_json("sig")), "classes")
+    members = salted_join(signed.select("id", F.to_json("sig").alias("sig_key")), named.select("sig_key", "rep", "class_size"), "sig_key", spread=F.xxhash64("id")).select("id", "rep", "class_size")
+    mine = cut(sets.join(named.select(F.col("rep").alias("id")), "id"), "class-sets")
+    posts = mine.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    df = cut(posts.groupBy("w").agg(F.count("*").alias("df")), "frequencies")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "w")) - 1  # one record's windows
+    t = float(floor)
+    first = salted_join(posts, df, "w", spread=F.xxhash64("id")).withColumn("pos", place).where(F.col("pos") < F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1)
+    prefixes = cut(first.where("df > 1").select("w", "id", "n", "pos"), "prefixes")
+    na, nb = F.col("a.n"), F.col("b.n")
+    least = F.lit(t / (1 + t)) * (na + nb) - 1e-9
+    near = ((na < nb) | ((na == nb) & (F.col("a.id") < F.col("b.id")))) & (na >= F.lit(t) * nb - 1e-9) & (na - F.col("a.pos") >= least) & (nb - F.col("b.pos") >= least)
+    found = self_pairs(prefixes, "w", near, block_rows).select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"))
+    scored = scored_pairs(mine, found).where((F.col("score") >= t) & (F.col("shared") >= min_shared))
+    return scored.withColumnsRenamed({"left_id": "rep_a", "right_id": "rep_b"}), members
+
+
 def needle_scores(needles: DataFrame, posts: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
     """(needle_id, id, shared, score) of every needle against every record, no frequency
     bound. ``needles`` and ``posts`` are postings; only windows of a needle meet."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import edge_module_key, is_test_path
-from ..operators import graph, intervals
+from ..operators import build, graph, intervals
 from ..operators.history import current_units
 from ..session import load
 
@@ -54,10 +54,8 @@ def src21(spark, d):
 
 def src23(spark, d):
     """The exact lines of every live unit, as a hash and a length."""
-    lines = F.split("text", "\r\n|\r|\n")
-    heads = load(spark, d, "source_files").where("version = 'head'").select("path", lines.alias("all_lines"))
-    piece = F.array_join(F.slice("all_lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    return live(spark, d).join(heads, "path").select("unit_id", F.sha2(piece, 256).alias("code_hash"), F.octet_length(piece).alias("n_bytes"))
+    code = intervals.unit_code(live(spark, d), load(spark, d, "source_files"))
+    return code.select("unit_id", F.sha2("code", 256).alias("code_hash"), F.octet_length("code").alias("n_bytes"))
 
 
 def src25(spark, d):
@@ -119,18 +117,37 @@ def jon6(spark, d):
     return m.join(classes, ["module", "class"], "left_semi").groupBy("module", "class", "name").agg(F.min("unit_id").alias("unit_id"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
+#: Import lines at the left margin: import a.b as c; from ..a import b as c. Fixed values.
+IMPORT_LINE, FROM_LINE = r"^import\s+([\w.]+)(?:\s+as\s+(\w+))?\s*$", r"^from\s+([\w.]+)\s+import\s+(\w+)(?:\s+as\s+(\w+))?\s*$"
+
+
+def _imports(spark, d):
+    """Top-level imports of head files by their lines, one name each; see build.resolve_calls."""
+    lines = load(spark, d, "source_files").where("version = 'head'").select("path", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line", "said"))
+    part = lambda pattern, k: F.regexp_extract("said", pattern, k)
+    whole = lines.where(F.col("said").rlike(IMPORT_LINE)).select("path", "line", F.when(part(IMPORT_LINE, 2) != "", part(IMPORT_LINE, 2)).otherwise(F.split_part(part(IMPORT_LINE, 1), F.lit("."), F.lit(1))).alias("bound"), part(IMPORT_LINE, 1).alias("module"), (part(IMPORT_LINE, 2) != "").alias("named"))
+    whole = whole.groupBy("path", "bound").agg(F.max_by(F.when(F.col("named"), F.col("module")).otherwise(F.col("bound")), "line").alias("whole"))
+    dots = F.length(F.regexp_extract(part(FROM_LINE, 1), r"^(\.*)", 1))
+    parents = F.split(edge_module_key(F.col("path")), r"\.")
+    kept = F.slice(parents, 1, F.greatest(F.size(parents) - dots, F.lit(0)))
+    rest = F.regexp_replace(part(FROM_LINE, 1), r"^\.+", "")
+    origin = F.when(dots == 0, part(FROM_LINE, 1)).otherwise(F.concat_ws(".", kept, F.when(rest != "", rest)))
+    name = F.struct(origin.alias("module"), part(FROM_LINE, 2).alias("name"))
+    some = lines.where(F.col("said").rlike(FROM_LINE)).select("path", "line", F.when(part(FROM_LINE, 3) != "", part(FROM_LINE, 3)).otherwise(part(FROM_LINE, 2)).alias("bound"), name.alias("symbol"))
+    some = some.groupBy("path", "bound").agg(F.max_by("symbol", "line").alias("symbol"))
+    return whole.join(some, ["path", "bound"], "full_outer")
+
+
 def jon4(spark, d):
-    """Call expressions resolved in order of priority: a method of the caller's class, a
-    top-level unit of its module, a name that only one callable has."""
+    """Recorded call expressions resolved: a method of the caller's class, a top-level unit
+    of its module, an imported name, a member of an imported module or name, a module path.
+    A name that only one unit has isn't enough."""
     units = live(spark, d)
-    cls = F.regexp_extract("qualname", r"^(.*)\.[^.]+$", 1)
-    callers = units.select(F.col("unit_id").alias("source_unit_id"), edge_module_key(F.col("path")).alias("module"), cls.alias("class"))
-    calls = refs(spark, d).where("relation = 'CALLS' and target_kind = 'symbol' and target_ref <> ''").select("rel_id", "source_unit_id", "target_ref", F.regexp_extract("target_ref", r"([^.]+)$", 1).alias("name"))
-    by_name = units.where("kind <> 'class'").groupBy("name").agg(F.min("unit_id").alias("u3"), F.count("*").alias("n")).where("n = 1").drop("n")
-    j = calls.join(callers, "source_unit_id", "left").join(jon6(spark, d).withColumnRenamed("unit_id", "u1"), ["module", "class", "name"], "left")
-    j = j.join(jon5(spark, d).withColumnRenamed("unit_id", "u2"), ["module", "name"], "left").join(by_name, "name", "left")
-    how = F.when(F.col("u1").isNotNull(), "same-class").when(F.col("u2").isNotNull(), "same-module").when(F.col("u3").isNotNull(), "unique-name").otherwise("unresolved")
-    return j.select("rel_id", F.coalesce("u1", "u2", "u3").alias("unit_id"), how.alias("resolution"))
+    calls = refs(spark, d).where("relation = 'CALLS' and target_kind = 'symbol' and target_ref <> ''").select("rel_id", "source_unit_id", F.col("target_ref").alias("expr"))
+    at = calls.join(units.select(F.col("unit_id").alias("source_unit_id"), "path"), "source_unit_id")
+    plain = F.col("expr").rlike(r"^[A-Za-z_]\w*(\.[A-Za-z_]\w*)*$")
+    got = build.resolve_calls(at.withColumn("plain", plain), units, _imports(spark, d))
+    return got.select("rel_id", "target_kind", "target_ref", "resolution")
 
 
 def jon10(spark, d):
@@ -284,11 +301,23 @@ SELECT unit_id, sha256(piece) AS code_hash, octet_length(encode(piece)) AS n_byt
     "SRC25": f"""{BOTH} SELECT CASE relation WHEN 'CALLS' THEN 'callee' WHEN 'TESTED_BY' THEN 'test' ELSE 'caller' END AS role, target_ref AS ref, count(*) AS n
 FROM refs WHERE target_ref IS NOT NULL AND target_ref <> '' GROUP BY ALL""",
     "JON4": rf"""{BOTH}, {TOPLEVEL}, {METHODS},
-  callers AS (SELECT unit_id AS source_unit_id, {MODULE} AS module, regexp_extract(qualname, '^(.*)\.[^.]+$', 1) AS class FROM live),
-  calls AS (SELECT rel_id, source_unit_id, regexp_extract(target_ref, '([^.]+)$', 1) AS name FROM refs WHERE relation = 'CALLS' AND target_kind = 'symbol' AND target_ref <> ''),
-  by_name AS (SELECT name, min(unit_id) AS u3 FROM live WHERE kind <> 'class' GROUP BY name HAVING count(*) = 1)
-SELECT rel_id, coalesce(a.unit_id, b.unit_id, u3) AS unit_id, CASE WHEN a.unit_id IS NOT NULL THEN 'same-class' WHEN b.unit_id IS NOT NULL THEN 'same-module' WHEN u3 IS NOT NULL THEN 'unique-name' ELSE 'unresolved' END AS resolution
-FROM calls LEFT JOIN callers USING (source_unit_id) LEFT JOIN jon6 a USING (module, class, name) LEFT JOIN jon5 b USING (module, name) LEFT JOIN by_name USING (name)""",
+  ls AS (SELECT path, {MODULE} AS home, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS said, generate_subscripts(regexp_split_to_array(text, '\r\n|\r|\n'), 1) AS line FROM source_files WHERE version = 'head'),
+  w0 AS (SELECT path, line, regexp_extract(said, '{IMPORT_LINE}', 1) AS m, regexp_extract(said, '{IMPORT_LINE}', 2) AS a FROM ls WHERE regexp_matches(said, '{IMPORT_LINE}')),
+  whole AS (SELECT path, CASE WHEN a <> '' THEN a ELSE split_part(m, '.', 1) END AS bound, arg_max(CASE WHEN a <> '' THEN m ELSE split_part(m, '.', 1) END, line) AS module FROM w0 GROUP BY ALL),
+  s0 AS (SELECT path, line, string_split(home, '.') AS hp, regexp_extract(said, '{FROM_LINE}', 1) AS m, regexp_extract(said, '{FROM_LINE}', 2) AS n, regexp_extract(said, '{FROM_LINE}', 3) AS a FROM ls WHERE regexp_matches(said, '{FROM_LINE}')),
+  s1 AS (SELECT path, line, n, CASE WHEN a <> '' THEN a ELSE n END AS bound, length(regexp_extract(m, '^(\.*)', 1)) AS dots, hp, m FROM s0),
+  sym AS (SELECT path, bound, arg_max(CASE WHEN dots = 0 THEN m ELSE array_to_string(list_filter(list_concat(hp[1:greatest(len(hp) - dots, 0)], [ltrim(m, '.')]), lambda x: x <> ''), '.') END, line) AS module, arg_max(n, line) AS name FROM s1 GROUP BY path, bound),
+  c0 AS (SELECT rel_id, target_ref AS expr, live.path, {MODULE.replace("path", "live.path")} AS module, CASE WHEN kind <> 'class' AND contains(qualname, '.') THEN regexp_extract(qualname, '^(.*)\.[^.]+$', 1) END AS class,
+      CASE WHEN regexp_matches(target_ref, '^[A-Za-z_]\w*(\.[A-Za-z_]\w*)*$') THEN string_split(target_ref, '.') ELSE [] END AS p
+    FROM refs JOIN live ON unit_id = source_unit_id WHERE relation = 'CALLS' AND target_kind = 'symbol' AND target_ref <> ''),
+  c1 AS (SELECT c0.*, whole.module AS wm, sym.module AS sm, sym.name AS sn FROM c0 LEFT JOIN whole ON whole.path = c0.path AND whole.bound = p[1] LEFT JOIN sym ON sym.path = c0.path AND sym.bound = p[1]),
+  c2 AS (SELECT *, CASE WHEN len(p) = 1 THEN sm WHEN len(p) > 1 THEN array_to_string(list_concat(CASE WHEN wm IS NOT NULL THEN [wm] WHEN sn IS NOT NULL THEN [sm, sn] ELSE [p[1]] END, p[2:len(p) - 1]), '.') END AS tm,
+      CASE WHEN len(p) = 1 THEN sn ELSE p[len(p)] END AS tn FROM c1),
+  c3 AS (SELECT c2.*, own.unit_id AS u1, CASE WHEN len(p) = 1 THEN loc.unit_id END AS u2, far.unit_id AS u3 FROM c2
+    LEFT JOIN jon6 own ON len(p) = 2 AND p[1] = 'self' AND own.module = c2.module AND own.class = c2.class AND own.name = p[2]
+    LEFT JOIN jon5 loc ON len(p) = 1 AND loc.module = c2.module AND loc.name = p[1] LEFT JOIN jon5 far ON far.module = tm AND far.name = tn)
+SELECT rel_id, CASE WHEN coalesce(u1, u2, u3) IS NULL THEN 'symbol' ELSE 'unit' END AS target_kind, coalesce(u1, u2, u3, expr) AS target_ref,
+  CASE WHEN u1 IS NOT NULL THEN 'same-class-self' WHEN u2 IS NOT NULL THEN 'same-module' WHEN u3 IS NULL THEN 'unresolved' WHEN len(p) = 1 THEN 'from-import' WHEN wm IS NOT NULL THEN 'module-import' WHEN sn IS NOT NULL THEN 'from-import-module' ELSE 'module-path' END AS resolution FROM c3""",
     "JON5": f"{BOTH}, {TOPLEVEL} SELECT * FROM jon5",
     "JON6": f"{BOTH}, {METHODS} SELECT * FROM jon6",
     "JON7": _enclosing("", "l.end_line - l.start_line, l.start_line, l.unit_id"),

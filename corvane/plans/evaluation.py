@@ -110,7 +110,8 @@ def mcnemar(spark, d):
     """Discordant pairs of the two arms at 0.5 and the exact two-sided binomial tail."""
     p = _scored(spark, d).groupBy("q", "item").pivot("provenance", ["metadata", "shingle-overlap"]).agg(F.max("score")).dropna()
     c = p.agg(F.count_if((F.col("metadata") >= 0.5) & (F.col("shingle-overlap") < 0.5)).alias("b"), F.count_if((F.col("metadata") < 0.5) & (F.col("shingle-overlap") >= 0.5)).alias("c"))
-    return c.select("b", "c", F.least("b", "c").alias("k"), (F.col("b") + F.col("c")).alias("n"))
+    k, n = F.least("b", "c"), F.col("b") + F.col("c")
+    return c.select("b", "c", k.alias("k"), n.alias("n"), F.round(E.binomial_p(k, n), 9).alias("p"))
 
 
 def rrf(spark, d):
@@ -150,7 +151,8 @@ def agg27(spark, d):
     why = F.when(F.col("score").isNull(), "null score").when(F.isnan("score"), "NaN score").when(~F.col("score").between(0, 1), "score out of range").when(F.col("source_unit_id") == F.col("target_unit_id"), "self-reference")
     x = s.withColumn("reason", why).where("reason is not null").groupBy("reason", "source_unit_id").agg(F.count("*").alias("c"))
     place = F.row_number().over(Window.partitionBy("reason").orderBy("source_unit_id"))
-    return x.withColumn("place", place).groupBy("reason").agg(F.sum("c").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("place") <= 5, F.col("source_unit_id")))), ",").alias("examples"))
+    few = x.withColumn("place", place).where("place <= 5").groupBy("reason").agg(F.array_join(F.array_sort(F.collect_list("source_unit_id")), ",").alias("examples"))
+    return x.groupBy("reason").agg(F.sum("c").alias("n")).join(few, "reason", "left").select("reason", "n", F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def agg28(spark, d):
@@ -255,7 +257,7 @@ SELECT reason, CAST(sum(c) AS BIGINT) AS n, string_agg(source_unit_id, ',' ORDER
     "AGG28": f"""WITH {LIVE}, u AS (SELECT path, {BLANK.format('coalesce(doc_text, purpose)')} <> '' AS doc FROM live WHERE kind <> 'class')
 SELECT path, count(*) AS n, count(*) FILTER (doc) AS documented, count(*) FILTER (doc) / count(*) AS coverage FROM u GROUP BY path""",
     "AUX13": PAIRED + """ SELECT kind AS arm, count(*) AS n, count(*) FILTER (m - s > 0) AS up, count(*) FILTER (m - s < 0) AS down, count(*) FILTER (m - s = 0) AS ties FROM arms JOIN live ON live.unit_id = q GROUP BY kind""",
-    "MCNEMAR": PAIRED + """, c AS (SELECT count(*) FILTER (m >= 0.5 AND s < 0.5) AS b, count(*) FILTER (m < 0.5 AND s >= 0.5) AS c FROM arms) SELECT b, c, least(b, c) AS k, b + c AS n FROM c""",
+    "MCNEMAR": PAIRED + """, c AS (SELECT count(*) FILTER (m >= 0.5 AND s < 0.5) AS b, count(*) FILTER (m < 0.5 AND s >= 0.5) AS c FROM arms) SELECT b, c, least(b, c) AS k, b + c AS n, round(least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) FROM range(0, 1000000) r(i) WHERE i <= least(b, c))), 9) AS p FROM c""",
     "RRF": D + """, a AS (SELECT *, row_number() OVER (PARTITION BY provenance, q ORDER BY score DESC, item) AS p FROM sc), f AS (SELECT q, item, sum(1.0::DOUBLE / (60 + p)) AS fused FROM a GROUP BY q, item),
   t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(fused, 12) DESC, item) AS place FROM f) SELECT q, item, place, round(fused, 9) AS fused FROM t WHERE place <= 8""",
     "TOP10": f"""WITH q AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(list_transform(regexp_extract_all(question, '{TERM}'), lambda t: lower(t))) AS w FROM eval_items) WHERE w NOT IN ({", ".join(f"'{w}'" for w in STOPWORDS)})),

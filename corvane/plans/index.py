@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dml
+from ..operators import dml, intervals
 from ..session import load
+from ..sources.tree import SKIPPED
 from .edges import LIVE, REFS, live, refs
 
 NAMES = "array<string>"
@@ -43,8 +44,9 @@ def src14(spark, d):
     return head.join(base, "path", "left").where(~F.col("old").eqNullSafe(F.col("new"))).select("path", F.col("old").isNull().alias("added"))
 
 
-def src15(spark, d):
-    """Baseline functions by bare name per changed file; the last definition wins."""
+def src15_lines(spark, d):
+    """Lines of base files that read like definitions, by name, the last of each; files that
+    can't be parsed included."""
     lines = load(spark, d, "source_files").where("version = 'base'").select("path", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("pos", "line"))
     found = lines.select("path", "pos", F.regexp_extract("line", r"^\s*(?:async\s+)?def\s+(\w+)", 1).alias("name")).where("name <> ''")
     return found.groupBy("path", "name").agg((F.max("pos") + 1).alias("line"))
@@ -85,7 +87,7 @@ def flt4(spark, d):
 def flt4_lines(spark, d):
     """path:line queries, made of the evidence of every reference."""
     q = refs(spark, d).where("path is not null").select("path", F.explode("lines").alias("line")).distinct()
-    hit = q.join(live(spark, d).select("path", "start_line", "end_line", "unit_id"), "path").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    hit = intervals.containing(q, live(spark, d))
     return hit.select(F.concat_ws(":", "path", "line").alias("query"), "unit_id")
 
 
@@ -279,12 +281,9 @@ def snk16(spark, d):
     return s.select("source_unit_id", "target_unit_id", key.alias("digest")).distinct().withColumn("sheet_id", F.left("digest", F.lit(10))).drop("digest")
 
 
-#: Directories that a scan of Python files skips; scripts leave out those of SRC2. Fixed values.
-SKIPPED = [".git", ".venv", "venv", "__pycache__"]
-
 QUERIES = {
-    "SRC1": src1, "SRC2": src2, "SRC3": src3, "SRC14": src14, "SRC15": src15, "SRC16": src16, "SRC22": src22, "FLT1": flt1, "FLT3": flt3, "FLT4": flt4, "FLT4_lines": flt4_lines, "FLT5": flt5, "FLT6": flt6,
-    "FLT8": flt8, "FLT10": flt10, "FLT11": flt11, "FLT12": flt12, "FLT13": flt13, "FN8": fn8, "FN9": fn9, "FN10": fn10, "FN12": fn12, "FN13": fn13, "FN16": fn16, "FN17": fn17, "FN18": fn18, "FN19": fn19, "FN21": fn21,
+    "SRC1": src1, "SRC2": src2, "SRC3": src3, "SRC14": src14, "SRC15_lines": src15_lines, "SRC16": src16, "SRC22": src22, "FLT1": flt1, "FLT3": flt3, "FLT4": flt4, "FLT4_lines": flt4_lines, "FLT5": flt5, "FLT6": flt6,
+    "FLT8": flt8, "FLT10": flt10, "FLT11": flt11, "FLT12": flt12, "FLT13": flt13, "FN8": fn8, "FN9": fn9, "FN10": fn10, "FN12_coverage": fn12, "FN13": fn13, "FN16": fn16, "FN17": fn17, "FN18": fn18, "FN19": fn19, "FN21": fn21,
     "FN24": fn24, "FN25": fn25, "FN26": fn26, "SET3": set3, "SET5": set5, "SET6": set6, "SNK5": snk5, "SNK6": snk6, "SNK6_scores": snk6_scores, "SNK7": snk7, "SNK8": snk8, "SNK10": snk10, "SNK11": snk11, "SNK14": snk14,
     "SNK15": snk15, "SNK16": snk16,
 }
@@ -318,7 +317,7 @@ SQL = {
     "SRC3": "SELECT DISTINCT path, (contains(path, 'tests/') OR contains(path, 'core')) AS excluded FROM units",
     "SRC14": """WITH b AS (SELECT path, text FROM source_files WHERE version = 'base') SELECT h.path, b.text IS NULL AS added FROM source_files h LEFT JOIN b USING (path)
 WHERE h.version = 'head' AND b.text IS DISTINCT FROM h.text""",
-    "SRC15": r"""WITH l AS (SELECT path, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\r\n|\r|\n'), 1) AS n FROM source_files WHERE version = 'base'),
+    "SRC15_lines": r"""WITH l AS (SELECT path, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\r\n|\r|\n'), 1) AS n FROM source_files WHERE version = 'base'),
   f AS (SELECT path, n, regexp_extract(line, '^\s*(?:async\s+)?def\s+(\w+)', 1) AS name FROM l) SELECT path, name, CAST(max(n) AS INTEGER) AS line FROM f WHERE name <> '' GROUP BY path, name""",
     "SRC16": "SELECT path, coalesce(git_file_commit, '') AS commit FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY run_id DESC, ingested_at DESC, git_file_commit DESC NULLS LAST) AS r FROM units) WHERE r = 1",
     "SRC22": f"WITH {LIVE} SELECT DISTINCT body_hash, body_hash IN (SELECT body_hash FROM shingles_v2 WHERE payload IS NOT NULL) AS hit FROM live",
@@ -339,7 +338,7 @@ FROM (SELECT query, regexp_extract(query, '\.([A-Za-z]+)(?::\d+)?$', 1) AS s FRO
     "FN8": f"SELECT item_id, array_to_string({terms('question')}, ' ') AS terms FROM eval_items",
     "FN9": f"SELECT doc_id, array_to_string({DISTINCT.format(TERMS.format('text'))}, ' ') AS terms FROM documents",
     "FN10": f"WITH q AS (SELECT item_id, {terms('question')} AS t, lower(answer) AS a FROM eval_items) SELECT item_id, {coverage('t', 'a')} AS coverage FROM q",
-    "FN12": f"""WITH {LIVE}, q AS (SELECT unit_id, {terms("coalesce(doc_text, purpose, '')")} AS t, lower(body_terms) AS b, lower(concat_ws(' ', qualname, signature)) AS n FROM live),
+    "FN12_coverage": f"""WITH {LIVE}, q AS (SELECT unit_id, {terms("coalesce(doc_text, purpose, '')")} AS t, lower(body_terms) AS b, lower(concat_ws(' ', qualname, signature)) AS n FROM live),
   c AS (SELECT unit_id, {coverage('t', 'b')} AS body, {coverage('t', 'n')} AS name FROM q) SELECT unit_id, body, name, 0.5::DOUBLE * body + 0.5::DOUBLE * name AS score FROM c""",
     "FN13": f"""WITH {LIVE}, t AS (SELECT unit_id, list_transform(CAST(json_extract_string(parameters_json, '$[*].type') AS VARCHAR[]), lambda x: lower(x)) AS ts, lower(coalesce(returns, '')) AS r FROM live)
 SELECT unit_id, least(CASE WHEN len(list_filter(ts, lambda x: contains(x, 'str'))) > 0 THEN 6 ELSE 0 END + CASE WHEN len(list_filter(ts, lambda x: contains(x, 'int'))) > 0 THEN 6 ELSE 0 END, 12)

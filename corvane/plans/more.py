@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
 from ..operators import fuzzyjoin, graph, intervals, setsim
 from ..session import load
+from ..sources.parse import comment_lines
 from .edges import EDGES, LIVE, REFS, live, refs
 from .index import NAMES
 from .parsing import normalised_units
 from .similarity import jon3, posts
 
 
-def top8(spark, d):
-    """Findings of a change check: changed files by the best overlap they brought."""
+def top8_files(spark, d):
+    """Changed files by the best overlap of whole files that they brought."""
     f = jon3(spark, d)
     return f.groupBy("path").agg(F.max("score").alias("best"), F.count("*").alias("n")).orderBy(F.desc("best"), "path")
 
@@ -32,12 +34,6 @@ def top9(spark, d):
     return j.withColumn("place", place).where("place <= 3").select("root", "place", "member", "match", "score")
 
 
-def jon13(spark, d):
-    """Handlers with the client lines that call them."""
-    r = refs(spark, d).where("relation = 'FETCHED_BY' and target_ref <> ''").select("source_unit_id", "target_ref").distinct()
-    return r.groupBy("source_unit_id").agg(F.array_join(F.array_sort(F.collect_set("target_ref")), ",").alias("callers"))
-
-
 def jon15(spark, d):
     """Labels looked up by an order-independent pair key."""
     s = load(spark, d, "soft_relationships").where("source_unit_id <> target_unit_id")
@@ -53,13 +49,14 @@ def jon16(spark, d):
 
 
 def jon17(spark, d):
-    """Recorded calls that an independent, name-based look at the caller's text confirms."""
-    code = F.split("text", "\r\n|\r|\n")
-    heads = load(spark, d, "source_files").where("version = 'head'").select("path", code.alias("ls"))
-    c = refs(spark, d).where("relation = 'CALLS' and target_kind = 'symbol' and target_ref <> ''").select("rel_id", "path", F.element_at("lines", 1).alias("line"), F.regexp_extract("target_ref", r"([^.]+)$", 1).alias("name"))
-    j = c.join(heads, "path", "left")
-    text = F.try_element_at("ls", F.col("line"))
-    return j.select("rel_id", F.coalesce(F.contains(text, F.concat("name", F.lit("("))), F.lit(False)).alias("confirmed"))
+    """Recorded calls that an independent, name-based look at the caller's text confirms: on
+    any of their lines the name stands before a bracket. Lines meet lines by equality."""
+    heads = load(spark, d, "source_files").where("version = 'head'").select("path", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("pos", "said"))
+    lines = heads.select("path", (F.col("pos") + 1).alias("line"), "said")
+    c = refs(spark, d).where("relation = 'CALLS' and target_kind = 'symbol' and target_ref <> ''").select("rel_id", "path", "lines", F.regexp_extract("target_ref", r"([^.]+)$", 1).alias("name"))
+    hit = F.contains("said", F.concat("name", F.lit("(")))
+    j = c.select("rel_id", "path", "name", F.explode_outer("lines").alias("line")).join(lines, ["path", "line"], "left")
+    return j.groupBy("rel_id").agg(F.coalesce(F.max(hit), F.lit(False)).alias("confirmed"))
 
 
 def jon18(spark, d):
@@ -97,9 +94,14 @@ def jon19(spark, d):
 
 
 def src7(spark, d):
-    """Own-line comments of head files."""
-    lines = load(spark, d, "source_files").where("version = 'head'").select("path", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("pos", "line"))
-    return lines.where(F.col("line").rlike(r"^[ \t]*#")).select("path", (F.col("pos") + 1).alias("line"))
+    """Own-line comments of head files, as the tokenizer sees them: a line inside a string
+    is none."""
+    def run(batches):
+        for pdf in batches:
+            rows = [(p, n) for p, t in zip(pdf["path"], pdf["text"]) if t for n, line in comment_lines(t) if line.lstrip()[:1] == "#"]
+            yield pd.DataFrame(rows, columns=["path", "line"])
+
+    return load(spark, d, "source_files").where("version = 'head'").select("path", "text").mapInPandas(run, "path string, line int")
 
 
 def aux1(spark, d):
@@ -157,7 +159,7 @@ def aux19(spark, d):
 
 
 QUERIES = {
-    "TOP8": top8, "TOP9": top9, "JON13": jon13, "JON15": jon15, "JON16": jon16, "JON17": jon17, "JON18": jon18, "JON18_pairs": jon18_pairs, "JON18_bodies": jon18_bodies, "JON19": jon19, "SRC7": src7, "AUX1": aux1, "AUX2": aux2, "AUX3": aux3, "AUX10": aux10, "AUX14": aux14, "AUX16": aux16, "AUX17": aux17, "AUX19": aux19,
+    "TOP8_files": top8_files, "TOP9": top9, "JON15": jon15, "JON16": jon16, "JON17": jon17, "JON18": jon18, "JON18_pairs": jon18_pairs, "JON18_bodies": jon18_bodies, "JON19": jon19, "SRC7": src7, "AUX1": aux1, "AUX2": aux2, "AUX3": aux3, "AUX10": aux10, "AUX14": aux14, "AUX16": aux16, "AUX17": aux17, "AUX19": aux19,
 }
 
 W = f"WITH {LIVE}, {REFS}"
@@ -169,16 +171,16 @@ JON3 = f"""WITH {posts("h", "(SELECT * FROM source_files WHERE version = 'head')
   then_s AS (SELECT path, match FROM t1 JOIN nb x ON x.id = path JOIN nh y ON y.id = match WHERE shared / (x.n + y.n - shared) >= 0.01)"""
 
 SQL = {
-    "TOP8": JON3 + " SELECT path, max(score) AS best, count(*) AS n FROM now_s WHERE score >= 0.01 AND (path, match) NOT IN (SELECT (path, match) FROM then_s) GROUP BY path",
+    "TOP8_files": JON3 + " SELECT path, max(score) AS best, count(*) AS n FROM now_s WHERE score >= 0.01 AND (path, match) NOT IN (SELECT (path, match) FROM then_s) GROUP BY path",
     "TOP9": EDGES + """, b AS (SELECT source_unit_id AS member, target_unit_id AS match, max(score) AS score FROM soft_relationships WHERE score BETWEEN 0 AND 1 AND NOT isnan(score) AND source_unit_id <> target_unit_id GROUP BY ALL),
   j AS (SELECT s.node AS root, b.* FROM step s JOIN b ON b.member = s.other WHERE (s.node, b.match) NOT IN (SELECT (node, other) FROM step)),
   r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY score DESC, member, match) AS place FROM j) SELECT root, place, member, match, score FROM r WHERE place <= 3""",
-    "JON13": W + " SELECT source_unit_id, string_agg(DISTINCT target_ref, ',' ORDER BY target_ref) AS callers FROM refs WHERE relation = 'FETCHED_BY' AND target_ref <> '' GROUP BY source_unit_id",
     "JON15": """WITH k AS (SELECT concat_ws('|', least(source_unit_id, target_unit_id), greatest(source_unit_id, target_unit_id)) AS pair, lower(relation) AS r FROM soft_relationships WHERE source_unit_id <> target_unit_id),
   g AS (SELECT pair, count(*) FILTER (r = 'similar_to') AS scored, count(*) FILTER (r = 'matches') AS judged FROM k GROUP BY pair) SELECT * FROM g WHERE scored > 0 AND judged > 0""",
     "JON16": f"WITH {LIVE}, l AS (SELECT DISTINCT path, unnest(range(start_line, end_line + 1)) AS line FROM live) SELECT path, count(*) AS covered, CAST(max(line) AS INTEGER) AS last FROM l GROUP BY path",
     "JON17": W + r""", h AS (SELECT path, regexp_split_to_array(text, '\r\n|\r|\n') AS ls FROM source_files WHERE version = 'head')
-SELECT rel_id, coalesce(contains(ls[lines[1]], regexp_extract(target_ref, '([^.]+)$', 1) || '('), false) AS confirmed FROM refs LEFT JOIN h USING (path) WHERE relation = 'CALLS' AND target_kind = 'symbol' AND target_ref <> ''""",
+SELECT rel_id, bool_or(len(list_filter(coalesce(lines, []), lambda k: coalesce(contains(ls[k], regexp_extract(target_ref, '([^.]+)$', 1) || '('), false))) > 0) AS confirmed
+FROM refs LEFT JOIN h USING (path) WHERE relation = 'CALLS' AND target_kind = 'symbol' AND target_ref <> '' GROUP BY rel_id""",
     "JON18": f"""WITH {LIVE}, u AS (SELECT unit_id, array_to_string(list_sort(list_distinct(string_split(name, '_'))), ' ') AS words, array_to_string(CAST(json_extract_string(parameters_json, '$[*].name') AS VARCHAR[]), ',') AS parameters FROM live WHERE kind <> 'class'),
   g AS (SELECT words, parameters, min(unit_id) AS class_id, count(*) AS n FROM u GROUP BY ALL HAVING count(*) > 1) SELECT unit_id, class_id, n FROM u JOIN g USING (words, parameters)""",
     "JON19": W + r""", o AS (SELECT name, min(unit_id) AS unit_id FROM live WHERE kind <> 'class' GROUP BY name HAVING count(*) = 1), c AS (SELECT rel_id, regexp_extract(target_ref, '([^.]+)$', 1) AS name FROM refs WHERE relation = 'CALLS' AND target_kind = 'symbol' AND target_ref LIKE '%.%')

@@ -7,13 +7,17 @@ import textwrap
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import code as C
 from ..functions import text as T
 from ..functions.fuzzy import token_set_udf, weighted_udf
+from ..operators import routes as R
 from ..operators import search as S
-from ..operators import setsim
+from ..operators import setsim, unitsim
+from ..operators.intervals import unit_code
 from ..session import load
-from ..sources.parse import normalise, parse_files, scan_scripts
-from .edges import LIVE, REFS, live, refs
+from ..sources.parse import parse_files, router_prefixes
+from ..sources.scripts import scan_scripts
+from .edges import LIVE, MODULE, REFS, live, refs
 
 SEARCHES = ["save the tracked report", "read cfg of the repo", "merge sorted buckets by score", "drop late tokens after the run"]
 
@@ -32,7 +36,7 @@ def _heads(spark, d):
 def normalised(text):
     """Normalised code, None where it isn't valid."""
     try:
-        return normalise(text)
+        return C.strip_documentation(text)
     except (SyntaxError, ValueError, TypeError):
         return None
 
@@ -52,9 +56,23 @@ def src4_errors(spark, d):
     return parse_files(load(spark, d, "source_files").select("path", "text")).where("tag = 'error'").select("path", F.col("text").alias("reason"))
 
 
+def _with(spark, d, *lines):
+    """The head files with lines of their own at the end, which every file can be read with."""
+    h = _heads(spark, d).where("text is not null")
+    return h.select("path", F.concat_ws("\n", "text", *lines).alias("text"))
+
+
+def src9(spark, d):
+    """Router prefixes, here of a router that every head file defines at its end."""
+    return router_prefixes(_with(spark, d, F.lit("router = APIRouter(prefix='/area')"), F.lit("other = APIRouter()")))
+
+
 def src10(spark, d):
-    """Imports and router prefixes of the head files."""
-    return parse_files(_heads(spark, d)).where("tag in ('import', 'prefix')").groupBy("tag", "name", F.col("text").alias("target")).agg(F.count("*").alias("n"))
+    """Prefixes of mounted routers, recorded for the module that defines the router: every
+    head file mounts the router of a module of its own name."""
+    name = F.regexp_replace(F.regexp_extract("path", r"([^/]+)\.py$", 1), r"\W", "_")
+    mounted = F.concat(F.lit("from area."), name, F.lit(" import router as r\napp.include_router(r, prefix='/"), name, F.lit("')"))
+    return router_prefixes(_with(spark, d, mounted))
 
 
 def fn22(spark, d):
@@ -67,12 +85,28 @@ def src11(spark, d):
 
 
 def fn2(spark, d):
-    """Head files normalised: documentation and layout gone; windows of what is left."""
+    """Functions of the head files in canonical form, as digests."""
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for path, text in zip(pdf["path"], pdf["text"]):
+                try:
+                    rows += [(path, line, C.normal_code(node)) for line, of_def, node in C.declarations(text or "") if of_def]
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "line", "text"])
+
+    found = _heads(spark, d).mapInPandas(run, "path string, line int, text string")
+    return found.select("path", "line", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("digest"))
+
+
+def fn23(spark, d):
+    """Head files without documentation and layout, as digests."""
     def run(batches):
         for pdf in batches:
             yield pdf.assign(text=[normalised(t) for t in pdf["text"]])
 
-    return _heads(spark, d).mapInPandas(run, "path string, text string")
+    return _heads(spark, d).mapInPandas(run, "path string, text string").select("path", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("digest"))
 
 
 def normalised_units(code):
@@ -89,8 +123,18 @@ def normalised_units(code):
     return code.select("unit_id", "code").mapInPandas(run, "unit_id string, text string")
 
 
+def _unit_sets(spark, d):
+    return unitsim.unit_windows(live(spark, d), _heads(spark, d))
+
+
 def fn5(spark, d):
-    return setsim.set_sizes(setsim.postings(fn2(spark, d), "path", "text")).select(F.col("id").alias("path"), F.col("n").alias("n_windows"))
+    """Window sets of the comparable units: tokens and windows; none if too small."""
+    return _unit_sets(spark, d).select("unit_id", "n_tokens", F.size("ws").alias("n_windows"))
+
+
+def fn7(spark, d):
+    """Lines at which a function of the head files may be looked up."""
+    return unitsim.declared_windows(_heads(spark, d)).groupBy("path", "line").agg(F.max_by("name", "of_def").alias("name"), F.max("of_def").alias("of_def"))
 
 
 def fn11(spark, d):
@@ -100,8 +144,13 @@ def fn11(spark, d):
 
 
 def fn14(spark, d):
-    rows = [(q, v, w) for q in SEARCHES for v, w in S.expand(q)]
-    return spark.createDataFrame(rows, "query string, variant string, weight double")
+    """Variants of the searches and their weights."""
+    return S.expand(S.query_table(spark, SEARCHES)).where("weight is not null").select("query", F.col("asked").alias("variant"), "weight")
+
+
+def fn12(spark, d):
+    """Scores of the six fields of every unit for the first search."""
+    return S.scores(live(spark, d), S.query_table(spark, SEARCHES[:1])).select("unit_id", *S.WEIGHTS, "score")
 
 
 def top4(spark, d):
@@ -121,53 +170,118 @@ def top4_types(spark, d):
 
 
 def _endpoints(spark, d):
-    """Endpoints: units under a hook decorator, its argument as the route, the area of the
-    tree as the prefix."""
+    """Endpoints: units under a hook decorator, read as a GET route of the hook's argument."""
     hook = F.regexp_extract("decorators_json", r"hook\('([^']+)'\)", 1)
-    area = F.split_part("path", F.lit("/"), F.lit(3))
-    return live(spark, d).where(hook != "").select("unit_id", F.lit("GET").alias("method"), hook.alias("route"), F.concat(F.lit("/"), area, F.lit("/")).alias("prefix"))
+    as_get = F.replace("decorators_json", F.lit(".hook("), F.lit(".get("))
+    return live(spark, d).where(hook != "").select("unit_id", "path", F.lit("GET").alias("method"), hook.alias("route"), as_get.alias("decorators_json"))
+
+
+def _prefixes(spark, d):
+    """The area of the tree is the prefix of a module's registry."""
+    area = F.concat(F.lit("/"), F.split_part("path", F.lit("/"), F.lit(3)), F.lit("/"))
+    return live(spark, d).select(T.edge_module_key(F.col("path")).alias("module"), F.lit("registry").alias("router"), area.alias("prefix")).distinct()
 
 
 def jon11(spark, d):
-    return _endpoints(spark, d).select("unit_id", "method", T.join_route(F.col("prefix"), F.col("route")).alias("route"))
+    return R.full_routes(_endpoints(spark, d), _prefixes(spark, d)).select("unit_id", "method", F.col("full_route").alias("route"))
 
 
 def _calls(spark, d):
     """Client calls: script file and line, with a url made of the script's name."""
-    stem = F.regexp_extract("target_ref", r"([^/]+)\.js:\d+$", 1)
-    c = refs(spark, d).where("target_kind = 'client_call' and target_ref <> ''").select("target_ref", F.concat(F.lit("/"), stem, F.lit("/?q=1")).alias("url")).distinct()
-    return c.select("target_ref", F.lit("GET").alias("method"), T.route_pattern(F.col("url")).alias("pattern"))
+    ref = F.col("target_ref")
+    c = refs(spark, d).where("target_kind = 'client_call' and target_ref <> ''").select("target_ref").distinct()
+    stem = F.regexp_extract(ref, r"([^/]+)\.js:\d+$", 1)
+    return c.select("target_ref", F.regexp_extract(ref, r"^(.*):\d+$", 1).alias("path"), F.regexp_extract(ref, r":(\d+)$", 1).cast("int").alias("line"), F.concat(F.lit("/"), stem, F.lit("/?q=1")).alias("url"), F.lit("GET").alias("method"))
 
 
-def _routes(spark, d):
-    return _endpoints(spark, d).select("method", T.route_pattern(F.concat(F.lit("/"), F.col("route"))).alias("pattern"), "unit_id").distinct()
+def _bound(spark, d):
+    routes = R.full_routes(_endpoints(spark, d), _prefixes(spark, d).limit(0))
+    return R.bound_calls(_calls(spark, d), routes)
 
 
 def jon12(spark, d):
     """Client calls bound to the one owner of their method and pattern."""
-    sole = _routes(spark, d).groupBy("method", "pattern").agg(F.min("unit_id").alias("unit_id"), F.countDistinct("unit_id").alias("n")).where("n = 1").drop("n")
-    return _calls(spark, d).join(sole, ["method", "pattern"]).select("target_ref", "pattern", "unit_id")
+    return _bound(spark, d).where("unit_id is not null").select("target_ref", "pattern", "unit_id")
 
 
 def jon14(spark, d):
     """Coverage: calls bound and not."""
-    bound = jon12(spark, d).select("target_ref").withColumn("hit", F.lit(1))
-    return _calls(spark, d).join(bound, "target_ref", "left").agg(F.count("*").alias("calls"), F.count("hit").alias("bound"))
+    return _bound(spark, d).agg(F.count("*").alias("calls"), F.count("unit_id").alias("bound"))
 
 
 def flt9(spark, d):
     """Why a call isn't bound."""
-    left = _calls(spark, d).join(jon12(spark, d).select("target_ref"), "target_ref", "left_anti")
-    return left.select("target_ref", F.when(F.col("pattern") == "", "computed").when(F.contains("pattern", F.lit("{}")), "interpolated").otherwise("no route").alias("reason"))
+    return _bound(spark, d).where("unit_id is null").select("target_ref", R.unbound_reason(F.col("url")).alias("reason"))
 
 
 def flt7(spark, d):
     return jon11(spark, d).where(F.contains(F.lower("route"), F.lit("st")) | F.contains(F.lower("unit_id"), F.lit("st"))).select("unit_id", "route")
 
 
+def jon2_units(spark, d):
+    """Each comparable unit's best matches among the others, at the floor."""
+    sets = _unit_sets(spark, d)
+    needles = sets.where("size(ws) > 0").select(F.col("unit_id").alias("needle_id"), F.col("unit_id").alias("self_id"), "ws")
+    return unitsim.similar_units(needles, sets)
+
+
+def fn6(spark, d):
+    """Answers that are drafts: windows of their top-level functions, or why there are none."""
+    def run(batches):
+        for pdf in batches:
+            sizes, errors = [], []
+            for text in pdf["answer"]:
+                try:
+                    sizes.append(len(C.draft_windows(text or "")))
+                    errors.append(None)
+                except (SyntaxError, ValueError) as e:
+                    sizes.append(0)
+                    errors.append(type(e).__name__)
+            yield pd.DataFrame({"item_id": pdf["item_id"], "n_windows": sizes, "error": errors})
+
+    return load(spark, d, "eval_items").select("item_id", "answer").mapInPandas(run, "item_id bigint, n_windows int, error string")
+
+
+def _changed(spark, d):
+    """Head files whose text isn't that of base, or that base lacks."""
+    s = load(spark, d, "source_files")
+    base = s.where("version = 'base'").select("path", F.sha2("text", 256).alias("old"))
+    head = s.where("version = 'head'").select("path", "text")
+    return head.join(base, "path", "left").where(~F.col("old").eqNullSafe(F.sha2("text", 256))).select("path", "text")
+
+
+def jon3(spark, d):
+    """Overlaps that changed functions brought, per function, at the floor."""
+    s = load(spark, d, "source_files")
+    sets = _unit_sets(spark, d)
+    changed = unitsim.unit_windows(live(spark, d), _changed(spark, d))
+    return unitsim.check_changes(changed, unitsim.base_functions(s.where("version = 'base'")), sets)
+
+
+def top8(spark, d):
+    """Findings of a change check: changed functions by their best match."""
+    f = jon3(spark, d)
+    return f.groupBy("unit_id").agg(F.max("score").alias("best"), F.count("*").alias("n")).orderBy(F.desc("best"), "unit_id")
+
+
+def src15(spark, d):
+    """Baseline functions by bare name per changed file; the last definition wins."""
+    return unitsim.base_functions(load(spark, d, "source_files").where("version = 'base'")).select("path", "name", "line")
+
+
+def jon13(spark, d):
+    """Handlers with the client lines that call them: "file:line — METHOD url" of each edge."""
+    h = load(spark, d, "hard_relationships").where("relation = 'FETCHED_BY' and source_unit_id is not null")
+    e = F.from_json("evidence_json", "method string, url string")
+    ref = F.regexp_replace("target_ref", r"^\s+|\s+$", "")
+    line = F.concat_ws("", ref, F.lit(" — "), F.coalesce(e["method"], F.lit("")), F.lit(" "), F.coalesce(e["url"], F.lit("")))
+    rows = h.where(ref != "").select(F.col("source_unit_id").alias("unit_id"), line.alias("line"))
+    return rows.groupBy("unit_id").agg(F.array_join(F.array_sort(F.collect_set("line")), "\n").alias("callers"))
+
+
 QUERIES = {
-    "SRC4": src4, "SRC5": src5, "SRC4_errors": src4_errors, "SRC10": src10, "SRC11": src11, "FN2": fn2, "FN5": fn5, "FN11": fn11, "FN14": fn14, "FN22": fn22, "TOP4": top4, "TOP5": top5, "TOP6": top6, "TOP4_types": top4_types,
-    "JON11": jon11, "JON12": jon12, "JON14": jon14, "FLT7": flt7, "FLT9": flt9,
+    "SRC4": src4, "SRC5": src5, "SRC4_errors": src4_errors, "SRC9": src9, "SRC10": src10, "SRC11": src11, "SRC15": src15, "FN2": fn2, "FN5": fn5, "FN6": fn6, "FN7": fn7, "FN11": fn11, "FN12": fn12, "FN14": fn14, "FN22": fn22, "FN23": fn23, "TOP4": top4, "TOP5": top5, "TOP6": top6, "TOP4_types": top4_types,
+    "JON2_units": jon2_units, "JON3": jon3, "TOP8": top8, "JON11": jon11, "JON12": jon12, "JON13": jon13, "JON14": jon14, "FLT7": flt7, "FLT9": flt9,
 }
 
 ROUTES = rf"""WITH {LIVE}, {REFS}, e AS (SELECT unit_id, 'GET' AS method, regexp_extract(decorators_json, 'hook\(''([^'']+)''\)', 1) AS route, split_part(path, '/', 3) AS area FROM live WHERE regexp_matches(decorators_json, 'hook\(''[^'']+''\)')),
@@ -179,6 +293,12 @@ ROUTES = rf"""WITH {LIVE}, {REFS}, e AS (SELECT unit_id, 'GET' AS method, regexp
 SQL = {
     "SRC4": f"WITH {LIVE} SELECT unit_id, path, kind, name, qualname, start_line, end_line FROM live",
     "SRC5": f"WITH {LIVE} SELECT unit_id, signature, parameters_json, decorators_json FROM live WHERE kind <> 'class'",
+    "SRC9": f"SELECT DISTINCT {MODULE} AS module, 'router' AS router, '/area' AS prefix FROM source_files WHERE version = 'head' AND text IS NOT NULL",
+    "SRC10": r"""SELECT DISTINCT 'area.' || n AS module, 'router' AS router, '/' || n AS prefix FROM (
+  SELECT regexp_replace(regexp_extract(path, '([^/]+)\.py$', 1), '\W', '_', 'g') AS n FROM source_files WHERE version = 'head' AND text IS NOT NULL)""",
+    "JON13": r"""SELECT source_unit_id AS unit_id, string_agg(DISTINCT ref || ' — ' || m || ' ' || u, chr(10) ORDER BY ref || ' — ' || m || ' ' || u) AS callers FROM (
+  SELECT source_unit_id, regexp_replace(target_ref, '^\s+|\s+$', '', 'g') AS ref, coalesce(json_extract_string(evidence_json, '$.method'), '') AS m, coalesce(json_extract_string(evidence_json, '$.url'), '') AS u
+  FROM hard_relationships WHERE relation = 'FETCHED_BY' AND source_unit_id IS NOT NULL) WHERE ref <> '' GROUP BY source_unit_id""",
     "JON11": ROUTES + "SELECT * FROM j11",
     "JON12": ROUTES + "SELECT * FROM j12",
     "JON14": ROUTES + "SELECT count(*) AS calls, count(unit_id) AS bound FROM calls LEFT JOIN j12 USING (target_ref)",

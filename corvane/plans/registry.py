@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import edges, evaluation, index, more, parsing, problems, similarity, streams
+from . import edges, evaluation, extra, index, more, parsing, problems, similarity, streams
 
-MODULES = [problems, similarity, edges, index, evaluation, parsing, streams, more]
+MODULES = [problems, similarity, edges, index, evaluation, parsing, streams, more, extra]
 
 
 def queries():

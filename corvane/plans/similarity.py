@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import setsim
+from ..operators.scale import cut, global_places
 from ..session import load
 
 
@@ -97,10 +98,15 @@ def agg17(spark, d):
 
 
 def agg16(spark, d):
-    """Median and tenth percentile by element of the sorted scores, per score decile."""
-    scores = jon1(spark, d).groupBy(F.floor(F.col("shared") / 50).alias("band")).agg(F.sort_array(F.collect_list("score")).alias("s"))
-    n = F.size("s")
-    return scores.select("band", n.alias("n"), F.element_at("s", (n / 2).cast("int") + 1).alias("median"), F.element_at("s", (n / 10).cast("int") + 1).alias("p10"))
+    """Median and tenth percentile by element of the sorted scores, per band of shared
+    windows: places come from a sort of all scores, and no task holds a band."""
+    scores = cut(jon1(spark, d).select(F.floor(F.col("shared") / 50).alias("band"), "score"), "bands")
+    placed = cut(global_places(scores, ["band", "score"]), "bands")
+    first = placed.groupBy("band").agg(F.min("place").alias("first"), F.count("*").cast("int").alias("n"))
+    at = F.col("place") - F.col("first")
+    found = placed.join(first, "band").where((at == (F.col("n") / 2).cast("int")) | (at == (F.col("n") / 10).cast("int")))
+    pick = lambda k: F.max(F.when(at == (F.col("n") / k).cast("int"), F.col("score")))
+    return found.groupBy("band", "n").agg(pick(2).alias("median"), pick(10).alias("p10"))
 
 
 def _files(spark, d, version):
@@ -124,7 +130,7 @@ def flt2(spark, d):
 
 QUERIES = {
     "FN1": fn1, "FN4": fn4, "JON1": jon1, "AGG2": agg2, "TOP3": top3, "JON2": jon2, "TOP1": top1, "TOP2": top2, "AGG4": agg4, "AGG3": agg3,
-    "AGG14": agg14, "AGG13": agg13, "AGG13_choice": agg13_choice, "AGG17": agg17, "AGG16": agg16, "JON3": jon3, "FLT2": flt2,
+    "AGG14": agg14, "AGG13": agg13, "AGG13_choice": agg13_choice, "AGG17": agg17, "AGG16": agg16, "JON3_files": jon3, "FLT2": flt2,
 }
 
 TOK = r"coalesce(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\s\p{{L}}\p{{N}}_]'), []::VARCHAR[])"
@@ -178,7 +184,7 @@ SELECT count(f.doc_id) AS fired, count(*) AS total FROM documents LEFT JOIN f US
   count(*) FILTER (best >= 0.27) AS at_27, count(*) FILTER (best >= 0.3) AS at_30 FROM bests JOIN documents d USING (doc_id) GROUP BY d.source""",
     "AGG16": PAIRS + """, g AS (SELECT floor(shared / 50)::BIGINT AS band, list_sort(list(score)) AS s FROM pairs GROUP BY 1)
 SELECT band, len(s) AS n, s[len(s) // 2 + 1] AS median, s[len(s) // 10 + 1] AS p10 FROM g""",
-    "JON3": f"""WITH {posts("h", "(SELECT * FROM source_files WHERE version = 'head')", "path", "text")}, {posts("b", "(SELECT * FROM source_files WHERE version = 'base')", "path", "text")},
+    "JON3_files": f"""WITH {posts("h", "(SELECT * FROM source_files WHERE version = 'head')", "path", "text")}, {posts("b", "(SELECT * FROM source_files WHERE version = 'base')", "path", "text")},
   nh AS (SELECT id, count(*) AS n FROM h GROUP BY id), nb AS (SELECT id, count(*) AS n FROM b GROUP BY id),
   changed AS (SELECT path AS id FROM source_files WHERE version = 'base'),
   n1 AS (SELECT a.id AS path, c.id AS match, count(*) AS shared FROM h a SEMI JOIN changed USING (id) JOIN h c USING (w) WHERE a.id <> c.id GROUP BY ALL HAVING count(*) >= 3),

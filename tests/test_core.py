@@ -1,12 +1,15 @@
 import json
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from corvane.functions import fuzzy
 from corvane.operators import dml, graph, intervals, search, setsim
 from corvane.operators import evaluation as E
 from corvane.operators.build import Index
-from corvane.sources.parse import normalise, parse_text, regions, scan_scripts
+from corvane.functions.code import strip_documentation as normalise
+from corvane.sources.parse import parse_text, regions
+from corvane.sources.scripts import scan_scripts
 from corvane.sources.tree import config_excludes, read_tree, resolve_member_lines
 
 A = "the quick brown fox jumps over the lazy dog and then it walks home through the green field near the old mill by night"
@@ -133,7 +136,10 @@ def test_index_versions(spark, tmp_path):
 
 def test_fuzzy_and_search(spark):
     assert fuzzy.lcs("kitten", "sitting") == 4 and fuzzy.token_set_ratio("a b", "b a c") == 100.0 and fuzzy.weighted_ratio("", "x") == 0.0
-    assert [v for v, _ in search.expand("save the app")] == ["save the application", "persist the app", "write the app", "store the app"]
+    asked = search.expand(search.query_table(spark, ["save the App", "log out now", "appear"])).orderBy("query", F.desc("weight"), "asked")
+    assert [r["asked"] for r in asked.collect() if r["query"] == "save the App" and r["weight"]] == ["save the application", "persist the App", "write the App", "store the App"]
+    assert [(r["asked"], r["weight"]) for r in asked.collect() if r["query"] == "log out now"][:2] == [("revoke session now", 0.9), ("invalidate session now", 0.85)]
+    assert [r["asked"] for r in asked.collect() if r["query"] == "appear"] == ["appear"]
     u = pd.DataFrame([{"unit_id": i, "path": "p", "start_line": 1, "name": n, "qualname": n, "purpose": n, "doc_text": None, "signature": f"{n}()", "concepts_json": "[]", "owns_json": "[]", "body_terms": n, "parameters_json": "[]", "returns": ""} for i, n in (("1", "save_report"), ("2", "drop_token"))])
     got = search.search(spark.createDataFrame(u, ", ".join(f"{c} {'int' if c == 'start_line' else 'string'}" for c in u.columns)), ["save report"], expansion=True).collect()
     assert [r["unit_id"] for r in got] == ["1", "2"]
