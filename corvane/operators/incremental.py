@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .history import current_units, latest
 from .manifest import Manifest, PublishConflict
-from .scale import salted_join
+from .scale import cut, salted_join
 
 KEY, VERSION = "source_key", "source_version"
 _PAIR = "source_pair"
@@ -61,7 +61,7 @@ def pending_units(units: DataFrame, checkpoints: DataFrame, runs: DataFrame, cur
     leaves the body alone is no change. Empty tables give no rows."""
     current = current_units(units) if current is None else current
     state = current.select(F.col("unit_id").alias(KEY), F.when(F.col("removed"), F.lit("")).otherwise(F.col("body_hash")).alias(VERSION))
-    return pending(state, processed_states(checkpoints, runs)).select(F.col(KEY).alias("unit_id"))
+    return pending(state, cut(processed_states(checkpoints, runs), "processed")).select(F.col(KEY).alias("unit_id"))
 
 
 def stale_references(references: DataFrame, current: DataFrame) -> DataFrame:
@@ -70,15 +70,16 @@ def stale_references(references: DataFrame, current: DataFrame) -> DataFrame:
     anti-joined with those of the live units, what is left of live units is stale.
     ``references`` may be delivered again and one source may hold many of them; the joins
     spread such a source."""
-    rows = references.where("rel_id is not null and source_unit_id is not null").select("rel_id", F.col("source_unit_id").alias(KEY), F.coalesce("source_hash", F.lit("")).alias(VERSION)).distinct()
+    rows = references.where("rel_id is not null and source_unit_id is not null").select("rel_id", F.col("source_unit_id").alias(KEY), F.coalesce("source_hash", F.lit("")).alias(VERSION))
     live = current.where(~F.col("removed")).select(F.col("unit_id").alias(KEY), F.col("body_hash").alias(VERSION))
     other = salted_join(_paired(rows), _paired(live).select(_PAIR), _PAIR, "left_anti", spread=F.xxhash64("rel_id"))
+    other = cut(other.select("rel_id", KEY).distinct(), "stale")
     return salted_join(other, live.select(KEY), KEY, "left_semi", spread=F.xxhash64("rel_id")).select("rel_id").distinct()
 
 
 def pending_work(units: DataFrame, checkpoints: DataFrame, runs: DataFrame, references: DataFrame) -> DataFrame:
     """(record_table, record_key) of everything that the next run has to process."""
-    current = current_units(units)
+    current = cut(current_units(units).select("unit_id", "removed", "body_hash"), "current")
     first = pending_units(units, checkpoints, runs, current).select(F.lit("units").alias("record_table"), F.col("unit_id").alias("record_key"))
     second = stale_references(references, current).select(F.lit("hard_relationships").alias("record_table"), F.col("rel_id").cast("string").alias("record_key"))
     return first.unionByName(second)
