@@ -15,10 +15,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scale import cut_table, ordered_codes, salted_join
+from ..operators.scale import HOT_ROWS, cut_table, ordered_codes, salted_join
 
 
-def _roots(edges: DataFrame):
+def _no_hot(rows: int):
+    """A table of no more rows than a hot bucket has needs no search for one."""
+    return [] if rows <= HOT_ROWS else None
+
+
+def _roots(edges: DataFrame, hot):
     """(node, root) for one round of hooking on distinct edges (a, b), a < b."""
     rank = F.xxhash64("a", "b")
     both = edges.select(F.col("a").alias("node"), F.struct(rank.alias("h"), "a", "b").alias("e")).unionByName(edges.select(F.col("b").alias("node"), F.struct(rank.alias("h"), "a", "b").alias("e")))
@@ -28,7 +33,7 @@ def _roots(edges: DataFrame):
         # A mutual pick is a tree's only cycle: its smaller node becomes the root. Two
         # nodes that point at one another only do so in the first step.
         over = at.df.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        two = salted_join(at.df, over, "up")
+        two = salted_join(at.df, over, "up", hot=hot)
         root = F.when(F.col("up2") == F.col("node"), F.least("node", "up")).otherwise(F.col("up2"))
         step = cut_table(two.select("node", root.alias("up"), (root != F.col("up")).alias("moved")), "cc-up")
         at.drop()
@@ -48,21 +53,25 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     pairs = cut_table(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "cc-pairs")
     names = pairs.df.select(F.col("x").alias("name")).unionByName(pairs.df.select(F.col("y").alias("name"))).distinct()
     codes = cut_table(ordered_codes(names, "name"), "cc-codes").df
-    left = salted_join(pairs.df, codes.select(F.col("name").alias("x"), F.col("code").alias("a")), "x", spread=F.xxhash64("y"))
-    coded = salted_join(left.select("y", "a"), codes.select(F.col("name").alias("y"), F.col("code").alias("b")), "y", spread=F.xxhash64("a"))
+    hot = _no_hot(pairs.df.count())
+    left = salted_join(pairs.df, codes.select(F.col("name").alias("x"), F.col("code").alias("a")), "x", spread=F.xxhash64("y"), hot=hot)
+    coded = salted_join(left.select("y", "a"), codes.select(F.col("name").alias("y"), F.col("code").alias("b")), "y", spread=F.xxhash64("a"), hot=hot)
     edges = cut_table(coded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "cc-edges")
     pairs.drop()
     rounds = []
-    while not edges.df.isEmpty():
-        roots = _roots(edges.df)
+    n = edges.df.count()
+    nodes = _no_hot(2 * n)
+    while n:
+        hot = _no_hot(2 * n)  # a node of each end, at most
+        roots = _roots(edges.df, hot)
         rounds.append(roots.df.select("node", F.col("up").alias("root")))
         map_a = rounds[-1].select(F.col("node").alias("a"), F.col("root").alias("ra"))
         map_b = rounds[-1].select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        half = salted_join(edges.df, map_a, "a", spread=F.xxhash64("b")).select("b", "ra")
-        whole = salted_join(half, map_b, "b", spread=F.xxhash64("ra")).where("ra <> rb")
+        half = salted_join(edges.df, map_a, "a", spread=F.xxhash64("b"), hot=hot).select("b", "ra")
+        whole = salted_join(half, map_b, "b", spread=F.xxhash64("ra"), hot=hot).where("ra <> rb")
         next_edges = cut_table(whole.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
         edges.drop()
-        edges = next_edges
+        edges, n = next_edges, next_edges.df.count()
     spark = links.sparkSession
     label = spark.createDataFrame([], "node bigint, root bigint")
     for k, roots in reversed(list(enumerate(rounds))):
@@ -70,10 +79,10 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
             label = roots
             continue
         later = label.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        label = salted_join(roots, later, "root", "left", spread=F.xxhash64("node")).select("node", F.coalesce("last", "root").alias("root"))
+        label = salted_join(roots, later, "root", "left", spread=F.xxhash64("node"), hot=nodes).select("node", F.coalesce("last", "root").alias("root"))
     label = cut_table(label, "cc-label").df
     least = cut_table(label.groupBy("root").agg(F.min("node").alias("least")), "cc-least").df
-    named = salted_join(label, least, "root", spread=F.xxhash64("node")).select("node", "least")
+    named = salted_join(label, least, "root", spread=F.xxhash64("node"), hot=nodes).select("node", "least")
     firsts = codes.join(least.select(F.col("least").alias("code")), "code", "left_semi").select(F.col("code").alias("least"), F.col("name").alias("component"))
-    named = salted_join(named, firsts, "least", spread=F.xxhash64("node"))
+    named = salted_join(named, firsts, "least", spread=F.xxhash64("node"), hot=nodes)
     return named.join(codes.select(F.col("code").alias("node"), "name"), "node").select(F.col("name").alias("node"), "component")
