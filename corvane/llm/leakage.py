@@ -9,8 +9,8 @@ The contiguous mask makes the search lossless: a stretch of L >= 20 words with a
 most L/5 edits has L - e unedited words in e + 1 runs, so a run of four at least.
 The other masks of the same weight see past a replaced word.
 
-Both sides may be of any size. What is broadcast is one bitmap of FILTER_BITS bits, in
-which every hash of the test side sets two: it keeps nearly all other hashes of the
+Both sides may be of any size. What is broadcast is one bitmap of fixed size, in
+which every hash of the test side sets two bits: it keeps nearly all other hashes of the
 documents out of the join and loses none. Only documents with a hit are written, and
 only the words around hits meet the items.
 """
@@ -28,13 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import cut_table, hot_parts, salted_join, spread
+from .bitmaps import bitmap_of, known
 
 MASKS = ("1111", "11011", "110101", "101011")
 LEAST_WORDS = 20
 #: One word in so many may be edited.
 EDIT_SHARE = 5
-#: Bits of the broadcast filter, 8 MB whatever the tables hold.
-FILTER_BITS = 1 << 26
 #: A closing sentence that so many questions share is a stock instruction.
 STOCK_ITEMS = 3
 
@@ -72,6 +71,22 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def holds_straight(item: np.ndarray, doc: np.ndarray, least: int = LEAST_WORDS, share: int = EDIT_SHARE) -> bool:
+    """``holds_stretch`` for stretches in which words are only replaced, all at once: on
+    every diagonal a sum of 1 a word less ``share`` a replaced one may not fall below 0."""
+    n, m = len(item), len(doc)
+    if n < least or m < least:
+        return False
+    far = np.full(m + 2 * n, -(2**62), np.int64)
+    far[n : n + m] = doc
+    same = np.lib.stride_tricks.sliding_window_view(far, n)[1:] == item  # a row per diagonal
+    same = same[same.sum(axis=1) >= least - least // share]
+    total = np.cumsum(np.where(same, 1, 1 - share), axis=1)
+    before = np.where(same, total - 1, 10**6)  # where a stretch may begin: the sum ahead of it
+    lowest = np.minimum.accumulate(before, axis=1)[:, : n - least + 1]
+    return bool((same[:, least - 1 :] & (total[:, least - 1 :] >= lowest)).any())
+
+
 def holds_stretch(item: np.ndarray, doc: np.ndarray, least: int = LEAST_WORDS, share: int = EDIT_SHARE) -> bool:
     """Whether ``doc`` holds a stretch of at least ``least`` successive words of
     ``item`` with at most one edit in ``share`` item words; its ends are unedited.
@@ -146,10 +161,6 @@ def seeds(codes: np.ndarray, sizes: np.ndarray, mask: str) -> tuple[np.ndarray,
     return key.astype(np.int64)[place], place
 
 
-#: A hash sets the bits of the filter that its low digits name after these shifts.
-SHIFTS = (0, 30)
-
-
 def _part_codes(batches):
     for b in batches:
         codes, sizes = word_codes(b["text"].to_pylist())
@@ -180,11 +191,8 @@ def _document_hits(bitmap):
             found = []
             for mask in MASKS:
                 h, place = seeds(codes, sizes, mask)
-                for shift in SHIFTS:
-                    bit = (h >> shift) & (FILTER_BITS - 1)
-                    known = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                    h, place = h[known], place[known]
-                found.append((h, place))
+                hit = known(bits, h)
+                found.append((h[hit], place[hit]))
             h, place = (np.concatenate(x) for x in zip(*found))
             doc = of[place]
             order = np.argsort(doc, kind="stable")
@@ -205,7 +213,7 @@ def _verified(batches):
     for b in batches:
         items, docs = ([np.asarray(w) for w in b[c].to_numpy(zero_copy_only=False)] for c in ("item_words", "near"))
         kept = dense_enough(items, docs)
-        kept[kept] = [holds_stretch(items[k], docs[k]) for k in np.flatnonzero(kept)]
+        kept[kept] = [holds_straight(items[k], docs[k]) or holds_stretch(items[k], docs[k]) for k in np.flatnonzero(kept)]
         yield b.select(["doc_id", "item_id"]).filter(pa.array(kept))
 
 
@@ -238,17 +246,6 @@ def item_texts(items: DataFrame) -> DataFrame:
     return kept.unionByName(rows.where("answer is not null").select("item_id", F.col("answer").alias("text"))).distinct()
 
 
-def seed_filter(hashes: DataFrame) -> np.ndarray:
-    """The bitmap of the column h of ``hashes``: at most FILTER_BITS / 8 bytes come here."""
-    bit = F.explode(F.array(*[F.shiftright("h", k).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1 for k in SHIFTS]))
-    rows = hashes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows.collect():
-        some = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[(r["k"] - 1) * len(some) : r["k"] * len(some)] = some
-    return out
-
-
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id), once each, of documents whose text holds a passage of an
     item's question or answer: at least 20 successive words of it, in order, with at
@@ -262,15 +259,15 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     parts = item_texts(items).mapInArrow(_part_codes, "item_id bigint, words array<bigint>").withColumn("part", F.monotonically_increasing_id())
     parts = cut_table(parts, "leak-parts").df
-    known = cut_table(parts.mapInArrow(_part_seeds, "h bigint, part bigint, n int").distinct(), "leak-seeds").df
-    bitmap = spark.sparkContext.broadcast(seed_filter(known.select("h").distinct()))
+    seeded = cut_table(parts.mapInArrow(_part_seeds, "h bigint, part bigint, n int").distinct(), "leak-seeds").df
+    bitmap = spark.sparkContext.broadcast(bitmap_of(seeded.select("h").distinct()))
     texts = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
     near = texts.mapInArrow(_document_hits(bitmap), "doc_id bigint, words array<bigint>, hashes array<bigint>, places array<int>")
     docs = cut_table(near.withColumn("doc", F.monotonically_increasing_id()), "leak-documents").df
     bitmap.destroy()
 
     said = docs.select("doc", F.explode(F.arrays_zip("hashes", "places")).alias("z")).select(F.col("z.hashes").alias("h"), "doc", F.col("z.places").alias("at"))
-    hits = salted_join(said, known, "h", spread=F.xxhash64("doc"))
+    hits = salted_join(said, seeded, "h", spread=F.xxhash64("doc"))
     # An item of n words covers at most this many words of a text, so a stretch around a hit
     # lies within as many before and behind it. Hits of one item near each other are one.
     reach = (F.col("n") + F.floor(F.col("n") / EDIT_SHARE) + 1).cast("int")

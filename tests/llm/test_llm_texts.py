@@ -142,6 +142,10 @@ def test_stretch_against_edit_distance():
         got = leakage.holds_stretch(item, doc)
         assert got == brute(item, doc)
         assert not got or leakage.dense_enough([item], [doc])[0]
+        assert got or not leakage.holds_straight(item, doc)
+        replaced = np.where(rng.random(22) < 0.15, -1, item)
+        padded = np.concatenate([rng.integers(500, 600, 9), replaced, rng.integers(500, 600, 4)])
+        assert leakage.holds_straight(item, padded) == brute(item, padded)
 
 
 def test_plan_holds_every_item():
