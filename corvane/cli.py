@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +22,8 @@ from .operators.build import Index, rendered
 from .operators.manifest import PublishConflict
 from .session import local_session
 from .sources.scripts import scan_scripts
-from .sources.tree import config_excludes, read_tree, resolve_member_lines
-
-#: Directories and suffixes of scripts that aren't the project's own. Fixed values.
-FOREIGN_SCRIPTS = r"(^|/)(node_modules|vendor|dist|build)/|\.(min|bundle)\.js$"
-
+from .sources.tree import config_excludes, own_scripts, read_tree, resolve_member_lines
+from .streaming.fieldlog import record
 
 class Unclear(Exception):
     """An argument that names no unit, or several."""
@@ -85,7 +83,7 @@ class Project:
         return routes.full_routes(e, p.where("tag = 'prefix'").select(F.col("qualname").alias("module"), F.col("name").alias("router"), F.col("text").alias("prefix")))
 
     def calls(self) -> DataFrame:
-        scripts = read_tree(self.spark, self.root, "*.js", self.excludes).where(~F.col("path").rlike(FOREIGN_SCRIPTS))
+        scripts = read_tree(self.spark, self.root, "*.js", self.excludes).where(own_scripts(F.col("path")))
         return routes.bound_calls(scan_scripts(scripts.select("path", "text")), self.routes())
 
 
@@ -219,6 +217,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="corvane", description=__doc__)
     top.add_argument("--root", default=".")
     top.add_argument("--index")
+    top.add_argument("--log")
     top.add_argument("--exclude", action="append", default=[])
     sub = top.add_subparsers(dest="command", required=True)
 
@@ -251,11 +250,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command not in ("build", "update") and not p.index.version():
         print("there is no index; build one first", file=sys.stderr)
         return 2
+    began, code = time.time(), 2
     try:
-        return args.run(p, args)
+        code = args.run(p, args)
     except Unclear as e:
         print(e, file=sys.stderr)
-        return 2
+    finally:
+        record({"command": args.command, "exit": code, "ms": round(1000 * (time.time() - began))}, args.log, args.root)
+    return code
 
 
 if __name__ == "__main__":

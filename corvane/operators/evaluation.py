@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 
 import numpy as np
 import pandas as pd
@@ -83,17 +82,18 @@ def _resampled(diffs: DataFrame, draws: int, weights: str) -> DataFrame:
 
 
 def sign_flip(diffs: DataFrame, draws: int = 20_000) -> DataFrame:
-    """(arm, n, p): two-sided sign-flip permutation test of paired differences (arm,
-    pair, diff), add-one."""
-    seen = diffs.groupBy("arm").agg(F.count("*").alias("n"), F.abs(F.sum("diff")).alias("seen"))
-    j = _resampled(diffs, draws, "signs").join(F.broadcast(seen), "arm")
-    return j.groupBy("arm", "n").agg(((F.count_if(F.abs("total") >= F.col("seen") - 1e-9) + 1) / (F.count("*") + 1)).alias("p"))
+    """(arm, n, p): one-sided sign-flip permutation test of paired differences (arm, pair,
+    diff) with add-one; 1 where their sum isn't above 0."""
+    seen = diffs.groupBy("arm").agg(F.count("*").alias("n"), F.sum("diff").alias("seen"))  # one row per arm
+    j = _resampled(diffs, draws, "signs").join(seen, "arm")
+    p = (F.count_if(F.col("total") >= F.col("seen") - 1e-9) + 1) / (F.count("*") + 1)
+    return j.groupBy("arm", "n").agg(F.when(F.max("seen") <= 0, 1.0).otherwise(p).alias("p"))
 
 
 def bootstrap_lower(diffs: DataFrame, draws: int = 5_000) -> DataFrame:
     """(arm, n, lower): fifth percentile of the Poisson-bootstrapped mean difference."""
     n = diffs.groupBy("arm").agg(F.count("*").alias("n"))
-    j = _resampled(diffs, draws, "poisson").join(F.broadcast(n), "arm")
+    j = _resampled(diffs, draws, "poisson").join(n, "arm")
     return j.groupBy("arm", "n").agg(F.percentile(F.col("total") / F.col("n"), F.lit(0.05)).alias("lower"))
 
 
@@ -107,11 +107,16 @@ def binomial_p(k: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([tail(int(a), int(b)) for a, b in zip(k, n)], dtype=float)
 
 
-def power(effect: float, n: int, runs: int = 200, draws: int = 200, seed: int = 11) -> float:
-    """Share of simulated experiments of ``n`` pairs whose sign-flip test is below 0.05."""
-    rng, hits = random.Random(seed), 0
-    for _ in range(runs):
-        d = [rng.gauss(effect, 1.0) for _ in range(n)]
-        seen = abs(sum(d))
-        hits += (sum(abs(sum(x if rng.random() < 0.5 else -x for x in d)) >= seen for _ in range(draws)) + 1) / (draws + 1) < 0.05
-    return hits / runs
+def power(n: int, tie_rate: float, p_up: float, trials: int = 400, draws: int = 20_000, seed: int = 7) -> float:
+    """Share of ``trials`` simulated experiments of ``n`` pairs whose one-sided sign-flip test
+    is below 0.05. A pair ties, or differs by 0.1 to 0.5 in favour of one side, by ``p_up``.
+    All trials use the same ``draws`` flips."""
+    rng = np.random.default_rng([seed, n, int(100 * tie_rate), int(100 * p_up)])
+    size = rng.uniform(0.1, 0.5, (n, trials)) * np.where(rng.random((n, trials)) < p_up, 1.0, -1.0)
+    diffs = np.where(rng.random((n, trials)) < tie_rate, 0.0, size)
+    seen, hits = diffs.sum(axis=0), np.zeros(trials)
+    for k in range(0, draws, 2_000):
+        signs = rng.integers(0, 2, (min(2_000, draws - k), n)) * 2.0 - 1.0
+        hits += (signs @ diffs >= seen - 1e-9).sum(axis=0)
+    p = np.where(seen <= 0, 1.0, (hits + 1) / (draws + 1))
+    return float((p < 0.05).mean())

@@ -97,8 +97,11 @@ def agg20_bootstrap(spark, d):
 
 
 def agg21(spark, d):
-    grid = spark.createDataFrame([(e / 10, n) for e in (0, 3, 6) for n in (10, 20)], "effect double, n int")
-    return grid.repartition(6).mapInPandas(lambda it: (p.assign(power=[E.power(e, n) for e, n in zip(p.effect, p.n)]) for p in it), "effect double, n int, power double")
+    """Power of the sign-flip test over n, tie rate and the share of pairs in favour."""
+    grid = [(n, t, p) for n in (30, 40, 60) for t in (0.3, 0.5, 0.7) for p in (0.5, 0.7, 0.85, 1.0)]
+    cells = spark.createDataFrame(grid, "n int, tie_rate double, p_up double").repartition(len(grid))
+    run = lambda it: (p.assign(power=[E.power(*row) for row in zip(p["n"], p["tie_rate"], p["p_up"])]) for p in it)
+    return cells.mapInPandas(run, "n int, tie_rate double, p_up double, power double")
 
 
 def aux13(spark, d):

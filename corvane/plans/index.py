@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import dml, intervals
 from ..session import load
-from ..sources.tree import SKIPPED
+from ..sources.tree import SKIPPED, own_scripts
 from .edges import LIVE, REFS, live, refs
 
 NAMES = "array<string>"
@@ -28,7 +28,7 @@ def src2(spark, d):
     """Script files that client calls name, without vendored and generated ones."""
     path = F.split_part("target_ref", F.lit(":"), F.lit(1))
     files = refs(spark, d).where("target_kind = 'client_call'").select(path.alias("path")).distinct()
-    return files.where(F.col("path").endswith(".js") & ~F.col("path").rlike(r"(^|/)(node_modules|vendor|dist|build)/|\.(min|bundle)\.js$"))
+    return files.where(own_scripts(F.col("path")))
 
 
 def src3(spark, d):

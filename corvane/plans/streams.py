@@ -11,7 +11,7 @@ from ..operators.incremental import KEY, VERSION, Target
 from ..operators.scale import shared_dir
 from ..session import load
 from ..streaming import windows as W
-from .edges import LIVE, _slices, live
+from .edges import LIVE, SLICE, _slices, live
 
 
 def _utc(df):
@@ -110,6 +110,12 @@ SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n F
     "SNK4": """SELECT unit_id, CASE WHEN removed THEN '' ELSE body_hash END AS body_hash FROM (SELECT unit_id, coalesce(removed, false) AS removed, coalesce(body_hash, '') AS body_hash, row_number() OVER (PARTITION BY unit_id ORDER BY run_id DESC, ingested_at DESC) AS rn FROM units WHERE unit_id IS NOT NULL) x
 WHERE rn = 1 AND (NOT removed OR unit_id IN (SELECT unit_id FROM (SELECT unit_id, coalesce(removed, false) AS removed, row_number() OVER (PARTITION BY unit_id ORDER BY run_id DESC, ingested_at DESC) AS rn FROM units WHERE run_id <= 20) WHERE rn = 1 AND NOT removed
   UNION SELECT unit_id FROM (SELECT unit_id, coalesce(removed, false) AS removed, row_number() OVER (PARTITION BY unit_id ORDER BY run_id DESC, ingested_at DESC) AS rn FROM units WHERE run_id <= 40) WHERE rn = 1 AND NOT removed))""",
+    "SNK12": SLICE + r""", h AS (SELECT path, regexp_split_to_array(text, '\r\n|\r|\n') AS ls FROM source_files WHERE version = 'head'),
+  parts AS (SELECT root, unit_id, role, depth FROM sl UNION ALL SELECT unit_id, unit_id, 'target', 0 FROM live),
+  shown AS (SELECT root, role <> 'target' AS rest, role, depth, parts.unit_id, '## ' || role || ': ' || parts.unit_id || chr(10) || live.path || ':' || start_line || '-' || end_line || chr(10) || '```python' || chr(10)
+      || coalesce(array_to_string(ls[start_line:end_line], chr(10)), '') || chr(10) || '```' AS part FROM parts JOIN live ON live.unit_id = parts.unit_id LEFT JOIN h ON h.path = live.path),
+  md AS (SELECT root, string_agg(part, chr(10) || chr(10) ORDER BY rest, role, depth, unit_id) AS m FROM shown GROUP BY root)
+SELECT root, CAST(length(m) AS INTEGER) AS n_chars, sha256(m) AS digest FROM md""",
     "SNK13": "SELECT event_type AS command, count(*) AS n, max(value) AS slowest FROM events GROUP BY event_type",
     "GRF5": """WITH t AS (SELECT DISTINCT source_unit_id AS root, trim(target_ref) AS member FROM hard_relationships WHERE relation = 'TESTED_BY' AND lower(trim(target_kind)) = 'unit' AND source_unit_id IS NOT NULL AND trim(target_ref) <> ''),
   c AS (SELECT source_unit_id AS member, target AS root, count(DISTINCT line) AS n FROM (SELECT source_unit_id, trim(target_ref) AS target, unnest(CAST(json_extract(evidence_json, '$.lines') AS INTEGER[])) AS line FROM hard_relationships WHERE relation = 'CALLS' AND lower(trim(target_kind)) = 'unit') GROUP BY ALL)

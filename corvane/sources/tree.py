@@ -5,7 +5,7 @@ from __future__ import annotations
 import tomllib
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Directories that a scan of Python files skips. Fixed values.
@@ -25,6 +25,15 @@ def read_tree(spark: SparkSession, root: str, pattern: str = "*.py", excludes: l
     return rows
 
 
+#: Directories and suffixes of scripts that aren't a project's own. Fixed values.
+FOREIGN_SCRIPTS = r"(^|/)(node_modules|vendor|dist|build)/|\.(min|bundle)\.js$"
+
+
+def own_scripts(path: Column) -> Column:
+    """Whether a path is that of a script of the project's own, neither vendored nor generated."""
+    return path.endswith(".js") & ~path.rlike(FOREIGN_SCRIPTS)
+
+
 def parse_excludes(text: str, given: list[str] | None = None) -> list[str]:
     """Excludes of a configuration's text, then those given, each once; a wrong type raises."""
     found = tomllib.loads(text).get("excludes", [])

@@ -65,3 +65,14 @@ def test_commands(run, root, capsys, tmp_path):
     (base / "src/shop").mkdir(parents=True)
     (base / "src/shop/copy.py").write_text("def again(rows, limit):\n" + TOTAL)
     assert run(capsys, "check", "src/shop/copy.py", "--base", str(base), "--rate").strip() == "2 of 5 functions overlap another"
+
+
+def test_field_log(run, root, capsys, tmp_path):
+    log = tmp_path / "log.jsonl"
+    run(capsys, "--log", str(log), "read", "nothing", want=2)
+    run(capsys, "--log", str(log), "read", "sum_ready")
+    rows = [json.loads(x) for x in log.read_text().splitlines()]
+    assert [(r["command"], r["exit"]) for r in rows] == [("read", 2), ("read", 0)] and all(r["at"] and r["ms"] >= 0 for r in rows)
+    (root / ".corvane").mkdir()
+    run(capsys, "--log", str(tmp_path / "no" / "log"), "read", "sum_ready")
+    assert len((root / ".corvane" / "field.jsonl").read_text().splitlines()) == 1

@@ -151,5 +151,8 @@ def test_evaluation(spark):
     assert (m["hit_1"], m["hit_3"], m["recall"], m["reciprocal_rank"]) == (0, 1, 0.5, 0.5)
     d = spark.createDataFrame([("x", str(i), 1.0) for i in range(12)], "arm string, pair string, diff double")
     assert E.sign_flip(d, 2000).first()["p"] < 0.01 and E.bootstrap_lower(d, 200).first()["lower"] > 0.3
+    down = spark.createDataFrame([("x", str(i), -1.0) for i in range(12)], "arm string, pair string, diff double")
+    assert E.sign_flip(down, 200).first()["p"] == 1.0
+    assert E.power(30, 0.3, 0.5, 200, 2000) < 0.12 and E.power(60, 0.3, 1.0, 50, 2000) == 1.0
     nine = spark.range(9).withColumnRenamed("id", "v")
     assert sorted(x["v"] for x in E.spread_sample(nine, ["v"], 3).collect()) == [0, 4, 8]

@@ -10,8 +10,6 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from corvane.plans import registry  # noqa: E402
 
-CHOSEN = ["p1_found", "p3_found", "p3_report", "JON1", "JON2", "JON4", "JON7", "GRF1", "GRF7", "SRC4", "SRC23", "AGG8", "AGG11", "FN10", "SNK7", "SET6", "TOP12", "ST_tumbling", "SNK4"]
-
 
 def test_every_sql_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
@@ -20,6 +18,7 @@ def test_every_sql_has_a_query():
 @pytest.fixture(scope="module")
 def duck(tables):
     c = duckdb.connect()
+    c.execute("SET disabled_optimizers = 'statistics_propagation'")  # it takes isnan for false where a file's statistics hide NaN
     for p in Path(tables).glob("*.parquet"):
         c.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     return c
@@ -31,7 +30,7 @@ def norm(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_matches_sql(spark, tables, duck, name):
     df = registry.queries()[name](spark, tables)
     want = duck.sql(registry.oracle_sql()[name])
