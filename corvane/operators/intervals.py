@@ -38,21 +38,24 @@ def enclosing(points: DataFrame, spans: DataFrame, rule: str = "narrowest", bloc
 
 
 def unit_code(spans: DataFrame, sources: DataFrame) -> DataFrame:
-    """(unit_id, code): lines start_line to end_line (from 1) of each span's file.
+    r"""(unit_id, code): lines start_line to end_line (from 1) of each span's file.
 
-    Files are split into blocks of BLOCK lines and spans into the blocks they touch,
-    which makes the interval join an equi-join on (path, block). Spans beyond the
-    text are cut to it; spans that touch no line have no row. Line ends come out as \\n.
+    Files are split into blocks of BLOCK lines before they are shuffled, and spans into the
+    blocks they touch, which makes the interval join an equi-join on (path, block). A head
+    file that is there in several texts counts with the latest mtime, then the greatest
+    hash. Spans beyond the text are cut to it; spans that touch no line have no row. Line
+    ends come out as \n.
     """
-    lines = F.split("text", "\r\n|\r|\n")
-    heads = sources.where("version = 'head' and path is not null and text is not null").groupBy("path").agg(F.max_by("text", F.struct("mtime", "text")).alias("text"))
-    files = heads.select("path", lines.alias("lines"))
-    blocks = files.select("path", "lines", F.explode(F.sequence(F.lit(0), ((F.size("lines") - 1) / BLOCK).cast("int"))).alias("block"))
-    blocks = blocks.select("path", "block", F.slice("lines", F.col("block") * BLOCK + 1, F.lit(BLOCK)).alias("part"))
+    heads = sources.where("version = 'head' and path is not null and text is not null")
+    files = heads.select("path", F.struct("mtime", F.xxhash64("text").alias("h")).alias("edition"), F.split("text", "\r\n|\r|\n").alias("lines"))
+    blocks = files.select("path", "edition", "lines", F.explode(F.sequence(F.lit(0), ((F.size("lines") - 1) / BLOCK).cast("int"))).alias("block"))
+    blocks = blocks.select("path", "edition", "block", F.slice("lines", F.col("block") * BLOCK + 1, F.lit(BLOCK)).alias("part"))
     touched = spans.where("start_line >= 1 and end_line >= start_line").select("unit_id", "path", "start_line", "end_line")
     touched = touched.withColumn("block", F.explode(F.sequence(((F.col("start_line") - 1) / BLOCK).cast("int"), ((F.col("end_line") - 1) / BLOCK).cast("int"))))
+    newest = files.groupBy("path").agg(F.max("edition").alias("newest"))
     first = F.greatest(F.col("start_line") - F.col("block") * BLOCK, F.lit(1))
     last = F.least(F.col("end_line") - F.col("block") * BLOCK, F.size("part"))
-    pieces = touched.join(blocks, ["path", "block"]).where(last >= first).select("unit_id", "block", F.array_join(F.slice("part", first, last - first + 1), "\n").alias("piece"))
-    ordered = F.sort_array(F.collect_list(F.struct("block", "piece")))
+    met = touched.join(newest, "path").join(blocks, ["path", "block"]).where((last >= first) & F.col("edition").eqNullSafe(F.col("newest")))
+    pieces = met.select("unit_id", "block", F.array_join(F.slice("part", first, last - first + 1), "\n").alias("piece"))
+    ordered = F.array_sort(F.collect_set(F.struct("block", "piece")))  # a set: files may be delivered again
     return pieces.groupBy("unit_id").agg(F.array_join(F.transform(ordered, lambda p: p["piece"]), "\n").alias("code"))
