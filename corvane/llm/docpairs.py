@@ -214,7 +214,8 @@ def doc_pairs(units: DataFrame, sources: DataFrame) -> DataFrame:
     """
     base = F.regexp_replace("qualname", r"#\d+$", "")
     text = F.when(F.regexp_replace("doc_text", r"(?U)\s+", "") != "", F.col("doc_text")).otherwise(F.col("purpose"))
-    symbols = live_functions(units).withColumn("module", module_key(F.col("path"))).withColumn("symbol", base).withColumn("description", text).drop("doc_text", "purpose")
+    symbols = live_functions(units).drop("run_id", "kind").withColumn("module", module_key(F.col("path"))).withColumn("symbol", base).withColumn("description", text).drop("doc_text", "purpose")
+    symbols = cut_table(symbols, "functions").df
     coded = symbols.join(unit_code(symbols, sources), "unit_id").withColumn("is_stub", is_stub(F.col("path"), F.col("code")))
     table = cut_table(coded, "symbols").df
     documented = F.regexp_replace("description", r"(?U)\s+", "") != ""
