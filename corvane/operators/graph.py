@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scale import cut
+from .scale import cut, hot_parts, salted_join
 
 
 def unit_edges(references: DataFrame, relation: str) -> DataFrame:
@@ -25,12 +25,13 @@ def neighbours(edges: DataFrame, direction: str) -> DataFrame:
 def closure(roots: DataFrame, edges: DataFrame, depth: int, direction: str = "out") -> DataFrame:
     """(root, node, depth): what each root reaches within ``depth`` steps, the root
     itself left out, at its least depth. A frontier per level: a level joins only nodes
-    that are new, so cycles end by themselves."""
-    step = neighbours(edges, direction)
+    that are new, so cycles end by themselves. Edges of hub nodes are spread over tasks."""
+    step = cut(neighbours(edges, direction), "steps")
+    hot = hot_parts(step, "node")
     seen = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"))
     frontier = seen
     for level in range(1, depth + 1):
-        reached = frontier.join(step, "node").select("root", F.col("other").alias("node")).distinct()
+        reached = salted_join(step, frontier.select("root", "node"), "node", hot=hot, spread=F.xxhash64("other")).select("root", F.col("other").alias("node")).distinct()
         frontier = reached.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(level))
         if level > 2:
             frontier = cut(frontier, "closure")

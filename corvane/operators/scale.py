@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,19 +58,26 @@ class Written:
         fs.delete(place, True)
 
 
-def cut_table(df: DataFrame, label: str = "t") -> Written:
-    """Run ``df`` once and go on from its written rows, which survive executors. The
-    shuffle files of that run aren't needed any more and go with its end."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane/{label}-{uuid.uuid4().hex}"
+@contextmanager
+def tidied(spark: SparkSession):
+    """Queries run in here leave no shuffle files behind: what they give is written or here."""
     before = spark.conf.get(_TIDY, None)
     try:
         if before is not None:
             spark.conf.set(_TIDY, "true")
-        df.write.option("compression", "snappy").parquet(path)
+        yield
     finally:
         if before is not None:
             spark.conf.set(_TIDY, before)
+
+
+def cut_table(df: DataFrame, label: str = "t") -> Written:
+    """Run ``df`` once and go on from its written rows, which survive executors. The
+    shuffle files of that run aren't needed any more and go with its end."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/corvane/{label}-{uuid.uuid4().hex}"
+    with tidied(spark):
+        df.write.option("compression", "snappy").parquet(path)
     table = Written(spark, path, spark.read.schema(df.schema).parquet(path))
     fs, place = table._place()
     fs.deleteOnExit(place)
@@ -98,7 +106,8 @@ def hot_parts(df: DataFrame, key: str, rows: int | None = None, counted: str | N
     mean = counts.agg((F.sum("n") * 2.0 / HOT_BUCKETS).alias("m")).scalar()
     least = F.greatest(F.lit(float(rows)), mean)
     found = counts.where(F.col("n") > least).select("hot_bucket", F.ceil(F.col("n") / least).cast("int").alias("hot_parts"))
-    return [(r["hot_bucket"], r["hot_parts"]) for r in found.collect()]
+    with tidied(df.sparkSession):
+        return [(r["hot_bucket"], r["hot_parts"]) for r in found.collect()]
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", rows: int | None = None, spread: Column | None = None, hot: list[tuple[int, int]] | None = None) -> DataFrame:

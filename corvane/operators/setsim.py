@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens, windows
+from ..functions.text import token_hashes, tokens, windows
 from .scale import cut, salted_join, self_pairs, spread
 
 MIN_DF, MAX_DF, MIN_SHARED, FLOOR, WIDTH, LEAST_TOKENS = 2, 60, 3, 0.27, 5, 20
@@ -20,7 +20,8 @@ def window_sets(records: DataFrame, key: str, text: str, width: int = WIDTH, lea
     """(id, ws): the distinct windows of each record of enough tokens, written once:
     everything below reads them several times."""
     tok = spread(records.select(F.col(key).alias("id"), F.col(text).alias("text"))).select("id", tokens(F.col("text")).alias("tok"))
-    sets = tok.select("id", F.when(F.size("tok") >= least_tokens, F.array_distinct(windows(F.col("tok"), width))).alias("ws"))
+    hashed = tok.select("id", F.when(F.size("tok") >= least_tokens, token_hashes(F.col("tok"))).alias("th"))
+    sets = hashed.select("id", F.array_distinct(windows(F.col("th"), width)).alias("ws"))
     # Filtered only once it is written: a filter here would be pushed below the tokens and
     # run the tokeniser again for every window.
     return cut(sets, "windows").where("size(ws) > 0")

@@ -19,7 +19,9 @@ from ..sources.parse import TAG, parse_files
 from ..sources.tree import parse_excludes
 from .edges import BOTH, EDGES, LIVE, MODULE, live, refs
 from .evaluation import AGG8, _best, _judged, agg8, agg9
+from .index import terms
 from .parsing import SEARCHES, _heads
+from .similarity import DOCS
 
 TREE = "source_files WHERE version = 'head' AND text IS NOT NULL"
 N_LINES = r"len(regexp_split_to_array(text, '\r\n|\r|\n'))"
@@ -226,9 +228,6 @@ QUERIES = {
     "AUX9": aux9, "AUX11": aux11, "AUX12": aux12, "AUX15": aux15, "AUX18": aux18, "AUX20": aux20, "SNK2": snk2, "JON1_exact": jon1_exact, "JON1_members": jon1_members,
 }
 
-from .index import terms  # noqa: E402  (SQL text)
-from .similarity import DOCS  # noqa: E402
-
 #: White space of any script splits tokens here.
 SPACED = DOCS.replace(r"[^\s\p{L}\p{N}_]", r"[^\s\x0b\x1c-\x1f\x{85}\p{Z}\p{L}\p{N}_]")
 SMALLEST = "row_number() OVER (PARTITION BY {0} ORDER BY l.end_line - l.start_line, l.start_line, l.end_line, l.unit_id)"

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
-from ..operators import fuzzyjoin, graph, intervals, setsim
+from ..operators import fuzzyjoin, graph, intervals
 from ..session import load
 from ..sources.parse import comment_lines
 from .edges import EDGES, LIVE, REFS, live, refs

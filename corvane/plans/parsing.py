@@ -12,8 +12,8 @@ from ..functions import text as T
 from ..functions.fuzzy import token_set_udf, weighted_udf
 from ..operators import routes as R
 from ..operators import search as S
-from ..operators import setsim, unitsim
-from ..operators.intervals import unit_code
+from ..operators import unitsim
+from ..operators.scale import cut
 from ..session import load
 from ..sources.parse import parse_files, router_prefixes
 from ..sources.scripts import scan_scripts
@@ -124,7 +124,7 @@ def normalised_units(code):
 
 
 def _unit_sets(spark, d):
-    return unitsim.unit_windows(live(spark, d), _heads(spark, d))
+    return cut(unitsim.unit_windows(live(spark, d), _heads(spark, d)), "unit-sets")
 
 
 def fn5(spark, d):
@@ -254,7 +254,7 @@ def jon3(spark, d):
     """Overlaps that changed functions brought, per function, at the floor."""
     s = load(spark, d, "source_files")
     sets = _unit_sets(spark, d)
-    changed = unitsim.unit_windows(live(spark, d), _changed(spark, d))
+    changed = sets.join(_changed(spark, d).select("path"), "path", "left_semi")  # sets of head files are there already
     return unitsim.check_changes(changed, unitsim.base_functions(s.where("version = 'base'")), sets)
 
 
