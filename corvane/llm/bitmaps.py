@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scale import tidied
+
 #: 8 MB whatever the tables hold: with more hashes it lets more others pass, and loses none.
 FILTER_BITS = 1 << 26
 #: A hash sets the bits that its low digits name after these shifts.
@@ -18,7 +20,9 @@ def bitmap_of(hashes: DataFrame, column: str = "h") -> np.ndarray:
     bit = F.explode(F.array(*[F.shiftright(column, k).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1 for k in SHIFTS]))
     rows = hashes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows.collect():
+    with tidied(hashes.sparkSession):
+        found = rows.collect()
+    for r in found:
         some = np.frombuffer(bytes(r["bits"]), np.uint8)
         out[(r["k"] - 1) * len(some) : r["k"] * len(some)] = some
     return out

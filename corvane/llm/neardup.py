@@ -22,16 +22,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.scale import HOT_BUCKETS, cut_table, hot_parts, salted_join
+from ..operators.scale import Written, blocks, cut_table, meet, salted_join, self_pairs
+from .bitmaps import bitmap_of, kept, known
 from .components import connected_components
 
 SEGMENTS = 256
 #: Windows of more sets than this are told apart by count: so many of the most common ones
 #: exactly, 16 bytes each, all others by the sum of their counts in hash buckets, 4 bytes each.
 LEAST_COMMON, MAX_COMMON, COUNT_BUCKETS = 8, 500_000, 1 << 22
+#: Windows are counted by their upper 40 bits, of 64, since what is counted is shuffled. Windows
+#: that agree in these count together: any order of windows serves, and none is missed.
+COUNTED_SHIFT = 24
 #: Rows of one window, or copies of one set, that meet one another in a task.
 PAIR_ROWS = 4_000
 
@@ -101,26 +105,27 @@ def _decoded(batches):
 
 
 def _prefixes(order, t: float):
-    """order: the common windows, ascending by value, with their counts, and the bucket
-    counts of the others."""
+    """order: what ``window_order`` gives."""
 
     def run(batches):
-        values, counts, buckets = order.value
+        values, counts, buckets, repeated = order.value
         for b in batches:
             if not b.num_rows:
                 continue
             size = b["n"].to_numpy().astype(np.int64)
             w, of = b["ws"].flatten().to_numpy(), np.repeat(np.arange(b.num_rows), size)
-            place = buckets[w & (COUNT_BUCKETS - 1)].astype(np.int64)
+            part = w >> COUNTED_SHIFT
+            place = buckets[part & (len(buckets) - 1)].astype(np.int64)
             if len(values):
-                at = np.minimum(np.searchsorted(values, w), len(values) - 1)
-                place = np.where(values[at] == w, counts[at], place)
+                at = np.minimum(np.searchsorted(values, part), len(values) - 1)
+                place = np.where(values[at] == part, counts[at], place)
             by = np.lexsort((w, place, of))
             position = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
             n = size[of]
-            keep = position < n - np.ceil(t * n - 1e-9) + 1
-            arrays = [w[by][keep], b["id"].to_numpy()[of][keep], n[keep].astype(np.int32), position[keep].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["w", "id", "n", "pos"])
+            keep = np.flatnonzero(position < n - np.ceil(t * n - 1e-9) + 1)
+            keep = keep[known(repeated, part[by[keep]])]  # a window of one set joins nothing
+            arrays = [w[by[keep]], b["id"].to_numpy()[of[keep]], (n[keep] << 32) + position[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["w", "id", "at"])
 
     return run
 
@@ -139,62 +144,38 @@ def _near(t: float):
     return run
 
 
-def blocks(df: DataFrame, parts: Column, spread: Column) -> DataFrame:
-    """``df`` with blk, lo, hi: rows are in blocks by ``spread`` and stand once for every
-    pair of blocks that theirs is part of. Joined on (lo, hi) under ``meet`` any two rows of
-    a key meet once, and no task holds more than two of its blocks."""
-    mine = df.withColumn("blk", F.pmod(spread, parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return mine.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")).drop("other")
-
-
-def meet(a: str = "a", b: str = "b") -> Column:
-    same = (F.col(f"{a}.lo") == F.col(f"{b}.lo")) & (F.col(f"{a}.hi") == F.col(f"{b}.hi"))
-    return same & ((F.col(f"{a}.blk") != F.col(f"{b}.blk")) | (F.col(f"{a}.lo") == F.col(f"{a}.hi")))
-
-
 def window_order(sets: DataFrame):
-    """(values, counts, buckets) for ``_prefixes``: bounded whatever the sets hold."""
-    counts = cut_table(sets.select(F.explode("ws").alias("w")).groupBy("w").count().where(F.col("count") > LEAST_COMMON), "nd-common")
+    """(values, counts, buckets, repeated) for ``_prefixes``, bounded whatever the sets hold:
+    the most common windows and their counts, counts of the others in buckets, and a bitmap
+    of the windows of more than one set."""
+    counts = cut_table(sets.select(F.explode("ws").alias("w")).groupBy(F.shiftright("w", COUNTED_SHIFT).alias("w")).count().where("count > 1"), "nd-common")
+    often = counts.df.where(F.col("count") > LEAST_COMMON)
     by_count = Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, 0)  # one row per distinct count
-    sizes = counts.df.groupBy("count").agg(F.count("*").alias("n")).withColumn("so_far", F.sum("n").over(by_count))
+    sizes = often.groupBy("count").agg(F.count("*").alias("n")).withColumn("so_far", F.sum("n").over(by_count))
     least = sizes.where(F.col("so_far") <= MAX_COMMON).agg(F.min("count")).first()[0]
     is_common = F.lit(False) if least is None else F.col("count") >= least
-    found = counts.df.where(is_common).toArrow()
-    rest = counts.df.where(~is_common).groupBy(F.col("w").bitwiseAND(F.lit(COUNT_BUCKETS - 1)).alias("k")).agg(F.sum("count").alias("c")).toArrow()
+    found = often.where(is_common).toArrow()
+    rest = often.where(~is_common).groupBy(F.col("w").bitwiseAND(F.lit(COUNT_BUCKETS - 1)).alias("k")).agg(F.sum("count").alias("c")).toArrow()
+    repeated = bitmap_of(counts.df, "w")
     counts.drop()
-    buckets = np.zeros(COUNT_BUCKETS, np.int32)
+    buckets = np.zeros(COUNT_BUCKETS if rest.num_rows else 1, np.int32)
     buckets[rest["k"].to_numpy().astype(np.int64)] = np.minimum(rest["c"].to_numpy().astype(np.int64), 2**31 - 1)
     value, count = (found[c].to_numpy().astype(np.int64) for c in ("w", "count"))
     order = np.argsort(value)
-    return value[order], count[order], buckets
+    return value[order], count[order], buckets, repeated
 
 
-def candidates(sets: DataFrame, t: float) -> DataFrame:
+def candidates(sets: DataFrame, t: float) -> Written:
     """(x, y), once each, of the classes (id, n, ws) that share a window among the first of
     each in the common order and whose sizes and positions allow a similarity of t."""
-    spark = sets.sparkSession
-    order = spark.sparkContext.broadcast(window_order(sets))
-    postings = cut_table(sets.select("id", "n", "ws").mapInArrow(_prefixes(order, t), "w bigint, id bigint, n int, pos int"), "nd-postings")
+    order = sets.sparkSession.sparkContext.broadcast(window_order(sets))
+    postings = cut_table(sets.select("id", "n", "ws").mapInArrow(_prefixes(order, t), "w bigint, id bigint, at bigint"), "nd-postings")
     order.destroy()
-    na, nb = F.col("a.n"), F.col("b.n")
+    # at holds the set's size and the window's place, in one number for the shuffle's sake.
+    (na, pa_), (nb, pb) = ((F.shiftright(f"{r}.at", 32), F.col(f"{r}.at").bitwiseAND(F.lit(0xFFFFFFFF))) for r in "ab")
     least = F.lit(t / (1 + t)) * (na + nb) - 1e-9  # windows that two such sets must share
-    near = (
-        (F.col("a.w") == F.col("b.w")) & ((na < nb) | ((na == nb) & (F.col("a.id") < F.col("b.id")))) & (na >= F.lit(t) * nb - 1e-9)
-        & (na - F.col("a.pos") >= least) & (nb - F.col("b.pos") >= least)
-    )
-    found = lambda a, b, on: a.alias("a").join(b.alias("b"), on).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-    hot = hot_parts(postings.df, "w", PAIR_ROWS)
-    rows = postings.df
-    if hot:
-        # Windows of very many prefixes: blocks of their rows meet pairwise, in tasks of their own.
-        parts = F.broadcast(spark.createDataFrame(hot, "hot_bucket int, hot_parts int"))
-        marked = rows.withColumn("hot_bucket", F.pmod(F.xxhash64("w"), F.lit(HOT_BUCKETS)).cast("int")).join(parts, "hot_bucket", "left").drop("hot_bucket")
-        split = blocks(marked.where("hot_parts is not null"), F.col("hot_parts"), F.xxhash64("id")).drop("hot_parts")
-        rows = marked.where("hot_parts is null").drop("hot_parts")
-        pairs = found(rows, rows, near).unionByName(found(split, split, near & meet()))
-    else:
-        pairs = found(rows, rows, near)
-    out = cut_table(pairs.distinct(), "nd-pairs").df
+    near = ((na < nb) | ((na == nb) & (F.col("a.id") < F.col("b.id")))) & (na >= F.lit(t) * nb - 1e-9) & (na - pa_ >= least) & (nb - pb >= least)
+    out = cut_table(self_pairs(postings.df, "w", near, PAIR_ROWS), "nd-pairs")
     postings.drop()
     return out
 
@@ -222,19 +203,27 @@ def similar_classes(sets: DataFrame, threshold: float = 0.5) -> tuple[DataFrame,
     # The set of each class, decoded once. Repeated deliveries are combined before the shuffle.
     once = rows.groupBy("body_hash", "mark").agg(F.first("payload").alias("payload"))
     named = once.join(classes.select(F.col("rep").alias("body_hash"), "mark", "id").hint("shuffle_merge"), ["body_hash", "mark"]).select("id", "payload")
-    full = cut_table(named.mapInArrow(_decoded, "id bigint, n int, vec binary, ws array<bigint>"), "nd-decoded").df
-
-    pairs = candidates(full, t)
-    points = full.select("id", "n", "vec")
-    embedded = pairs.join(points.toDF("x", "n_a", "vec_a"), "x").join(points.toDF("y", "n_b", "vec_b"), "y")
-    close = cut_table(embedded.mapInArrow(_near(t), "x bigint, y bigint"), "nd-close").df
-    windows = full.select("id", "ws")
-    both = close.join(windows.toDF("x", "a"), "x").join(windows.toDF("y", "b"), "y")
+    full = cut_table(named.mapInArrow(_decoded, "id bigint, n int, vec binary, ws array<bigint>"), "nd-decoded")
+
+    found = candidates(full.df, t)
+    points = full.df.select("id", "n", "vec")
+    embedded = found.df.join(points.toDF("x", "n_a", "vec_a"), "x").join(points.toDF("y", "n_b", "vec_b"), "y")
+    close = cut_table(embedded.mapInArrow(_near(t), "x bigint, y bigint"), "nd-close")
+    found.drop()
+    # Only sets of pairs that are left are shuffled: a bitmap of their ids lets them through.
+    ids = close.df.select(F.explode(F.array("x", "y")).alias("id")).select(F.xxhash64("id").alias("h"))
+    bits = sets.sparkSession.sparkContext.broadcast(bitmap_of(ids))
+    windows = full.df.select("id", "ws", F.xxhash64("id").alias("h")).mapInArrow(kept(bits, ["id", "ws"]), "id bigint, ws array<bigint>")
+    both = close.df.join(windows.toDF("x", "a"), "x").join(windows.toDF("y", "b"), "y")
     shared = F.size(F.array_intersect("a", "b"))
     scored = both.select("x", "y", (shared / (F.size("a") + F.size("b") - shared)).alias("similarity")).where(F.col("similarity") >= t)
     names = classes.select("id", "rep")
     named = scored.join(names.toDF("x", "ra"), "x").join(names.toDF("y", "rb"), "y")
-    return named.select(F.least("ra", "rb").alias("rep_a"), F.greatest("ra", "rb").alias("rep_b"), "similarity"), members
+    pairs = cut_table(named.select(F.least("ra", "rb").alias("rep_a"), F.greatest("ra", "rb").alias("rep_b"), "similarity"), "nd-verified").df
+    for table in (full, close):
+        table.drop()
+    bits.destroy()
+    return pairs, members
 
 
 def similar_groups(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -242,7 +231,6 @@ def similar_groups(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     equal sets, the least body_hash linked to it directly or through others, and how many
     other classes are similar. A set without links is a group of its own class."""
     pairs, members = similar_classes(sets, threshold)
-    pairs = cut_table(pairs, "nd-found").df
     groups = connected_components(pairs, "rep_a", "rep_b").select(F.col("node").alias("rep"), F.col("component").alias("group_id"))
     links = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     known = cut_table(groups.join(links, "rep"), "nd-groups").df
@@ -255,7 +243,6 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     a similarity of at least ``threshold``, equal sets included. Copies of one set meet in
     blocks of PAIR_ROWS."""
     pairs, members = similar_classes(sets, threshold)
-    pairs = cut_table(pairs, "nd-found").df
     members = cut_table(members, "nd-members").df
     m = members.select("rep", "body_hash")
     across = pairs.join(m.toDF("rep_a", "ha"), "rep_a").join(m.toDF("rep_b", "hb"), "rep_b").select("ha", "hb")
