@@ -33,11 +33,17 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def windows(tok: Column, width: int = 5) -> Column:
-    """All windows of ``width`` successive tokens as 64-bit hashes; empty below ``width``."""
-    sequence = F.sequence(F.lit(1), F.size(tok) - width + 1)
-    hashed = F.transform(sequence, lambda i: F.xxhash64(F.array_join(F.slice(tok, i, width), "\u0000")))
-    return F.when(F.size(tok) >= width, hashed).otherwise(F.array().cast("array<bigint>"))
+def token_hashes(tok: Column) -> Column:
+    return F.transform(tok, lambda t: F.xxhash64(t))
+
+
+def windows(hashes: Column, width: int = 5) -> Column:
+    """All windows of ``width`` successive tokens as 64-bit hashes, of the tokens' own
+    (``token_hashes``, as a column of its own: it is read for every window); empty below
+    ``width``."""
+    sequence = F.sequence(F.lit(0), F.size(hashes) - width)
+    hashed = F.transform(sequence, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
+    return F.when(F.size(hashes) >= width, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
 def query_terms(text: Column) -> Column:

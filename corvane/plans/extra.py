@@ -16,11 +16,12 @@ from ..operators.scale import cut, shared_dir
 from ..session import load
 from ..sources import loaders
 from ..sources.parse import TAG, parse_files
+from ..sources.scripts import script_wrappers
 from ..sources.tree import parse_excludes
 from .edges import BOTH, EDGES, LIVE, MODULE, live, refs
 from .evaluation import AGG8, _best, _judged, agg8, agg9
 from .index import terms
-from .parsing import SEARCHES, _heads
+from .parsing import SCRIPTS, SEARCHES, _heads
 from .similarity import DOCS
 
 TREE = "source_files WHERE version = 'head' AND text IS NOT NULL"
@@ -212,6 +213,22 @@ def snk2(spark, d):
     return index.units().select("unit_id", "path", "start_line", "end_line")
 
 
+def snk3(spark, d):
+    """Units of the first file with a base version, after an update of that one path."""
+    s = load(spark, d, "source_files")
+    head, base = s.where("version = 'head'").select("path", "text"), s.where("version = 'base'").select("path", "text")
+    index = build.Index(spark, f"{shared_dir(spark)}/corvane/index-{uuid.uuid4().hex}")
+    index.rebuild(head.join(base, "path", "left_anti").unionByName(base))
+    path = base.agg(F.min("path")).first()[0]
+    index.update_file(path, head)
+    return index.units().where(F.col("path") == path).select("unit_id", "path", "start_line", "end_line")
+
+
+def src12(spark, d):
+    """Names of functions that hand their first parameter to fetch."""
+    return script_wrappers(spark.createDataFrame(SCRIPTS, "path string, text string"))
+
+
 def jon1_exact(spark, d):
     """Pairs of classes of documents with equal windows at the floor, however many documents
     share a window."""
@@ -225,7 +242,7 @@ def jon1_members(spark, d):
 
 QUERIES = {
     "SRC6": src6, "SRC8": src8, "SRC24": src24, "SRC26": src26, "SET1": set1, "SET2": set2, "SET4": set4, "FN3": fn3, "FN15": fn15, "FN20": fn20, "TOP7": top7, "GRF6": grf6, "AUX5": aux5, "AUX6": aux6, "AUX8": aux8,
-    "AUX9": aux9, "AUX11": aux11, "AUX12": aux12, "AUX15": aux15, "AUX18": aux18, "AUX20": aux20, "SNK2": snk2, "JON1_exact": jon1_exact, "JON1_members": jon1_members,
+    "AUX9": aux9, "AUX11": aux11, "AUX12": aux12, "AUX15": aux15, "AUX18": aux18, "AUX20": aux20, "SNK2": snk2, "SNK3": snk3, "SRC12": src12, "JON1_exact": jon1_exact, "JON1_members": jon1_members,
 }
 
 #: White space of any script splits tokens here.
@@ -261,6 +278,8 @@ SELECT q, hit_k, recall, coalesce(pool, 0) AS pool, first_place, coalesce(reache
     "AUX20": f"""SELECT 'gen.' || d || '_' || v || '::' || v || '_' || d AS unit_id, v || '_' || d || '(store, key)' AS signature, 'Look a ' || d || ' up and ' || v || ' it.' AS purpose
 FROM (SELECT unnest({DOMAINS}) AS d) x, (SELECT unnest({TEMPLATES}) AS v) y""",
     "SNK2": f"WITH {LIVE} SELECT unit_id, path, start_line, end_line FROM live",
+    "SNK3": f"WITH {LIVE} SELECT unit_id, path, start_line, end_line FROM live WHERE path = (SELECT min(path) FROM source_files WHERE version = 'base')",
+    "SRC12": "SELECT 'call' AS name",
     "JON1_exact": CLASSES + """, reps AS (SELECT rep FROM cls), q AS (SELECT p.* FROM p JOIN reps ON rep = id), n AS (SELECT id, count(*) AS n FROM q GROUP BY id),
   s AS (SELECT a.id AS rep_a, b.id AS rep_b, count(*) AS shared FROM q a JOIN q b ON a.w = b.w AND a.id < b.id GROUP BY ALL)
 SELECT rep_a, rep_b, shared, shared / (x.n + y.n - shared) AS score FROM s JOIN n x ON x.id = rep_a JOIN n y ON y.id = rep_b WHERE shared >= 3 AND shared / (x.n + y.n - shared) >= 0.27""",
