@@ -4,7 +4,7 @@ The formula is that of familiar-word measures: the share of words outside a list
 familiar words, plus the average sentence length. Both decide, on one scale. The list
 comes from the corpus's document frequencies: first the words that very many of all
 documents hold, then those that many of the documents hold which the formula itself puts
-within a general reader's reach, and so on until the list stays the same. Frequencies
+within a general reader's reach, and so on until the list settles. Frequencies
 are counted over all English documents. Weights and cut points of the formula are fitted
 on a bounded sample of labelled documents; without labels they are published constants.
 
@@ -16,6 +16,7 @@ lines are put together again. A document without prose has no level.
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 
 import numpy as np
@@ -33,6 +34,9 @@ MAX_LABELLED = 20_000
 FIRST_SHARE, FAMILIAR_SHARE = 0.2, 0.003
 #: ... and relative to the others at least so often.
 RELATIVE = 0.5
+#: Lists settle when so small a share of them changes (on the given tables in three rounds);
+#: with too few labels they may not, which is said after so many rounds.
+STABLE, MOST_ROUNDS = 0.01, 12
 #: A list has at most so many words, the most frequent ones.
 FAMILIAR_WORDS = 50_000
 DEMANDING = 4
@@ -251,12 +255,14 @@ def reading_levels(documents: DataFrame, labels: DataFrame, max_labelled: int =
     listed = familiar_words(prose, empty, None, FIRST_SHARE if labelled else familiar_share)
     familiar = send(listed)
     formula = fitted(familiar) if labelled else Published()
-    seen: set[frozenset[str]] = set()
-    while labelled and listed not in seen:
-        seen.add(listed)
-        listed = familiar_words(prose, familiar, formula, familiar_share)
+    for n in range(MOST_ROUNDS if labelled else 0):
+        before, listed = listed, familiar_words(prose, familiar, formula, familiar_share)
         familiar = send(listed)
         formula = fitted(familiar)
+        if len(before ^ listed) <= STABLE * len(listed):
+            break
+        if n == MOST_ROUNDS - 1:
+            warnings.warn("the list of familiar words didn't settle: too few labels for this corpus", stacklevel=2)
     level = F.lit(1)
     for cut in formula.cuts:
         level = level + (F.col("value") >= float(cut)).cast("int")
