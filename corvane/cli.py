@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import code as C
-from .functions import text as T
 from .operators import graph, intervals, routes, search, setsim, unitsim
 from .operators.build import Index, rendered
 from .operators.manifest import PublishConflict
@@ -44,14 +43,10 @@ class Project:
 
     def units(self) -> DataFrame:
         """Units of the index as tables elsewhere have them."""
-        return self.index.units().withColumns({"body_hash": F.lit(None).cast("string"), "removed": F.lit(False)})
+        return self.index.units().withColumn("removed", F.lit(False))
 
     def searched(self) -> DataFrame:
-        u = self.units()
-        code = intervals.unit_code(u, self.sources())
-        words = F.filter(F.split(F.concat_ws(" ", "path", "qualname"), r"[^A-Za-z0-9]+"), lambda w: w != "")
-        concepts = F.to_json(F.array_sort(F.array_distinct(F.transform(words, F.lower))))
-        return u.join(code, "unit_id", "left").withColumns({"body_terms": T.body_terms(F.coalesce("code", F.lit(""))), "concepts_json": concepts, "owns_json": F.lit("[]")})
+        return self.units().withColumn("owns_json", F.lit("[]"))
 
     def sets(self) -> DataFrame:
         return unitsim.unit_windows(self.units(), self.tree())
@@ -143,8 +138,7 @@ def check(p: Project, args) -> int:
     base = p.tree(args.base) if args.base else tree.limit(0)
     changed = tree.where(F.col("path").isin(args.paths)) if args.paths else tree.join(base, ["path", "text"], "left_anti")
     files = changed.select("path", "text")
-    parsed = Index(p.spark, p.index.path)  # units of the changed files as they are now
-    now = parsed.units().join(files.select("path"), "path", "left_semi").withColumn("body_hash", F.lit(None).cast("string"))
+    now = p.units().join(files.select("path"), "path", "left_semi")
     found = unitsim.check_changes(unitsim.unit_windows(now, files), unitsim.base_functions(base if not args.all_overlaps else base.limit(0)), sets, args.limit, args.floor)
     rows = [r.asDict() for r in found.orderBy(F.desc("score"), "unit_id", "match_id").collect()]
     _show(args, rows, lambda r: f"{r['score']:.3f} {r['unit_id']} is like {r['match_id']}")

@@ -51,6 +51,17 @@ def src5(spark, d):
     return parse_files(_heads(spark, d)).where("tag = 'unit' and kind <> 'class'").select("unit_id", "signature", "parameters_json", "decorators_json")
 
 
+def fn18_units(spark, d):
+    """Hashes of the units' own lines, as the parser takes them."""
+    return parse_files(_heads(spark, d)).where("tag = 'unit'").select("unit_id", "body_hash")
+
+
+def fn21_concepts(spark, d):
+    """Concepts of the parsed units: name, id and their words."""
+    found = parse_files(_heads(spark, d)).where("tag = 'unit'")
+    return found.select("unit_id", F.array_join(F.from_json("concepts_json", "array<string>"), " ").alias("concepts"))
+
+
 def src4_errors(spark, d):
     """Files of any version that can't be parsed, with the reason."""
     return parse_files(load(spark, d, "source_files").select("path", "text")).where("tag = 'error'").select("path", F.col("text").alias("reason"))
@@ -280,7 +291,7 @@ def jon13(spark, d):
 
 
 QUERIES = {
-    "SRC4": src4, "SRC5": src5, "SRC4_errors": src4_errors, "SRC9": src9, "SRC10": src10, "SRC11": src11, "SRC15": src15, "FN2": fn2, "FN5": fn5, "FN6": fn6, "FN7": fn7, "FN11": fn11, "FN12": fn12, "FN14": fn14, "FN22": fn22, "FN23": fn23, "TOP4": top4, "TOP5": top5, "TOP6": top6, "TOP4_types": top4_types,
+    "SRC4": src4, "SRC5": src5, "SRC4_errors": src4_errors, "SRC9": src9, "SRC10": src10, "SRC11": src11, "SRC15": src15, "FN2": fn2, "FN5": fn5, "FN6": fn6, "FN7": fn7, "FN11": fn11, "FN12": fn12, "FN14": fn14, "FN18_units": fn18_units, "FN21_concepts": fn21_concepts, "FN22": fn22, "FN23": fn23, "TOP4": top4, "TOP5": top5, "TOP6": top6, "TOP4_types": top4_types,
     "JON2_units": jon2_units, "JON3": jon3, "TOP8": top8, "JON11": jon11, "JON12": jon12, "JON13": jon13, "JON14": jon14, "FLT7": flt7, "FLT9": flt9,
 }
 
@@ -293,6 +304,9 @@ ROUTES = rf"""WITH {LIVE}, {REFS}, e AS (SELECT unit_id, 'GET' AS method, regexp
 SQL = {
     "SRC4": f"WITH {LIVE} SELECT unit_id, path, kind, name, qualname, start_line, end_line FROM live",
     "SRC5": f"WITH {LIVE} SELECT unit_id, signature, parameters_json, decorators_json FROM live WHERE kind <> 'class'",
+    "FN18_units": rf"""WITH {LIVE}, h AS (SELECT path, regexp_split_to_array(text, '\r\n|\r|\n') AS ls FROM source_files WHERE version = 'head')
+SELECT unit_id, left(sha256(array_to_string(ls[start_line:end_line], chr(10))), 12) AS body_hash FROM live JOIN h USING (path)""",
+    "FN21_concepts": rf"""WITH {LIVE} SELECT unit_id, array_to_string(list_sort(list_distinct(list_concat([name, unit_id], list_transform(list_filter(regexp_split_to_array(name || ' ' || unit_id, '[^A-Za-z0-9]+'), lambda x: x <> ''), lambda x: lower(x))))), ' ') AS concepts FROM live""",
     "SRC9": f"SELECT DISTINCT {MODULE} AS module, 'router' AS router, '/area' AS prefix FROM source_files WHERE version = 'head' AND text IS NOT NULL",
     "SRC10": r"""SELECT DISTINCT 'area.' || n AS module, 'router' AS router, '/' || n AS prefix FROM (
   SELECT regexp_replace(regexp_extract(path, '([^/]+)\.py$', 1), '\W', '_', 'g') AS n FROM source_files WHERE version = 'head' AND text IS NOT NULL)""",

@@ -139,6 +139,17 @@ def test_tags(spark):
     assert set(errors) == {"loose.py", "indent.py", "twice.py"} and "before no declaration" in errors["loose.py"] and "used twice" in errors["twice.py"]
 
 
+def test_hashes_ignore_tags_and_accessors_keep_their_names(spark):
+    one = "# corvane: unit a.b\n@router.get('/x')\ndef f(x=Depends(store), y=Depends(api.user), z=Depends()):\n    # corvane: begin r.s\n    return x.value\n    # corvane: end r.s\n"
+    two = one.replace("a.b", "c.d").replace("r.s", "t.u")
+    other = "class A:\n    @property\n    def x(self): return 1\n    @x.setter\n    def x(self, v): pass\n    @y.setter\n    def z(self, v): pass\n"
+    got = {r["unit_id"]: r for r in parse_files(spark.createDataFrame([("one.py", one), ("two.py", two), ("o.py", other)], FILES)).where("tag in ('unit', 'region')").collect()}
+    assert set(got) == {"a.b", "c.d", "r.s", "t.u", "o::A", "o::A.x", "o::A.x@setter", "o::A.z"}
+    assert got["a.b"]["body_hash"] == got["c.d"]["body_hash"] != got["r.s"]["body_hash"] == got["t.u"]["body_hash"]
+    assert got["a.b"]["dependencies_json"] == '["api.user", "store"]' and got["r.s"]["body_terms"] == "return value"
+    assert got["o::A.x"]["concepts_json"] == '["a", "o", "o::A.x", "x"]'
+
+
 def test_loaders(spark, tmp_path):
     (tmp_path / "l.json").write_text('[{"corpus": "c", "left": "b", "right": "a", "label": "same"}, {"corpus": "c", "left": "a", "right": "b", "label": "same"}]')
     got = loaders.load_labels(spark, str(tmp_path / "l.json"), ["same", "other"], whole=True)
