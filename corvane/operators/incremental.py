@@ -55,13 +55,17 @@ def processed_states(checkpoints: DataFrame, runs: DataFrame) -> DataFrame:
     return last.select(F.col("unit_id").alias(KEY), F.col("body_hash").alias(VERSION))
 
 
+def unit_states(current: DataFrame) -> DataFrame:
+    """(source_key, source_version) of current units: their hash, or '' if they are removed."""
+    return current.select(F.col("unit_id").alias(KEY), F.when(F.col("removed"), F.lit("")).otherwise(F.col("body_hash")).alias(VERSION))
+
+
 def pending_units(units: DataFrame, checkpoints: DataFrame, runs: DataFrame, current: DataFrame | None = None) -> DataFrame:
     """unit_id of every unit whose state (hash of the current version, '' if that is
     removed) isn't the one last processed. Commits aren't compared: a commit that
     leaves the body alone is no change. Empty tables give no rows."""
     current = current_units(units) if current is None else current
-    state = current.select(F.col("unit_id").alias(KEY), F.when(F.col("removed"), F.lit("")).otherwise(F.col("body_hash")).alias(VERSION))
-    return pending(state, cut(processed_states(checkpoints, runs), "processed")).select(F.col(KEY).alias("unit_id"))
+    return pending(unit_states(current), cut(processed_states(checkpoints, runs), "processed")).select(F.col(KEY).alias("unit_id"))
 
 
 def stale_references(references: DataFrame, current: DataFrame) -> DataFrame:
