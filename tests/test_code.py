@@ -160,3 +160,34 @@ def test_loaders(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"item_id": 1, "question": "q"}\n{"item_id": 2, "question": " "}\n{"item_id": 3, "question": "q"}\n{"item_id": 3, "question": "r"}\n{"question": "q"}\n')
     kept, left = loaders.load_cases(spark, str(tmp_path / "c.json"))
     assert [r["item_id"] for r in kept.collect()] == [1] and {tuple(r) for r in left.collect()} == {("no question", 1), ("repeated id", 2), ("no id", 1)}
+
+
+def test_search_scores_are_the_six_fields(spark):
+    from corvane.functions import fuzzy
+    from corvane.operators import search
+
+    fields = "unit_id string, path string, start_line int, name string, qualname string, purpose string, doc_text string, signature string, concepts_json string, owns_json string, body_terms string, parameters_json string, returns string"
+    rows = [
+        ("u1", "a.py", 1, "save_report", "Store.save_report", "Writes a report.", "Writes a report to the store and keeps it.", "save_report(path: str) -> bool", '["report", "save_report"]', '["disk"]', "save report path store", '[{"name":"path","type":"str"},{"name":"n","type":"list[str]"}]', "bool"),
+        ("u2", "a.py", 9, "load", "load", "load", "", "load()", "[]", "[]", "load", "[]", ""),
+        ("u3", "b.py", 1, "persist", "persist", None, None, None, None, None, None, None, None),
+    ]
+    u = spark.createDataFrame(rows, fields)
+    ask = ["save the report", "load"]
+    got = {(r["query"], r["unit_id"]): r for r in search.scores(u, search.query_table(spark, ask), ["str", "int"], "bool").collect()}
+    assert len(got) == 6
+    for q in ask:
+        for r in rows:
+            text = {k: v or "" for k, v in zip(fields.replace(" string", "").replace(" int", "").split(", "), r)}
+            terms = [t for t in q.split() if t != "the"]
+            concept = {"u1": "report save_report disk"}.get(r[0], "")
+            want = {
+                "body": 100.0 * sum(t in text["body_terms"] for t in terms) / len(terms), "name": fuzzy.weighted_ratio(q, text["name"]), "qualname": fuzzy.weighted_ratio(q, text["qualname"]),
+                "purpose": max(fuzzy.token_set_ratio(q, text["purpose"]), fuzzy.token_set_ratio(q, text["doc_text"])), "signature": fuzzy.token_set_ratio(q, text["signature"]), "concepts": fuzzy.token_set_ratio(q, concept),
+            }
+            bonus = 6.0 + 12.0 if r[0] == "u1" else 0.0
+            hit = got[q, r[0]]
+            assert {f: round(hit[f], 9) for f in want} == {f: round(v, 9) for f, v in want.items()} and hit["type_bonus"] == bonus
+            assert abs(hit["score"] - min(100.0, bonus + sum(want[f] * w for f, w in search.WEIGHTS.items()))) < 1e-9
+    plain, wide = ({(r["query"], r["unit_id"]): r["score"] for r in search.search(u, ask, None, e).collect()} for e in (False, True))
+    assert wide["save the report", "u3"] > plain["save the report", "u3"] and wide["load", "u2"] == plain["load", "u2"]
