@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from ..functions import code as C
-from . import setsim
+from . import blockpairs, setsim
 from .scale import cut, spread
 
 FUNCTIONS = ("function", "async_function", "method")
@@ -98,8 +98,13 @@ def similar_units(needles: DataFrame, sets: DataFrame, k: int | None = 8, floor:
     """needle_id, unit_id, place, shared, score: per needle (needle_id, self_id, ws) the units
     of ``sets`` at ``floor`` or above but for self_id, score descending, then path and line;
     the ``k`` best, or all."""
-    left = needles.select(F.col("needle_id").alias("id"), F.explode("ws").alias("w"))
-    hits = setsim.needle_scores(left, posts(sets)).where(F.col("score") >= floor).withColumnRenamed("id", "unit_id")
+    left, right = (blockpairs.coded(x) for x in (needles.select(F.col("needle_id").alias("id"), "ws"), sets.select(F.col("unit_id").alias("id"), "ws")))
+    kind = needles.schema["needle_id"].dataType
+    some = F.size("ws") > 0
+    hits = blockpairs.block_pairs(left.df.where(some), blockpairs.Pairs(kind, floor, needles=True), setsim.MIN_SHARED, others=right.df.where(some))
+    hits = hits.withColumnsRenamed({"left_id": "needle_id", "right_id": "unit_id"})
+    left.drop()
+    right.drop()
     other = hits.join(needles.select("needle_id", "self_id"), "needle_id").where(~F.col("unit_id").eqNullSafe(F.col("self_id")))
     placed = other.join(sets.select("unit_id", "path", "start_line"), "unit_id")
     place = F.row_number().over(Window.partitionBy("needle_id").orderBy(F.desc("score"), "path", "start_line", "unit_id"))
