@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stripped
 from ..operators import fuzzyjoin, graph, intervals
+from ..operators.scale import cut, salted_join
 from ..session import load
 from ..sources.parse import comment_lines
 from .edges import EDGES, LIVE, REFS, live, refs
@@ -24,12 +25,21 @@ def top8_files(spark, d):
 
 def top9(spark, d):
     """Duplication along paths: members of each root's slice with their best judged or
-    scored match outside the slice."""
+    scored match outside the slice. A slice of n members shuts out n matches at most, so a
+    member's n + 3 best are enough for that root, and no hub meets all of its matches."""
     calls = graph.unit_edges(load(spark, d, "hard_relationships"), "CALLS")
-    near = graph.neighbours(calls, "out").select(F.col("node").alias("root"), F.col("other").alias("member"))
+    near = cut(graph.neighbours(calls, "out").select(F.col("node").alias("root"), F.col("other").alias("member")), "slices")
+    sized = cut(near.join(near.groupBy("root").agg((F.count("*") + 3).alias("enough")), "root"), "slices")
+    needed = cut(sized.groupBy("member").agg(F.max("enough").alias("needed")), "needed")
     s = load(spark, d, "soft_relationships").where("score between 0 and 1 and not isnan(score) and source_unit_id <> target_unit_id")
-    best = s.groupBy(F.col("source_unit_id").alias("member"), F.col("target_unit_id").alias("match")).agg(F.max("score").alias("score"))
-    j = near.join(best, "member").join(near.select("root", F.col("member").alias("match")), ["root", "match"], "left_anti")
+    best = cut(s.groupBy(F.col("source_unit_id").alias("member"), F.col("target_unit_id").alias("match")).agg(F.max("score").alias("score")), "matches")
+    order = [F.desc("score"), "match"]
+    # In parts first, so that no task sorts all matches of a hub.
+    parts = F.row_number().over(Window.partitionBy("member", F.pmod(F.xxhash64("match"), F.lit(64))).orderBy(*order))
+    some = salted_join(best, needed, "member", spread=F.xxhash64("match")).withColumn("at", parts).where("at <= needed").drop("at")
+    first = cut(some.withColumn("at", F.row_number().over(Window.partitionBy("member").orderBy(*order))).where("at <= needed").drop("needed"), "matches")
+    j = salted_join(sized, first, "member", spread=F.xxhash64("root")).where("at <= enough").drop("at", "enough")
+    j = j.join(near.select("root", F.col("member").alias("match")), ["root", "match"], "left_anti")
     place = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("score"), "member", "match"))
     return j.withColumn("place", place).where("place <= 3").select("root", "place", "member", "match", "score")
 
