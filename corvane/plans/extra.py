@@ -232,7 +232,7 @@ def src12(spark, d):
 def jon1_exact(spark, d):
     """Pairs of classes of documents with equal windows at the floor, however many documents
     share a window."""
-    return setsim.exact_pairs(load(spark, d, "documents"), "doc_id", "text")[0]
+    return setsim.exact_pairs(load(spark, d, "documents"), "doc_id", "text", members=False)[0]
 
 
 def jon1_members(spark, d):
